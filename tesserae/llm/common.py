@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def hash_words(words: list[str]) -> np.ndarray:
     return np.concatenate([Tokens([w]).hash[:1] for w in words]) if words else np.zeros(0, np.uint64)
 
 
-def batches_by_bytes(texts: list, limit: int = 24 << 20):
+def batches_by_bytes(texts: list, limit: int = 4 << 20):
     """Ranges (from, to) of texts with about limit characters each; a longer text stands alone, whole."""
     at, held = 0, 0
     for i, t in enumerate(texts):
@@ -118,3 +119,29 @@ def batches_by_bytes(texts: list, limit: int = 24 << 20):
         held += size
     if at < len(texts) or not texts:
         yield at, len(texts)
+
+
+def map_texts(df: DataFrame, make, schema: str, text: str = "text") -> DataFrame:
+    """mapInArrow over df; make(batch) gets a RecordBatch with about 4 MB of texts (a longer text alone, whole) and
+    returns a dict of columns or a list of such dicts. make is called once per task with no argument to set up, and
+    returns the function that is then applied."""
+
+    from pyspark.sql.types import StructType
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        one = make()
+        for batch in batches:
+            for a, b in batches_by_bytes(batch.column(text).to_pylist() if batch.num_rows else []):
+                if b > a:
+                    made = one(batch.slice(a, b - a))
+                    for columns in made if isinstance(made, list) else [made]:
+                        yield pa.RecordBatch.from_arrays([_column(columns[f.name], f.type) for f in fields], schema=fields)
+
+    return df.mapInArrow(run, schema)
+
+
+def _column(values, kind) -> pa.Array:
+    return values.cast(kind) if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values, kind)

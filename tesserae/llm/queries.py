@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, oracles, sharding
+from . import media_tiff, mixing, oracles, sharding, token_counts
 from .common import table
 
 
@@ -12,9 +12,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_tiff.text_media(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op5_token_counts, op6_media_tiff, op8_mixing)}
 ORACLES = {"op1_sharding": oracles.OP1, "op8_mixing": oracles.OP8}
