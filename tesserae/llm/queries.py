@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media_tiff, mixing, oracles, sharding, token_counts
+from . import decontaminate, media_tiff, mixing, oracles, quality_cnn, sharding, simhash, token_counts, toxicity_crf
 from .common import table
 
 
@@ -12,6 +13,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -20,9 +29,18 @@ def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.text_media(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity_crf.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.round("expected", 6).alias("expected_tokens"), F.size("spans").alias("n_spans"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_token_counts, op6_media_tiff, op8_mixing)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_cnn, op4_simhash, op5_token_counts, op6_media_tiff, op7_toxicity_crf, op8_mixing, op10_decontaminate)}
 ORACLES = {"op1_sharding": oracles.OP1, "op8_mixing": oracles.OP8}
