@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media_tiff, mixing, oracles, quality_cnn, sharding, simhash, suffix_dedup, token_counts, toxicity_crf
+from . import decontaminate, language_model, media_tiff, mixing, oracles, quality_cnn, sharding, simhash, suffix_dedup, token_counts, toxicity_crf
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_cnn, op4_simhash, op5_token_counts, op6_media_tiff, op7_toxicity_crf, op8_mixing, op9_suffix_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_cnn, op3_language_model, op4_simhash, op5_token_counts, op6_media_tiff, op7_toxicity_crf, op8_mixing, op9_suffix_dedup, op10_decontaminate)}
 ORACLES = {"op1_sharding": oracles.OP1, "op8_mixing": oracles.OP8}
