@@ -120,16 +120,14 @@ def draw_slots(plan: DataFrame) -> DataFrame:
     return placed.select("skey", "shard", permute(place, F.col("n_blocks"), F.col("keys")).alias("block"), F.when(last, F.col("last_words")).alias("cut"))
 
 
-def mix(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """documents (doc_id, source, text) -> doc_id, size, source_size, target, taken, first_shard.
-
-    taken counts the words that the mix takes from the row's text, repeats counted; first_shard is the smallest output
-    shard that holds any of them, else null. One row per input row. Null text counts as empty, null source is a source
-    of its own, null doc_ids come first in their source's stream; rows that agree in doc_id and size are
-    interchangeable. Empty sources have target 0; an empty table gives an empty result. Other columns are ignored."""
+def taken_pieces(documents: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """documents (doc_id, source, text) -> (pieces, empty). pieces: a row for each piece of a document with words that
+    lies in one block and each slot that takes the block (one with nulls if none does): skey, start (of the document
+    in its source's stream), doc_id, size, source_size, target, shard, first (the piece's first word in the document)
+    and got (words taken). empty: the documents without words, with their source's size and target."""
     sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     docs = materialize(
-        sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("fine", F.coalesce(F.expr(f"floor(doc_id / {FINE}D)"), F.lit(-(1 << 60))).cast("bigint")),
+        sized.withColumn("skey", source_key(F.col("source"))).withColumn("fine", F.coalesce(F.expr(f"floor(doc_id / {FINE}D)"), F.lit(-(1 << 60))).cast("bigint")),
         "mix-sizes",
     )
     fine = docs.groupBy("skey", "fine").agg(F.sum("size").alias("words"), F.min("source").alias("source")).withColumn("coarse", F.expr(f"floor(fine / {COARSE}D)").cast("bigint"))
@@ -142,15 +140,59 @@ def mix(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     inside = W.partitionBy("skey", "fine").orderBy(F.col("doc_id").asc_nulls_first(), "size")
     offset = F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = docs.withColumn("start", offset).join(starts, ["skey", "fine"]).withColumn("start", F.col("start") + F.col("base"))
-    own = ["doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target")]
-    full = placed.filter("size > 0").select("skey", "start", *own)
-    pieces = full.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
+    placed = placed.select("skey", "start", "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
+    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     pieces = pieces.withColumn("low", F.greatest(F.lit(0), F.col("start") - F.col("block") * block)).withColumn("high", F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block))
-    slots = draw_slots(plan)
     got = F.greatest(F.lit(0), F.least(F.col("high"), F.coalesce("cut", F.lit(block))) - F.col("low"))
-    joined = pieces.join(slots, ["skey", "block"], "left").withColumn("got", F.when(F.col("shard").isNotNull(), got).otherwise(0))
-    taken = joined.groupBy("skey", "start", "doc_id", "size", "source_size", "target").agg(
-        F.sum("got").cast("bigint").alias("taken"), F.min(F.when(F.col("got") > 0, F.col("shard"))).alias("first_shard")
-    )
-    none = placed.filter("size = 0").select(*own, F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("first_shard"))
+    joined = pieces.join(draw_slots(plan), ["skey", "block"], "left").withColumn("got", F.when(F.col("shard").isNotNull(), got).otherwise(0))
+    first = F.col("block") * block + F.col("low") - F.col("start")
+    return joined.select("skey", "start", "doc_id", "size", "source_size", "target", "shard", first.alias("first"), "got"), placed.filter("size = 0")
+
+
+def source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def mix(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """documents (doc_id, source, text) -> doc_id, size, source_size, target, taken, first_shard.
+
+    taken counts the words that the mix takes from the row's text, repeats counted; first_shard is the smallest output
+    shard that holds any of them, else null. One row per input row. Null text counts as empty, null source is a source
+    of its own, null doc_ids come first in their source's stream; rows that agree in doc_id and size are
+    interchangeable. Empty sources have target 0; an empty table gives an empty result. Other columns are ignored."""
+    pieces, empty = taken_pieces(documents, block)
+    taken = pieces.groupBy("skey", "start", "doc_id", "size", "source_size", "target").agg(F.sum("got").cast("bigint").alias("taken"), F.min(F.when(F.col("got") > 0, F.col("shard"))).alias("first_shard"))
+    none = empty.select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("first_shard"))
     return taken.select(*none.columns).unionByName(none)
+
+
+def mixed_documents(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """documents (doc_id, source, text, others) -> the mix as documents with the same columns: a row for each document
+    that words are taken from. Its text is the words taken, a second pass on a new line after the first; a pass that
+    takes the whole document keeps its text as it is, another joins the words with spaces. n_chars, where it is a
+    column, is counted anew. Documents that nothing is taken from, empty ones included, have no row."""
+    pieces, _ = taken_pieces(documents.select("doc_id", "source", "text"), block)
+    each = pieces.filter("got > 0").groupBy("skey", "start", "doc_id", "size", "first").agg(F.sort_array(F.collect_list("got"), asc=False).alias("gots"))  # one or two
+    row = each.groupBy("skey", "start", "doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("first", "gots"))).alias("_pieces"))
+    same = ["doc_id", "skey", "size"]
+    row = row.withColumn("copy", F.row_number().over(W.partitionBy(*same).orderBy("start")))
+    every = pieces.select("skey", "start", "doc_id", "size").distinct().withColumn("copy", F.row_number().over(W.partitionBy(*same).orderBy("start")))
+    row = row.drop("copy").join(every.drop("doc_id", "size"), ["skey", "start"])
+    keyed = documents.select(F.struct(*documents.columns).alias("_row")).withColumn("_skey", source_key(F.col("_row.source"))).withColumn("_size", word_count(F.col("_row.text")))
+    keyed = keyed.withColumn("_copy", F.row_number().over(W.partitionBy("_row.doc_id", "_skey", "_size").orderBy(F.xxhash64("_row.text"))))
+    match = keyed["_row.doc_id"].eqNullSafe(row["doc_id"]) & (keyed["_skey"] == row["skey"]) & (keyed["_size"] == row["size"]) & (keyed["_copy"] == row["copy"])
+    joined = keyed.join(row.select("doc_id", "skey", "size", "copy", "_pieces"), match).select("_row", "_size", "_pieces")
+
+    def one_pass(u: int) -> Column:
+        words = F.regexp_extract_all(F.col("_row.text"), F.lit(f"({WORD})"))
+        used = F.filter("_pieces", lambda p: F.size(p["gots"]) >= u)
+        total = F.aggregate(used, F.lit(0).cast("bigint"), lambda n, p: n + F.element_at(p["gots"], u))
+        part = F.flatten(F.transform(used, lambda p: F.slice(words, (p["first"] + 1).cast("int"), F.element_at(p["gots"], u).cast("int"))))
+        return F.when(total == F.col("_size"), F.col("_row.text")).when(total > 0, F.array_join(part, " "))
+
+    text = F.concat_ws("\n", one_pass(1), one_pass(2))
+    built = joined.withColumn("_text", text)
+    kept = {c: F.col("_row")[c] for c in documents.columns} | {"text": F.col("_text")}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.length("_text").cast(dict(documents.dtypes)["n_chars"])
+    return built.select(*[v.alias(c) for c, v in kept.items()])

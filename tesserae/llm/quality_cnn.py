@@ -9,6 +9,7 @@ driver and applied to all documents in Arrow batches; its size does not depend o
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from .common import fold, map_texts
 from .labelled import SAMPLE_ROWS, labelled_sample
 
 WINDOW, STRIDE, FILTERS, HIDDEN = 6, 2, 16, 8
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+#: Passes over the sample; of a small one, as many as MIN_STEPS steps need.
+EPOCHS, BATCH, RATE, MIN_STEPS = 8, 64, 0.01, 300
 THRESHOLD = 0.3
 #: Windows answered at once.
 STEP = 1 << 17
@@ -61,6 +63,7 @@ class ByteCnn:
         rng = np.random.default_rng(seed)
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         step = 0
+        epochs = max(epochs, -(-MIN_STEPS * BATCH // len(y)))
         for epoch in range(epochs):
             order = rng.permutation(len(raw))
             for at in range(0, len(order), BATCH):
@@ -143,3 +146,20 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = TH
 
     scored = map_texts(documents.select("doc_id", "text"), make, f"doc_id {dict(documents.dtypes)['doc_id']}, score double, predicted int")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """documents without the rows that score_quality predicts as 0, with all their columns; no row is moved."""
+    shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels, rows))
+
+    def make():
+        tables = shared.value.tables()
+
+        def one(batch):
+            good = shared.value.scores([(t or "").encode() for t in batch.column("text").to_pylist()], tables) >= threshold
+            kept = batch.filter(pa.array(good))
+            return dict(zip(kept.schema.names, kept.columns, strict=True))
+
+        return one
+
+    return map_texts(documents, make, ", ".join(f"`{c}` {t}" for c, t in documents.dtypes))
