@@ -1,4 +1,4 @@
-"""Named queries and their SQL."""
+"""All named queries of the engine, by topic in the modules imported here."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus_queries, retrieval_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
