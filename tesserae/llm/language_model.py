@@ -11,7 +11,7 @@ Nothing is broadcast but the weights. Documents are packed into blocks of about
 the block's words, and each token's place in them). A block asks for the counts of its distinct words and bigrams:
 their hashes, with the block's training counts, go to buckets by hash, each bucket adds up what all blocks bring and
 answers every block. So what is shuffled is one entry for each distinct bigram of a block, packed, and no key is hot:
-a frequent word is one entry a block. Hashes have 64 bits.
+a frequent word is one entry a block. What is asked for has hashes of 56 bits.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Tokens, batches_by_bytes, fold, materialize, mix64
 
-BLOCK_TOKENS, BUCKET_ENTRIES = 2_500_000, 1_000_000
+BLOCK_TOKENS, BUCKET_ENTRIES = 1_000_000, 1_000_000
 STEPS = 40
 #: Quantised logarithms: steps of a power of two, and the mark for an estimate of 0.
 FINE, NONE = 8, -100_000
@@ -70,21 +70,26 @@ class Block:
         return cls(vocabulary, ids.astype(np.int32), sizes + 1, train)
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct bigrams as context * len(vocabulary) + word, and each token's place in them."""
-        end = int(np.searchsorted(self.vocabulary, END))
-        context = np.empty(len(self.ids), np.int64)
-        context[1:] = self.ids[:-1]
-        context[:1] = end
-        return np.unique(context * len(self.vocabulary) + self.ids, return_inverse=True)
+        return bigrams(self.ids, int(np.searchsorted(self.vocabulary, END)), len(self.vocabulary))
 
     def hashes(self, codes: np.ndarray) -> np.ndarray:
         v, w = np.divmod(codes, len(self.vocabulary))
-        return mix64(mix64(self.vocabulary[v]) * np.uint64(3) + self.vocabulary[w])
+        return mix64(mix64(self.vocabulary[v]) * np.uint64(3) + self.vocabulary[w]) >> np.uint64(8)
 
     def token_train(self) -> np.ndarray:
         return np.repeat(self.train, self.sizes)
 
 
+def bigrams(ids: np.ndarray, end: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct bigrams as context * size + word, and each token's place in them. end: the end's id, the first context."""
+    codes = np.empty(len(ids), np.int64)
+    codes[1:] = ids[:-1]
+    codes[:1] = end
+    codes *= size
+    codes += ids
+    return np.unique(codes, return_inverse=True)
+
+
 def pack(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text, train) -> blocks (block, docs, sizes, train, tokens, vocabulary, ids)."""
     kind = dict(documents.dtypes)["doc_id"]
@@ -133,10 +138,10 @@ def _ask(blocks: DataFrame, bits: int) -> DataFrame:
                 train = b.token_train()
                 codes, which = b.bigrams()
                 parts = []
-                for h, n in ((b.vocabulary, np.bincount(b.ids, train, len(b.vocabulary))), (b.hashes(codes), np.bincount(which, train, len(codes)))):
+                for h, n in ((b.vocabulary >> np.uint64(8), np.bincount(b.ids, train, len(b.vocabulary))), (b.hashes(codes), np.bincount(which, train, len(codes)))):
                     order = np.argsort(h)
                     h, n = h[order], n[order].astype(np.uint32)
-                    cuts = np.searchsorted(h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
+                    cuts = np.searchsorted(h >> np.uint64(56 - bits) if bits else np.zeros(len(h), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
                     parts.append((h, n, cuts))
                 (wh, wn, wc), (bh, bn, bc) = parts
                 for k in range(1 << bits):
@@ -191,7 +196,7 @@ def _meet(block: pa.Table, answers: pa.Table) -> pa.Table:
     held = [{"b": int(x), "p2": int(y), "p1": int(z), "n": int(c)} for (x, y, z), c in zip(cells.T, n, strict=True)]
     kind = pa.list_(pa.struct([("b", pa.int32()), ("p2", pa.int32()), ("p1", pa.int32()), ("n", pa.int64())]))
     made = [block.column("docs"), block.column("sizes"), pa.array([_zip(word_n)]), pa.array([_zip(pair_n)]), pa.array([held], kind), pa.array([int(b.token_train().sum())]), pa.array([sum(r["types"] for r in replies)])]
-    return pa.table([*made, block.column("ids"), block.column("vocabulary")], ["docs", "sizes", "word_n", "pair_n", "held", "train_tokens", "types", "ids", "vocabulary"])
+    return pa.table([*made, block.column("ids"), pa.array([int(np.searchsorted(b.vocabulary, END))], pa.int32())], ["docs", "sizes", "word_n", "pair_n", "held", "train_tokens", "types", "ids", "end"])
 
 
 def learn_weights(cells: list[tuple], n: int, v: int, steps: int = STEPS) -> dict[int, np.ndarray]:
@@ -227,7 +232,7 @@ def score_texts(documents: DataFrame, held_out: int = 1) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_ENTRIES)))))
     answers = _ask(blocks, bits).groupBy("bucket").applyInArrow(_answer, "bucket int, block bigint, word_n binary, pair_n binary, types bigint")
     met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _meet, f"docs array<{kind}>, sizes binary, word_n binary, pair_n binary, held array<struct<b:int,p2:int,p1:int,n:bigint>>, train_tokens bigint, types bigint, ids binary, vocabulary binary"
+        _meet, f"docs array<{kind}>, sizes binary, word_n binary, pair_n binary, held array<struct<b:int,p2:int,p1:int,n:bigint>>, train_tokens bigint, types bigint, ids binary, end int"
     )
     met = materialize(met, "lm-counts")
     sums = met.agg(F.sum("train_tokens").alias("n"), F.sum("types").alias("v")).first()
@@ -244,16 +249,16 @@ def score_texts(documents: DataFrame, held_out: int = 1) -> DataFrame:
         table[0] /= table[0].sum() or 1
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(_unzip_sorted(row["vocabulary"]), _unzip(row["ids"], np.int32), _unzip(row["sizes"], np.int64), None)
+                ids, sizes = _unzip(row["ids"], np.int32), _unzip(row["sizes"], np.int64)
                 word_n, pair_n = _unzip(row["word_n"], np.uint64).astype(float), _unzip(row["pair_n"], np.uint64).astype(float)
-                codes, which = b.bigrams()
-                c, w = np.divmod(codes, len(b.vocabulary))
+                codes, which = bigrams(ids, row["end"], len(word_n))
+                c, w = np.divmod(codes, len(word_n))
                 a = table[_bucket_of(word_n[c]) + 1]
                 p = a[:, 0] * pair_n / np.maximum(word_n[c], 1) + a[:, 1] * word_n[w] / max(1, n) + a[:, 2] / (v + 1)
-                first = np.cumsum(b.sizes) - b.sizes
+                first = np.cumsum(sizes) - sizes
                 base = np.log10((word_n + 0.5) / (n + 0.5 * (v + 1)))
-                columns = [pa.array(row["docs"], batch.schema.field("docs").type.value_type), b.sizes, np.add.reduceat((word_n > 0).astype(np.int64)[b.ids], first), np.full(len(first), n), np.add.reduceat(base[b.ids], first), np.add.reduceat(np.log10(p)[which], first)]
+                columns = [pa.array(row["docs"], batch.schema.field("docs").type.value_type), sizes, np.add.reduceat((word_n > 0).astype(np.int64)[ids], first), np.full(len(first), n), np.add.reduceat(base[ids], first), np.add.reduceat(np.log10(p)[which], first)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    scored = met.select("docs", "sizes", "word_n", "pair_n", "ids", "vocabulary").mapInArrow(run, out)
+    scored = met.select("docs", "sizes", "word_n", "pair_n", "ids", "end").mapInArrow(run, out)
     return scored.select("doc_id", (fold(F.col("doc_id")) == held_out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
