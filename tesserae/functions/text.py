@@ -58,7 +58,7 @@ def classify_query(text: Column) -> Column:
 def citations(text: Column) -> Column:
     """Numbers inside [1] or [2, 3] marks, in order of first appearance."""
     groups = F.regexp_extract_all(text, F.lit(r"\[([\d,\s]+)\]"), 1)
-    numbers = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda x: F.trim(x))))
+    numbers = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda x: F.regexp_replace(x, r"\s+", ""))))
     return F.array_distinct(F.transform(F.filter(numbers, lambda n: n.rlike(r"^\d+$")), lambda n: n.cast("int")))
 
 
@@ -82,9 +82,10 @@ def truncate(text: Column, limit: int = 1500, mark: str = "…") -> Column:
 
 def strip_code_fence(text: Column) -> Column:
     """The text inside a leading ``` fence, trimmed; other texts trimmed."""
-    flat = F.trim(text)
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    flat = bare(text)
     inner = F.regexp_replace(F.regexp_replace(flat, r"^```[^\n]*\n", ""), r"```$", "")
-    return F.when(F.startswith(flat, F.lit("```")), F.trim(inner)).otherwise(flat)
+    return F.when(F.startswith(flat, F.lit("```")), bare(inner)).otherwise(flat)
 
 
 def prompt_fingerprint(prompt: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +39,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None =
     for b in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
         table = part.select("query_id", "vector").toArrow()
-        shared = queries.sparkSession.sparkContext.broadcast((table.column("query_id").to_pylist(), np.array(table.column("vector").to_pylist(), np.float64).reshape(table.num_rows, size.d or 0)))
+        shared = queries.sparkSession.sparkContext.broadcast((table.column("query_id").combine_chunks(), np.array(table.column("vector").to_pylist(), np.float64).reshape(table.num_rows, size.d or 0)))
 
         def run(batches, shared=shared):
             ids, matrix = shared.value
             for batch in batches:
-                if not batch.num_rows or not ids:
+                if not batch.num_rows or not len(ids):
                     continue
                 lists = batch.column("vector")
                 dot = np.round(lists.flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1) @ matrix.T, 9 if digits is None else digits)
-                chunk = np.array(batch.column("chunk_id").to_pylist())
-                order = np.argsort(chunk, kind="stable")
-                dot, chunk = dot[order], chunk[order]
+                order = pc.sort_indices(batch.column("chunk_id"))
+                dot, chunk = dot[order.to_numpy()], batch.column("chunk_id").take(order)
                 best = np.argsort(-dot, axis=0, kind="stable")[:k]
                 which = np.tile(np.arange(len(ids)), (best.shape[0], 1))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in which.ravel()]), pa.array(chunk[best.ravel()]), pa.array(dot[best.ravel(), which.ravel()])], ["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which.ravel())), chunk.take(pa.array(best.ravel())), pa.array(dot[best.ravel(), which.ravel()])], ["query_id", "chunk_id", "score"])
 
         found = vectors.select("chunk_id", "vector").mapInArrow(run, f"query_id {query_kind}, chunk_id {chunk_kind}, score double")
         out = found if out is None else out.unionByName(found)
