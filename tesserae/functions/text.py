@@ -154,3 +154,18 @@ def served_version(html: Column) -> Column:
     """The version number in a page's title."""
     found = F.regexp_extract(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\b(\d+\.\d+\.\d+)\b", 1)
     return F.when(found != "", found)
+
+
+def is_question(text: Column) -> Column:
+    """Whether a written question is usable: filled, and with a question mark."""
+    return (F.trim(text) != "") & F.contains(text, F.lit("?"))
+
+
+def flatten_messages(messages: Column) -> Column:
+    """An array of messages as one prompt."""
+    return F.concat(F.array_join(messages, "\n\n"), F.lit("\n"))
+
+
+def structure_hint(query_type: Column) -> Column:
+    """The instruction for a query's type; null for others."""
+    return F.create_map(*[F.lit(x) for pair in STRUCTURE_HINTS.items() for x in pair])[query_type]

@@ -91,3 +91,18 @@ def triage(rows: DataFrame, bucket: str = "bucket") -> DataFrame:
 
 def first_rows(rows: DataFrame, group: str, order: list, n: int = 3) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("place") <= n)
+
+
+def join_judgments(results: DataFrame, judgments: DataFrame, query: str = "query", order: str = "timestamp") -> DataFrame:
+    """results with each query's last judgment (by order); results without one go."""
+    last = judgments.withColumn("_n", F.row_number().over(W.partitionBy(query).orderBy(F.desc(order)))).filter("_n = 1").drop("_n", order)
+    return results.join(last, query)
+
+
+def search_rows(hits: DataFrame, chunks: DataFrame, version: str, chars: int = 1500) -> DataFrame:
+    """What a search returns to a user: query_id, rank, score, chunk_id, title, url, body; hits of unknown chunks go and
+    ranks keep their gaps."""
+    from ..functions.text import public_url, truncate
+
+    joined = hits.join(chunks.select("chunk_id", "title", "text", "canonical_url"), "chunk_id")
+    return joined.select("query_id", "rank", "score", "chunk_id", "title", public_url(version, F.col("canonical_url")).alias("url"), truncate(F.col("text"), chars).alias("body"))

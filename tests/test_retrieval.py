@@ -118,3 +118,12 @@ def test_retrievers(spark):
     for bad in ({"name": "x"}, {"name": "bm25"}, {"name": "dense"}, {"name": "symbol+bm25", "index": index}, {"name": "bm25", "index": index, "alpha": 2}, {"name": "bm25", "index": index, "scorer": len}):
         with pytest.raises(ValueError):
             Retriever(**bad)
+
+
+def test_joined_judgments_and_search_rows(spark):
+    results = spark.createDataFrame([("a",), ("b",)], "query string")
+    judged = spark.createDataFrame([("a", "wrong", "1"), ("a", "correct", "2"), ("c", "wrong", "1")], "query string, tier string, timestamp string")
+    assert [tuple(r) for r in evaluation.join_judgments(results, judged).collect()] == [("a", "correct")]
+    chunks = spark.createDataFrame([("x", "T", "b" * 30, "l/x.html")], "chunk_id string, title string, text string, canonical_url string")
+    rows = evaluation.search_rows(hits(spark, [(1, "gone", 2.0, 1), (1, "x", 1.0, 2)]), chunks, "3.12", 10).collect()
+    assert [(r.rank, r.url, r.body) for r in rows] == [(2, "https://docs.python.org/3.12/l/x.html", "b" * 9 + "…")]

@@ -67,3 +67,9 @@ def test_ratios_agree(spark):
         a, b = pairs[r.i]
         want = 200 * lcs(a, b) / (len(a) + len(b)) if a or b else 100
         assert abs(r.r - want) < 1e-9 and abs(r.f - want) < 1e-9 and (r.m or want < 85)
+
+
+def test_prompt_parts(spark):
+    assert apply(spark, T.is_question, ["why?", " ", "so"]) == [True, False, False]
+    assert apply(spark, T.flatten_messages, [["a", "b"]], "array<string>") == ["a\n\nb\n"]
+    assert apply(spark, T.structure_hint, ["howto", "x"]) == [T.STRUCTURE_HINTS["howto"], None]
