@@ -27,15 +27,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as a Parquet table in the shared folder and returns its scan: lineage ends there, and what
-    several consumers read is computed once. The table survives the loss of any executor."""
+    several consumers read is computed once. The table survives the loss of any executor, and stays until clean_up."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Deletes the tables that this process has materialized, once results that read them have been written; how many."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text mod 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
