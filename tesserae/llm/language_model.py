@@ -7,11 +7,11 @@ eighth of a power of two, in both estimates are counted together, so the table o
 while the counts behind it cover the whole corpus. A text's words are followed by an end, which is also the context of
 the next text's first word.
 
-Nothing is broadcast but the weights. Documents are packed into blocks of about BLOCK_TOKENS tokens (sorted hashes of
-the block's words, and each token's place in them). A block asks for the counts of its distinct words and bigrams:
+Nothing is broadcast but the weights. Documents are packed into blocks of about BLOCK_TOKENS tokens (hashes of the
+block's words, and each token's place in them). A block asks for the counts of its distinct words and bigrams:
 their hashes, with the block's training counts, go to buckets by hash, each bucket adds up what all blocks bring and
 answers every block. So what is shuffled is one entry for each distinct bigram of a block, packed, and no key is hot:
-a frequent word is one entry a block. What is asked for has hashes of 56 bits.
+a frequent word is one entry a block. Hashes have 56 bits.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ BLOCK_TOKENS, BUCKET_ENTRIES = 1_000_000, 1_000_000
 STEPS = 40
 #: Quantised logarithms: steps of a power of two, and the mark for an estimate of 0.
 FINE, NONE = 8, -100_000
-END = np.uint64(0x5BD1E9955BD1E995)
+END = np.uint64(0x5BD1E9955BD1E9)
 
 
 def _zip(a: np.ndarray) -> bytes:
@@ -56,7 +56,8 @@ def _unzip_sorted(b: bytes) -> np.ndarray:
 
 
 class Block:
-    """vocabulary: sorted hashes; ids: of each token; sizes: tokens of each document, its end counted; train: its part."""
+    """vocabulary: hashes of the words, the most frequent first (so that ids compress); ids: of each token; sizes: tokens
+    of each document, its end counted; train: its part."""
 
     def __init__(self, vocabulary: np.ndarray, ids: np.ndarray, sizes: np.ndarray, train: np.ndarray):
         self.vocabulary, self.ids, self.sizes, self.train = vocabulary, ids, sizes, train
@@ -65,12 +66,19 @@ class Block:
     def of(cls, hashes: list[np.ndarray], sizes: np.ndarray, train: np.ndarray) -> Block:
         """hashes: of the words of documents one after another; sizes: words of each document."""
         words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        tokens = np.insert(words, np.cumsum(sizes), END)
-        vocabulary, ids = np.unique(tokens, return_inverse=True)
-        return cls(vocabulary, ids.astype(np.int32), sizes + 1, train)
+        tokens = np.insert(words >> np.uint64(8), np.cumsum(sizes), END)
+        vocabulary, ids, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return cls(vocabulary[order], rank[ids], sizes + 1, train)
+
+    @property
+    def end(self) -> int:
+        return int(np.flatnonzero(self.vocabulary == END)[0])
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        return bigrams(self.ids, int(np.searchsorted(self.vocabulary, END)), len(self.vocabulary))
+        return bigrams(self.ids, self.end, len(self.vocabulary))
 
     def hashes(self, codes: np.ndarray) -> np.ndarray:
         v, w = np.divmod(codes, len(self.vocabulary))
@@ -100,7 +108,7 @@ def pack(documents: DataFrame) -> DataFrame:
         def flush():
             nonlocal hashes, sizes, docs, train, held, made
             b = Block.of(hashes, np.concatenate(sizes), np.array(train, bool))
-            row = {"block": [(TaskContext.get().partitionId() << 32) | made], "docs": [docs], "sizes": [_zip(b.sizes.astype(np.int64))], "train": [_zip(b.train.astype(np.uint8))], "tokens": [len(b.ids)], "vocabulary": [_zip_sorted(b.vocabulary)], "ids": [_zip(b.ids)]}
+            row = {"block": [(TaskContext.get().partitionId() << 32) | made], "docs": [docs], "sizes": [_zip(b.sizes.astype(np.int64))], "train": [_zip(b.train.astype(np.uint8))], "tokens": [len(b.ids)], "vocabulary": [_zip(b.vocabulary)], "ids": [_zip(b.ids)]}
             hashes, sizes, docs, train, held, made = [], [], [], [], 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array(row["block"], pa.int64()), pa.array(row["docs"], pa.list_(id_type)), *(pa.array(row[c], t) for c, t in (("sizes", pa.binary()), ("train", pa.binary()), ("tokens", pa.int64()), ("vocabulary", pa.binary()), ("ids", pa.binary())))], list(row))
 
@@ -125,7 +133,7 @@ def pack(documents: DataFrame) -> DataFrame:
 
 
 def _read(row: dict) -> Block:
-    return Block(_unzip_sorted(row["vocabulary"]), _unzip(row["ids"], np.int32), _unzip(row["sizes"], np.int64), _unzip(row["train"], np.uint8).astype(bool))
+    return Block(_unzip(row["vocabulary"], np.uint64), _unzip(row["ids"], np.int32), _unzip(row["sizes"], np.int64), _unzip(row["train"], np.uint8).astype(bool))
 
 
 def _ask(blocks: DataFrame, bits: int) -> DataFrame:
@@ -138,7 +146,7 @@ def _ask(blocks: DataFrame, bits: int) -> DataFrame:
                 train = b.token_train()
                 codes, which = b.bigrams()
                 parts = []
-                for h, n in ((b.vocabulary >> np.uint64(8), np.bincount(b.ids, train, len(b.vocabulary))), (b.hashes(codes), np.bincount(which, train, len(codes)))):
+                for h, n in ((b.vocabulary, np.bincount(b.ids, train, len(b.vocabulary))), (b.hashes(codes), np.bincount(which, train, len(codes)))):
                     order = np.argsort(h)
                     h, n = h[order], n[order].astype(np.uint32)
                     cuts = np.searchsorted(h >> np.uint64(56 - bits) if bits else np.zeros(len(h), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -183,7 +191,8 @@ def _meet(block: pa.Table, answers: pa.Table) -> pa.Table:
     b = _read(row)
     codes, which = b.bigrams()
     replies = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-    word_n = np.concatenate([_unzip(r["word_n"], np.uint64) for r in replies])
+    word_n = np.empty(len(b.vocabulary), np.uint64)
+    word_n[np.argsort(b.vocabulary)] = np.concatenate([_unzip(r["word_n"], np.uint64) for r in replies])
     pair_n = np.empty(len(codes), np.uint64)
     pair_n[np.argsort(b.hashes(codes))] = np.concatenate([_unzip(r["pair_n"], np.uint64) for r in replies])
     mine = np.bincount(which, b.token_train(), len(codes))
@@ -196,7 +205,7 @@ def _meet(block: pa.Table, answers: pa.Table) -> pa.Table:
     held = [{"b": int(x), "p2": int(y), "p1": int(z), "n": int(c)} for (x, y, z), c in zip(cells.T, n, strict=True)]
     kind = pa.list_(pa.struct([("b", pa.int32()), ("p2", pa.int32()), ("p1", pa.int32()), ("n", pa.int64())]))
     made = [block.column("docs"), block.column("sizes"), pa.array([_zip(word_n)]), pa.array([_zip(pair_n)]), pa.array([held], kind), pa.array([int(b.token_train().sum())]), pa.array([sum(r["types"] for r in replies)])]
-    return pa.table([*made, block.column("ids"), pa.array([int(np.searchsorted(b.vocabulary, END))], pa.int32())], ["docs", "sizes", "word_n", "pair_n", "held", "train_tokens", "types", "ids", "end"])
+    return pa.table([*made, block.column("ids"), pa.array([b.end], pa.int32())], ["docs", "sizes", "word_n", "pair_n", "held", "train_tokens", "types", "ids", "end"])
 
 
 def learn_weights(cells: list[tuple], n: int, v: int, steps: int = STEPS) -> dict[int, np.ndarray]:
