@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (operator 4)."""
+    """One document of each group of near copies (5-word shingles, similarity 0.8; operator 4's components)."""
     return simhash.keep_one(docs)
 
 

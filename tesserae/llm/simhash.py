@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, materialize
 from .components import connected_components
+from .near_copies import near_copies
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 LANES, TILE = 4, 1024
@@ -164,11 +165,11 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     return docs.join(groups, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """documents without near-duplicates: of each component the row with the smallest doc_id stays, with all columns
-    (of several rows with that id, the first by the row's hash). Rows with a null doc_id stay."""
-    found = near_duplicates(documents.select("doc_id", "text"), radius)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+def keep_one(documents: DataFrame) -> DataFrame:
+    """documents without near copies (near_copies.py: 5-word shingles, Jaccard similarity 0.8 or more): of each
+    component the row with the smallest doc_id stays, with all columns (of several rows with that id, the first by the
+    row's hash). Rows with a null doc_id stay."""
+    first = near_copies(documents).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     named = documents.join(first, "doc_id", "left_semi")
     order = W.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c, kind in documents.dtypes if "map<" not in kind and "variant" not in kind]))
     named = named.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").select(*documents.columns)
