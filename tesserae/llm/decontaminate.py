@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. Every n-gram of the benchmark's items is looked up in all documents
-and its document frequency counted. Of each item's n-grams the rarer half (by document frequency, and at least one)
-are its seeds: a passage copied into many documents keeps seeds, while n-grams of common words start no alignments. A
-document that holds a seed is aligned with the item around each place where it does (local alignment of words by
+Words are lower-cased runs of letters and digits. Every n-gram of the benchmark's items is a seed, however common it
+is: a document that holds one is aligned with the item around each place where it does (local alignment of words by
 Smith-Waterman, so replaced, added and dropped words only lower the score); similarity is the alignment score over
-the item's own, and pairs from MIN_SIMILARITY on are reported.
+the item's own, and pairs from MIN_SIMILARITY on are reported. An edited copy is found as long as one n-gram of the
+item is left in it.
 
 The benchmark is the query set: it is taken in blocks of bounded bytes, each block broadcast and run against all
 documents, so documents are never shuffled and no pairs within a group arise.
@@ -62,15 +61,6 @@ class Items:
         grams, gram_first = np.unique(hashes[at], return_index=True)
         return cls([i for i, _ in rows], t.hash, t.first, grams, np.append(gram_first, len(at)), t.text[at], at - t.first[t.text[at]], n)
 
-    def seeds(self, frequency: np.ndarray) -> Items:
-        """Keeps of each item the n-grams whose document frequency is at most the item's median."""
-        each = np.repeat(frequency, np.diff(self.gram_first))
-        limit = np.array([np.quantile(each[self.gram_item == i], 0.5, method="higher") if (self.gram_item == i).any() else -1 for i in range(len(self.ids))])
-        keep = each <= limit[self.gram_item] if len(each) else np.zeros(0, bool)
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.gram_first))[keep]
-        kept, first = np.unique(gram, return_index=True)
-        return Items(self.ids, self.words, self.first, self.grams[kept], np.append(first, len(gram)), self.gram_item[keep], self.gram_at[keep], self.n)
-
     def hits(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Places in the texts' words where an n-gram of the block starts, and which one."""
         hashes, whole = gram_hashes(t.hash, t.first, self.n)
@@ -165,27 +155,6 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, n: in
         yield Items.of(sorted((r.item_id, r.text) for r in part.collect()), n)
 
 
-def seeds_of(documents: DataFrame, items: Items) -> Items:
-    """Counts the documents that hold each n-gram of the block and keeps the rare ones."""
-    shared = documents.sparkSession.sparkContext.broadcast(items)
-
-    def make():
-        def one(batch):
-            t = Tokens(batch.column("text").to_pylist(), alnum=True)
-            at, gram = shared.value.hits(t)
-            pairs = np.unique(t.text[at] * np.int64(len(shared.value.grams)) + gram) if len(at) else np.zeros(0, np.int64)
-            which, n = np.unique(pairs % max(1, len(shared.value.grams)), return_counts=True)
-            return {"gram": which, "n": n}
-
-        return one
-
-    counted = map_texts(documents.select("text"), make, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(len(items.grams), np.int64)
-    for r in counted.collect():  # one row per n-gram of the block at most
-        frequency[r.gram] = r.n
-    return items.seeds(frequency)
-
-
 def find_leaks(documents: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """documents (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, n_seeds, score, similarity, start_word,
     end_word: a row for each document and item whose best alignment is similar enough.
@@ -196,7 +165,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_similarity: float
     schema = f"doc_id {ids}, item_id {kinds}, n_seeds int, score int, similarity double, start_word int, end_word int"
     out = None
     for items in benchmark_blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(seeds_of(documents, items))
+        shared = documents.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
             def one(batch):
@@ -219,7 +188,7 @@ def remove_leaks(documents: DataFrame, benchmark: DataFrame, min_similarity: flo
     schema = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes)
     kept = documents
     for items in benchmark_blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(seeds_of(documents, items))
+        shared = documents.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
             def one(batch):

@@ -89,3 +89,16 @@ def test_verbatim_passages_of_the_tables_are_found(spark):
     text, item = docs.select("doc_id", "text").collect(), bench.collect()
     want = {(x.doc_id, y.item_id) for x in text for y in item if y.text in x.text}
     assert want and want <= got
+
+
+def test_edited_copies_that_keep_under_half_of_the_ngrams(spark):
+    rng, vocab = vocabulary(7)
+    item = rng.sample(vocab, 30)
+    edited = [f"other{i}" if i % 5 == 2 else w for i, w in enumerate(item)]  # one word in five replaced, and no exact copy
+    filler = lambda: rng.choices(vocab[:5], k=20)
+    docs = [(1, " ".join(filler() + edited + filler())), (2, " ".join(filler()))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    assert [(r.doc_id, r.item_id, r.score) for r in d.find_leaks(df, bench).collect()] == [(1, 1, align(item, words(docs[0][1])))]
+    with_copy = df.unionByName(spark.createDataFrame([(3, " ".join(item))], "doc_id long, text string"))
+    assert {r.doc_id for r in d.find_leaks(with_copy, bench).collect()} == {1, 3}
+    assert [r.doc_id for r in d.remove_leaks(with_copy, bench).collect()] == [2]
