@@ -5,7 +5,8 @@ Two sets that similar share one of their first n - ceil(0.8 n) + 1 shingles in a
 looked at: shingles that are frequent in a sample of documents come last. Equal sets are one node. Each prefix shingle
 first links its nodes to the smallest of them, so that a large group of near copies becomes one component with links
 in proportion to its members; then all pairs of nodes of different components that share a prefix shingle are taken.
-Every link is checked on the whole sets. Components come from star rounds (components.py).
+Pairs that share too few of them for the similarity are passed over (possible); every other is checked on the whole
+sets. Components come from star rounds (components.py).
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def signed(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
         return one
 
-    return map_texts(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, node bigint, n bigint, prefix array<bigint>")
+    return map_texts(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, node bigint, n int, prefix array<bigint>")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -115,8 +116,22 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     return map_texts(docs, make, "node bigint, grams array<bigint>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, na, nb), a row for each prefix shingle that two nodes share -> a, b where the sets can be similar.
+
+    What two sets share beyond the prefix that ends first in the order lies in the rest of that set."""
+    pairs = pairs.select("a", "b", "na", "nb").filter(BELOW * F.least("na", "nb") >= ABOVE * F.greatest("na", "nb"))
+    rest = F.floor((ABOVE * F.greatest("na", "nb") + BELOW - 1) / BELOW) - 1
+    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return counted.filter((ABOVE + BELOW) * (F.col("c") + rest) >= ABOVE * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar."""
+    pairs = materialize(pairs, "near-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    named = nodes.select("node", "doc_id").join(wanted, "node").select("doc_id").distinct()
+    sets = materialize(whole_sets(docs.join(named, "doc_id", "left_semi")).dropDuplicates(["node"]), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
 
     def check(batches):
@@ -130,7 +145,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(BELOW * common >= ABOVE * (nx + ny - common))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "near-links")
 
 
 def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -140,24 +155,18 @@ def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     repeated. Other columns are ignored; an empty table gives an empty result."""
     docs = documents.select("doc_id", "text").filter("doc_id is not null")
     sets = materialize(signed(docs, sample), "near-prefixes")
-    entries = sets.select("node", "n", F.posexplode("prefix").alias("at", "gram")).distinct()
-    held = entries.groupBy("gram").agg(F.count("*").alias("members"), F.min("node").alias("low")).filter("members > 1")
-    shared = materialize(entries.join(held, "gram").drop("members"), "near-shared")
-    heads = shared.select("node").distinct().join(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    grams = materialize(whole_sets(docs.join(heads.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["node"]), "near-sets")
-
-    star = shared.filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(similar(star, grams), "near-links")
+    nodes = materialize(sets.groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("node", "m.*"), "near-nodes")
+    held = nodes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = materialize(nodes.select("node", "n", F.explode("prefix").alias("gram")).join(held.select("gram"), "gram"), "near-shared")
+
+    low = shared.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("low"))
+    star = shared.join(low, "gram").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"))
+    links = similar(possible(star.filter("a < b")), nodes, docs)
     known = connected_components(links, "near-components")
-    now = materialize(shared.drop("low").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
+    now = materialize(shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
     kinds = now.select("gram", "component").distinct()
-    apart = kinds.withColumnRenamed("component", "left_of").join(kinds.withColumnRenamed("component", "right_of"), "gram").filter("left_of < right_of")
-    side = lambda of, node, n, at: now.select("gram", F.col("component").alias(of), F.col("node").alias(node), F.col("n").alias(n), F.col("at").alias(at))
-    pairs = apart.join(side("left_of", "u", "nu", "i"), ["gram", "left_of"]).join(side("right_of", "v", "nv", "j"), ["gram", "right_of"])
-    pairs = pairs.filter(BELOW * F.least("nu", "nv") >= ABOVE * F.greatest("nu", "nv"))
-    # the first shingle that two sets share is at the smallest place of both; no more than what follows can be shared
-    pairs = pairs.groupBy(F.col("u").alias("a"), F.col("v").alias("b"), "nu", "nv").agg(F.min("i").alias("i"), F.min("j").alias("j"))
-    pairs = pairs.filter((ABOVE + BELOW) * F.least(F.col("nu") - F.col("i"), F.col("nv") - F.col("j")) >= ABOVE * (F.col("nu") + F.col("nv")))
-    links = materialize(links.unionByName(similar(pairs.select("a", "b"), grams)), "near-links")
-    found = connected_components(links, "near-components")
+    apart = kinds.withColumnRenamed("component", "of_a").join(kinds.withColumnRenamed("component", "of_b"), "gram").filter("of_a < of_b")
+    side = lambda k: now.select("gram", F.col("component").alias(f"of_{k}"), F.col("node").alias(k), F.col("n").alias(f"n{k}"))
+    pairs = apart.join(side("a"), ["gram", "of_a"]).join(side("b"), ["gram", "of_b"])
+    found = connected_components(links.unionByName(similar(possible(pairs), nodes, docs)), "near-components")
     return sets.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
