@@ -40,6 +40,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a few numbers each that are broadcast to be joined.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, n: int) -> DataFrame:
+    """df, of which n rows of a few numbers are known, with the hint to broadcast it if they are few; beyond, Spark
+    joins it by sorting and splits hot keys."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def clean_up(spark: SparkSession) -> int:
     """Deletes the tables that this process has materialized, once results that read them have been written; how many."""
     n = 0

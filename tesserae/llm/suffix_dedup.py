@@ -1,19 +1,22 @@
 """Removal of byte strings that occur more than once, with suffix arrays over shards.
 
-Every WINDOW bytes of a text hold an anchor: the K-gram with the smallest hash among the K-grams of that window. Equal
-windows have equal anchors at equal places, so all occurrences of a repeated window meet under its anchor's hash, and
-an anchor that occurs once rules out every window it stands for. What could repeat around an anchor is its context,
-the bytes of all windows that it is in. Contexts under one anchor that are equal as a whole are one entry with a
-multiplicity, and repeat as a whole if it exceeds one. The other entries go, with their counterparts, to shards by
-anchor. A shard trims each entry to what any other shares with it on either side, concatenates them and builds their
-suffix array by induced sorting with permuted common prefixes (suffix.py); a window is repeated if its class of equal
-prefixes holds two different places. Groups of more than MAX_GROUP entries are split first: a window that holds the
-key and `need` more bytes reaches half of them to the left or to the right, so the key is lengthened on either side,
-until the groups are small or the key is the window itself. So no group is collected whole, and none is cut.
-
-Texts are read three times instead of being shuffled: for counts of anchors, for the repeated ones, and for the
-contexts that need sorting. Between the readings a bitmap of fixed size is broadcast, whatever the data; its false
-positives are dropped by joins, so its size affects speed only. Hashes have 64 bits.
+Equal texts are collapsed first: a text that occurs twice goes as a whole, and one representative of it stands for all
+in what follows, with a multiplicity. Every WINDOW bytes of a text hold an anchor: the K-gram with the smallest hash
+among the K-grams of that window. Equal windows have equal anchors at equal places, so all occurrences of a repeated
+window meet under its anchor's hash, and an anchor that occurs once rules out every window it stands for. What could
+repeat around an anchor is its context, the bytes of all windows that it is in. Contexts under one anchor that are
+equal as a whole are one entry with a multiplicity, and repeat as a whole if it exceeds one. The other entries go, with
+their counterparts, to shards by anchor. A shard trims each entry to what any other shares with it on either side,
+concatenates them and builds their suffix array by induced sorting with permuted common prefixes (suffix.py); a window
+is repeated if its class of equal prefixes holds two different places. Groups of more than MAX_GROUP entries are split
+first: a window that holds the key and `need` more bytes reaches half of them to the left or to the right, so the key
+is lengthened on either side, until the groups are small or the key is the window itself. So no group is collected
+whole, and none is cut.
+
+Texts are hashed once: the anchors are written as a table, and the contexts that need sorting are cut out of the texts
+by their places. Anchors that occur once are dropped by a broadcast bitmap that is sized by the number of the others
+(its false positives only cost time), and by a join where that bitmap would exceed MAX_BITS. Texts are known by two
+hashes and their length, 64 and 60 bits.
 """
 
 from __future__ import annotations
@@ -22,15 +25,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, mix64
+from .common import broadcast_if_small, map_texts, materialize, mix64
 from .suffix import _powers, permuted_lcp, suffix_array
 
 WINDOW, K = 200, 80
-BITMAP_BITS = 1 << 27
+#: Most bits of the broadcast bitmap (128 MB), and bits for each anchor in it.
+MAX_BITS, BITS_EACH = 1 << 30, 8
 SHARD_BYTES, MAX_GROUP = 3 << 20, 8192
+#: Occurrences from which an entry is looked up by broadcast instead of meeting its rows in a join.
+HOT = 4096
 _PLACE = np.uint64((1 << 23) - 1)
 _VALUES = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -133,8 +139,8 @@ def _match(gk: np.ndarray, data: np.ndarray, at: np.ndarray, room: np.ndarray, w
 
 
 def repeated_in_shard(gk: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, contexts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, from, to) of the repeated stretches of the entries with n == 1. place: where the context begins in its
-    text; low, high: the group's key within the context; n: the entry's multiplicity."""
+    """(entry, from, to) of the repeated stretches of the entries with n == 1. place: where the context begins in its
+    text, which `key` stands for; low, high: the group's key within the context; n: the entry's multiplicity."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = np.array([len(c) for c in contexts], np.int64)
     base = np.cumsum(size) - size
@@ -189,112 +195,107 @@ def repeated_in_shard(gk: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.
     member = np.repeat(np.arange(len(good)), count)
     span = np.repeat(cuts, count) + np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
     origin = (place + start)[good][member]
-    return key[good][member], origin + lows[span], origin + highs[span]
+    return good[member], origin + lows[span], origin + highs[span]
 
 
-def _split(contexts: DataFrame, window: int, k: int, max_group: int) -> tuple[DataFrame, DataFrame]:
-    """(entries in groups of 2 to max_group, entries whose key of a whole window occurs twice), by lengthening keys."""
-    level, reach = contexts, k
-    small, same = [], contexts.limit(0)
+def _split(level: DataFrame, window: int, k: int, max_group: int) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of entries in groups of 2 to max_group, entries whose key of a whole window occurs twice), by
+    lengthening keys. Every level is written once, with the sizes of its groups."""
+    reach, small = k, []
     while True:
         sizes = level.groupBy("gk").agg(F.count("*").alias("members")).filter("members > 1")
-        counted = level.join(sizes, "gk")
-        small.append(counted.filter(F.col("members") <= max_group).drop("members"))
-        big = sizes.filter(F.col("members") > max_group).select("gk")
-        if big.isEmpty():
-            break
-        level = materialize(level.join(big, "gk", "left_semi"), "suffix-big")
-        if reach == window:
-            same = level
-            break
+        level = materialize(level.join(sizes, "gk"), "suffix-level")
+        small.append(level.filter(F.col("members") <= max_group).drop("members"))
+        big = level.filter(F.col("members") > max_group).drop("members")
+        if big.isEmpty() or reach == window:
+            return small, big
         h = -(-(window - reach) // 2)
-        wider = lambda low, high, side: level.withColumn("low", low).withColumn("high", high).filter("low >= 0 AND high <= octet_length(context_bytes)").withColumn("gk", F.xxhash64("gk", F.lit(side), F.substring("context_bytes", F.col("low") + 1, F.col("high") - F.col("low"))))  # noqa: B023, E731
-        level = materialize(wider(F.col("low") - h, F.col("high"), 0).unionByName(wider(F.col("low"), F.col("high") + h, 1)), "suffix-split")
+        side = lambda low, high, way: F.struct(F.lit(way).alias("way"), low.alias("low"), high.alias("high"))
+        wider = big.withColumn("to", F.explode(F.array(side(F.col("low") - h, F.col("high"), 0), side(F.col("low"), F.col("high") + h, 1))))  # noqa: B023
+        wider = wider.filter("to.low >= 0 AND to.high <= octet_length(context_bytes)")
+        key = F.xxhash64("gk", "to.way", F.substring("context_bytes", F.col("to.low") + 1, F.col("to.high") - F.col("to.low")))
+        level = wider.select(key.alias("gk"), "n", "key", "key2", "place", F.col("to.low").alias("low"), F.col("to.high").alias("high"), "context_bytes")
         reach += h
-    out = small[0]
-    for s in small[1:]:
-        out = out.unionByName(s)
-    return out, same
-
-
-def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, bits: int = BITMAP_BITS, max_group: int = MAX_GROUP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """texts (key bigint: a hash of the text, text) -> key, low, high: stretches of bytes covered by repeated windows;
-    they may overlap, and repeated rows give them once."""
-    sc = texts.sparkSession.sparkContext
-
-    def scan(schema, pick):
-        def make():
-            def one(batch):
-                data, bounds = _lay(batch)
-                return pick(batch, data, anchors(data, bounds, k, window), bounds)
-
-            return one
-
-        return map_texts(texts, make, schema)
-
-    counts = scan("anchor bigint", lambda batch, data, a, bounds: {"anchor": _signed(a["anchor"])}).groupBy("anchor").agg(F.count("*").alias("n"))
-    seen = sc.broadcast(bitmap(counts.filter("n > 1").select(F.col("anchor")), "anchor", bits))
-
-    def repeated(batch, data, a, bounds):
-        at = np.flatnonzero(_has(seen.value, a["anchor"]))
-        key = batch.column("key").to_numpy()[a["text"][at]] if len(at) else np.zeros(0, np.int64)
-        return {"anchor": _signed(a["anchor"][at]), "context": _signed(a["context"][at]), "key": key, "place": a["place"][at] - a["left"][at], "size": a["size"][at].astype(np.int32)}
-
-    rows = materialize(scan("anchor bigint, context bigint, key bigint, place bigint, size int", repeated), "suffix-anchors")
-    entries = materialize(rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("rep")).select("anchor", "context", "n", "rep.key", "rep.place"), "suffix-entries")
-    groups = entries.groupBy("anchor").agg(F.count("*").alias("members"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).filter("members > 1 AND single > 0").select("anchor")
-    wanted = materialize(entries.join(groups, "anchor", "left_semi"), "suffix-wanted")
-
-    chosen = sc.broadcast(bitmap(wanted.select(F.xxhash64("anchor", "context", "key", "place").alias("entry")), "entry", bits))
-
-    def contexts(batch, data, a, bounds):
-        near = np.flatnonzero(_has(seen.value, a["anchor"]))
-        if not len(near):
-            return {c: [] for c in ("anchor", "context", "key", "place", "low", "context_bytes")}
-        key = batch.column("key").to_numpy()[a["text"][near]].view(np.uint64)
-        near = near[_has(chosen.value, spark_xxhash64(a["anchor"][near], a["context"][near], key, (a["place"] - a["left"])[near].astype(np.uint64)))]
-        first = bounds[a["text"][near]] + a["place"][near] - a["left"][near]
-        whole = data.tobytes()
-        return {
-            "anchor": _signed(a["anchor"][near]), "context": _signed(a["context"][near]), "key": batch.column("key").to_numpy()[a["text"][near]], "place": a["place"][near] - a["left"][near],
-            "low": a["left"][near].astype(np.int32), "context_bytes": [whole[x:y] for x, y in zip(first.tolist(), (first + a["size"][near]).tolist(), strict=True)],
-        }
-
-    found = scan("anchor bigint, context bigint, key bigint, place bigint, low int, context_bytes binary", contexts)
-    joined = found.join(wanted, ["anchor", "context", "key", "place"]).dropDuplicates(["anchor", "context"])
-    joined = materialize(joined.select(F.col("anchor").alias("gk"), "n", "key", "place", "low", (F.col("low") + k).alias("high"), "context_bytes"), "suffix-contexts")
-    small, same = _split(joined, window, k, max_group)
-    total = joined.agg(F.sum(F.octet_length("context_bytes"))).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_bytes))
-    small = small.withColumn("shard", F.pmod(F.xxhash64("gk", F.lit(3)), F.lit(shards)))
 
-    def sort_shard(shard: pa.Table) -> pa.Table:
-        col = lambda c: shard.column(c).to_numpy()
-        got = repeated_in_shard(col("gk").view(np.uint64), col("n"), col("key"), col("place"), col("low").astype(np.int64), col("high").astype(np.int64), shard.column("context_bytes").to_pylist(), window)
-        return pa.table(dict(zip(("key", "low", "high"), map(pa.array, got), strict=True)))
 
-    sorted_ = small.groupBy("shard").applyInArrow(sort_shard, "key bigint, low bigint, high bigint")
-    exact = same.filter("n = 1").select("key", (F.col("place") + F.col("low")).alias("low"), (F.col("place") + F.col("high")).alias("high"))
-    many = rows.join(entries.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
-    many = many.filter(F.col("size") >= window).select("key", F.col("place").alias("low"), (F.col("place") + F.col("size")).alias("high"))
-    return sorted_.unionByName(exact).unionByName(many).distinct()
+def _repeated_anchors(anchors_: DataFrame, max_bits: int) -> DataFrame:
+    """The rows whose anchor occurs twice (some others may be left among them)."""
+    counts = materialize(anchors_.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-repeated")
+    bits = 1 << max(6, (BITS_EACH * counts.count()).bit_length())
+    if bits > max_bits:
+        return anchors_.join(counts, "anchor", "left_semi")
+    seen = anchors_.sparkSession.sparkContext.broadcast(bitmap(counts, "anchor", bits))
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_has(seen.value, batch.column("anchor").to_numpy().view(np.uint64))))
 
+    return anchors_.mapInArrow(keep, anchors_.schema)
 
-_PRIMES = tuple(map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)))
 
+def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+    """texts (key, key2: hashes of the text, twin: whether it occurs twice, text; one row for each text) -> key, key2,
+    low, high: stretches of bytes covered by repeated windows, of texts that are no twins; they may overlap."""
 
-def spark_xxhash64(*columns: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of bigint columns: each value hashed with the hash so far (42 at first) as seed."""
-    p1, p2, p3, p4, p5 = _PRIMES
-    rotl = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    seed = np.full(len(columns[0]), 42, np.uint64)
-    for c in columns:
-        h = (seed + p5 + np.uint64(8)) ^ (rotl(c * p2, 31) * p1)
-        h = rotl(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        seed = h ^ (h >> np.uint64(32))
-    return seed
+    def make():
+        def one(batch):
+            data, bounds = _lay(batch)
+            a = anchors(data, bounds, k, window)
+            of = pa.array(a["text"])
+            return {"anchor": _signed(a["anchor"]), "context": _signed(a["context"]), **{c: batch.column(c).take(of) for c in ("key", "key2", "twin")}, "place": (a["place"] - a["left"]).astype(np.int32), "left": a["left"].astype(np.int32), "size": a["size"].astype(np.int32)}
+
+        return one
+
+    found = materialize(map_texts(texts.select("key", "key2", "twin", "text"), make, "anchor bigint, context bigint, key bigint, key2 bigint, twin boolean, place int, left int, size int"), "suffix-anchors")
+    rows = _repeated_anchors(found, max_bits)
+    first = F.min(F.struct("key", "key2", "place", "left", "size")).alias("rep")
+    entries = materialize(rows.groupBy("anchor", "context").agg(F.sum(1 + F.col("twin").cast("int")).alias("n"), first).select("anchor", "context", "n", "rep.*"), "suffix-entries")
+    groups = entries.groupBy("anchor").agg(F.count("*").alias("members"), F.count_if(F.col("n") == 1).alias("single")).filter("members > 1 AND single > 0").select("anchor", (F.col("members") > max_group).alias("big"))
+    wanted = entries.join(groups, "anchor").groupBy("key", "key2").agg(F.collect_list(F.struct("anchor", "n", "big", "place", "left", "size")).alias("entries"))
+    wanted = materialize(wanted, "suffix-wanted")
+    total, n_texts = wanted.agg(F.sum(F.aggregate("entries", F.lit(0).cast("bigint"), lambda s, e: s + e["size"])), F.count("*")).first()
+
+    def cut():
+        def one(batch):
+            lists = batch.column("entries")
+            at = {c: lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "n", "big", "place", "left", "size")}
+            bounds = lists.offsets.to_numpy()
+            at = {c: v[bounds[0] : bounds[-1]] for c, v in at.items()}
+            of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            raw = [t.encode() for t in batch.column("text").to_pylist()]
+            stops = (at["place"] + at["size"]).tolist()
+            low = at["left"]
+            take = pa.array(of)
+            return {
+                "gk": pa.array(at["anchor"]), "n": pa.array(at["n"]), "big": pa.array(at["big"]), "key": batch.column("key").take(take), "key2": batch.column("key2").take(take), "place": pa.array(at["place"].astype(np.int64)), "low": low,
+                "high": low + np.int32(k), "context_bytes": [raw[t][a:b] for t, a, b in zip(of.tolist(), at["place"].tolist(), stops, strict=True)],
+            }
+
+        return one
+
+    named = texts.select("key", "key2", "text").join(broadcast_if_small(wanted.select("key", "key2"), n_texts), ["key", "key2"], "left_semi")
+    contexts = map_texts(named.join(wanted, ["key", "key2"]), cut, "gk bigint, n bigint, big boolean, key bigint, key2 bigint, place bigint, low int, high int, context_bytes binary")
+    contexts = materialize(contexts, "suffix-contexts")
+    small, same = _split(contexts.filter("big").drop("big"), window, k, max_group)
+    shards = max(1, -(-int(total or 0) // shard_bytes))
+    parts = contexts.filter("NOT big").drop("big")
+    for part in small:
+        parts = parts.unionByName(part)
+    parts = parts.withColumn("shard", F.pmod(F.xxhash64("gk", F.lit(3)), F.lit(shards)))
+
+    def sort_shard(shard: pa.Table) -> pa.Table:
+        col = lambda c: shard.column(c).to_numpy()
+        which, low, high = repeated_in_shard(col("gk").view(np.uint64), col("n"), col("key") ^ col("key2"), col("place"), col("low").astype(np.int64), col("high").astype(np.int64), shard.column("context_bytes").to_pylist(), window)
+        which = pa.array(which)
+        return pa.table([shard.column("key").take(which), shard.column("key2").take(which), pa.array(low), pa.array(high)], ["key", "key2", "low", "high"])
+
+    sorted_ = parts.groupBy("shard").applyInArrow(sort_shard, "key bigint, key2 bigint, low bigint, high bigint")
+    exact = same.filter("n = 1").select("key", "key2", (F.col("place") + F.col("low")).alias("low"), (F.col("place") + F.col("high")).alias("high"))
+    spans = lambda df: df.filter(F.col("size") >= window).select("key", "key2", F.col("place").cast("bigint").alias("low"), (F.col("place") + F.col("size")).cast("bigint").alias("high"))
+    often = entries.filter(F.col("n") > hot).select("anchor", "context", F.lit(True).alias("often"))
+    marked = rows.filter("NOT twin").join(broadcast_if_small(often, often.count()), ["anchor", "context"], "left")
+    some = entries.filter((F.col("n") > 1) & (F.col("n") <= hot)).select("anchor", "context")
+    return sorted_.unionByName(exact).unionByName(spans(marked.filter("often"))).unionByName(spans(marked.filter("often IS NULL").join(some, ["anchor", "context"], "left_semi")))
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -313,21 +314,38 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int,
     return b"".join(kept), removed, runs
 
 
+def _second_hash(text: Column) -> Column:
+    """The text's CRC-32 and, in 28 more bits, its length."""
+    return F.shiftleft(F.crc32(text.cast("binary")), 28).bitwiseOR(F.octet_length(text).bitwiseAND((1 << 28) - 1))
+
+
 def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K, **options) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), one
     row per row. A byte goes if a string of `window` bytes that covers it also starts elsewhere in any row.
 
     Null texts count as empty; texts shorter than the window keep all bytes; of equal long texts, repeated rows
-    included, nothing stays. Other columns are ignored; an empty table gives an empty result."""
-    keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    spans = repeated_spans(keyed.select("key", "text"), window, k, **options)
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
+    included, nothing stays. Other columns are ignored; an empty table gives an empty result. Ids may be of any type
+    that has an order, and null."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"), _second_hash(text).alias("key2"))
+    twins = keyed.filter(F.octet_length("text") >= window).groupBy("key", "key2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+    twins = materialize(twins.select("key", "key2", "first", F.lit(True).alias("twin")), "suffix-twins")
+    marked = keyed.join(broadcast_if_small(twins, twins.count()), ["key", "key2"], "left").withColumn("twin", F.col("twin").isNotNull())
+    one_each = marked.filter((F.octet_length("text") >= window) & (~F.col("twin") | F.col("doc_id").eqNullSafe(F.col("first"))))
+
+    spans = repeated_spans(one_each, window, k, **options).groupBy("key", "key2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    spans = materialize(spans, "suffix-spans")
+    known = broadcast_if_small(spans.select("key", "key2", F.lit(True).alias("touched")), spans.count())
+    rest = marked.filter("NOT twin").join(known, ["key", "key2"], "left")
+    n_bytes = F.octet_length("text").cast("bigint")
+    none = F.lit(0).cast("bigint")
+    whole = rest.filter("touched IS NULL").select("doc_id", n_bytes.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
+    gone = marked.filter("twin").select("doc_id", n_bytes.alias("n_bytes"), n_bytes.alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))
 
     def make():
         def one(batch):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            got = [remove_spans(t, [(s["low"], s["high"]) for s in spans or ()]) for t, spans in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+            got = [remove_spans(t, [(s["low"], s["high"]) for s in spans]) for t, spans in zip(texts, batch.column("spans").to_pylist(), strict=True)]
             return {
                 "doc_id": batch.column("doc_id"), "n_bytes": [len(t) for t in texts], "n_removed": [g[1] for g in got], "n_spans": [g[2] for g in got],
                 "kept_sha256": [hashlib.sha256(g[0]).hexdigest() for g in got], "kept": [g[0] for g in got],
@@ -335,4 +353,5 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K, **opt
 
         return one
 
-    return map_texts(joined, make, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    cut = map_texts(rest.filter("touched").join(spans, ["key", "key2"]).select("doc_id", "text", "spans"), make, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return cut.unionByName(whole).unionByName(gone)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.llm import common
 from tesserae.llm import suffix_dedup as s
 
 
@@ -51,8 +52,20 @@ def test_planted_repeats(spark, planted):
     check(spark, planted)
 
 
-def test_large_groups_are_split_and_small_bitmaps_do_no_harm(spark, planted):
-    check(spark, planted, max_group=2, bits=64, shard_bytes=2000)
+def test_large_groups_are_split_and_hot_entries_looked_up(spark, planted):
+    check(spark, planted, max_group=2, max_bits=1 << 20, shard_bytes=2000, hot=1)
+
+
+def test_joins_in_place_of_broadcasts(spark, planted, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    check(spark, planted, max_bits=0, hot=1)
+
+
+def test_nulls_ties_and_other_kinds_of_ids(spark, planted):
+    texts = [planted[0], planted[0], planted[3], None, "short", "short"]
+    df = spark.createDataFrame([(None if i < 2 else "same", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.remove_repeats(df).collect())
+    assert got == sorted(brute(texts))
 
 
 def test_whole_table(spark):
@@ -68,12 +81,5 @@ def test_steps_of_long_buffers_agree():
     assert all(np.array_equal(a[c], b[c]) for c in a)
 
 
-def test_spark_hash_is_reproduced(spark):
-    x = np.array([0, 1, -5, 2**62, -(2**63)], np.int64)
-    df = spark.createDataFrame([(int(v), int(v) // 3) for v in x], "a long, b long")
-    want = [r.h for r in df.select(F.xxhash64("a", "b").alias("h")).collect()]
-    assert s.spark_xxhash64(x.view(np.uint64), (x // 3).view(np.uint64)).view(np.int64).tolist() == want
-
-
 def test_empty_table(spark):
     assert s.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
