@@ -34,7 +34,7 @@ from .suffix import _powers, permuted_lcp, suffix_array
 WINDOW, K = 200, 80
 #: Most bits of the broadcast bitmap (128 MB), and bits for each anchor in it.
 MAX_BITS, BITS_EACH = 1 << 30, 8
-SHARD_BYTES, MAX_GROUP = 3 << 20, 8192
+SHARD_BYTES, MAX_GROUP = 3 << 19, 4096
 #: Occurrences from which an entry is looked up by broadcast instead of meeting its rows in a join.
 HOT = 4096
 _PLACE = np.uint64((1 << 23) - 1)
