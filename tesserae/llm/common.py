@@ -146,8 +146,8 @@ def batches_by_bytes(texts: list, limit: int = 4 << 20):
 
 def map_texts(df: DataFrame, make, schema: str, text: str = "text") -> DataFrame:
     """mapInArrow over df; make(batch) gets a RecordBatch with about 4 MB of texts (a longer text alone, whole) and
-    returns a dict of columns or a list of such dicts. make is called once per task with no argument to set up, and
-    returns the function that is then applied."""
+    returns a dict of columns or an iterator of such dicts. make is called once per task with no argument to set up,
+    and returns the function that is then applied."""
 
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -160,7 +160,7 @@ def map_texts(df: DataFrame, make, schema: str, text: str = "text") -> DataFrame
             for a, b in batches_by_bytes(batch.column(text).to_pylist() if batch.num_rows else []):
                 if b > a:
                     made = one(batch.slice(a, b - a))
-                    for columns in made if isinstance(made, list) else [made]:
+                    for columns in [made] if isinstance(made, dict) else made:
                         yield pa.RecordBatch.from_arrays([_column(columns[f.name], f.type) for f in fields], schema=fields)
 
     return df.mapInArrow(run, schema)

@@ -11,7 +11,9 @@ Nothing is broadcast but the weights. Documents are packed into blocks of about
 block's words, and each token's place in them). A block asks for the counts of its distinct words and bigrams:
 their hashes, with the block's training counts, go to buckets by hash, each bucket adds up what all blocks bring and
 answers every block. So what is shuffled is one entry for each distinct bigram of a block, packed, and no key is hot:
-a frequent word is one entry a block. Hashes have 56 bits.
+a frequent word is one entry a block. A step cuts by CUT_BITS bits at most; where more buckets are needed, groups of
+GROUP blocks are added up bucket by bucket and ask on in the same way, so messages stay in proportion to the blocks.
+Hashes have 56 bits, by which different n-grams can fall together.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import Tokens, batches_by_bytes, fold, materialize, mix64
 
 BLOCK_TOKENS, BUCKET_ENTRIES = 1_000_000, 1_000_000
+CUT_BITS, GROUP = 8, 256
 STEPS = 40
 #: Quantised logarithms: steps of a power of two, and the mark for an estimate of 0.
 FINE, NONE = 8, -100_000
@@ -136,6 +139,28 @@ def _read(row: dict) -> Block:
     return Block(_unzip(row["vocabulary"], np.uint64), _unzip(row["ids"], np.int32), _unzip(row["sizes"], np.int64), _unzip(row["train"], np.uint8).astype(bool))
 
 
+_PIECE = "bucket bigint, sender bigint, words binary, word_n binary, pairs binary, pair_n binary"
+_ANSWER = "bucket bigint, sender bigint, word_n binary, pair_n binary, types bigint"
+
+
+def _record(row: dict, schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(row[c], kinds[k]) for c, k in fields], [c for c, _ in fields])
+
+
+def _cut(bucket: int, sender: int, parts: list[tuple[np.ndarray, np.ndarray]], bits: int, used: int):
+    """A record for each piece of the ascending hashes (of words and of bigrams) cut by the next bits."""
+    cuts = []
+    for h, _ in parts:
+        first = h >> np.uint64(56 - used - bits) & np.uint64((1 << bits) - 1)
+        cuts.append(np.searchsorted(first, np.arange((1 << bits) + 1, dtype=np.uint64)))
+    for k in range(1 << bits):
+        (words, word_n), (pairs, pair_n) = ((h[c[k] : c[k + 1]], n[c[k] : c[k + 1]]) for (h, n), c in zip(parts, cuts, strict=True))
+        if len(words) or len(pairs):
+            yield _record({"bucket": [bucket << bits | k], "sender": [sender], "words": [_zip_sorted(words)], "word_n": [_zip(word_n.astype(np.uint64))], "pairs": [_zip_sorted(pairs)], "pair_n": [_zip(pair_n.astype(np.uint64))]}, _PIECE)
+
+
 def _ask(blocks: DataFrame, bits: int) -> DataFrame:
     """Each block's distinct words and bigrams with its training counts, cut by the hash's first bits."""
 
@@ -148,32 +173,56 @@ def _ask(blocks: DataFrame, bits: int) -> DataFrame:
                 parts = []
                 for h, n in ((b.vocabulary, np.bincount(b.ids, train, len(b.vocabulary))), (b.hashes(codes), np.bincount(which, train, len(codes)))):
                     order = np.argsort(h)
-                    h, n = h[order], n[order].astype(np.uint32)
-                    cuts = np.searchsorted(h >> np.uint64(56 - bits) if bits else np.zeros(len(h), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    parts.append((h, n, cuts))
-                (wh, wn, wc), (bh, bn, bc) = parts
-                for k in range(1 << bits):
-                    if wc[k + 1] > wc[k] or bc[k + 1] > bc[k]:
-                        piece = [[k], [row["block"]], [_zip_sorted(wh[wc[k] : wc[k + 1]])], [_zip(wn[wc[k] : wc[k + 1]])], [_zip_sorted(bh[bc[k] : bc[k + 1]])], [_zip(bn[bc[k] : bc[k + 1]])]]
-                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(piece, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "block", "words", "word_n", "pairs", "pair_n"])
+                    parts.append((h[order], n[order]))
+                yield from _cut(0, row["block"], parts, bits, 0)
+
+    return blocks.select("block", "sizes", "train", "vocabulary", "ids").mapInArrow(run, _PIECE)
 
-    return blocks.select("block", "sizes", "train", "vocabulary", "ids").mapInArrow(run, "bucket int, block bigint, words binary, word_n binary, pairs binary, pair_n binary")
+
+def _added(rows: list[dict], name: str, counts: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct hashes of all rows, their counts over all, and where each row's lie among them."""
+    h = [_unzip_sorted(r[name]) for r in rows]
+    n = np.concatenate([_unzip(r[counts], np.uint64) for r in rows])
+    cuts = np.cumsum([0, *map(len, h)])
+    every, which = np.unique(np.concatenate(h), return_inverse=True)
+    return every, np.bincount(which, n, len(every)).astype(np.uint64), [which[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _answer(bucket: pa.Table) -> pa.Table:
-    """Adds up a bucket's counts over all blocks and answers each block; types: training words first brought by it."""
+    """Adds up a bucket's counts over all senders and answers each; types: its distinct training words, told to one."""
     rows = bucket.to_pylist()
-    out = {"bucket": [r["bucket"] for r in rows], "block": [r["block"] for r in rows]}
+    out = {"bucket": [r["bucket"] for r in rows], "sender": [r["sender"] for r in rows]}
     for name, counts in (("words", "word_n"), ("pairs", "pair_n")):
-        h = [_unzip_sorted(r[name]) for r in rows]
-        n = np.concatenate([_unzip(r[counts], np.uint32) for r in rows])
-        cuts = np.cumsum([0, *map(len, h)])
-        _, first, which = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
-        total = np.bincount(which, n, len(first)).astype(np.uint64)
-        out[counts] = [_zip(total[which[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        _, total, places = _added(rows, name, counts)
+        out[counts] = [_zip(total[at]) for at in places]
         if name == "words":
-            out["types"] = np.bincount(np.searchsorted(cuts, first[total > 0], "right") - 1, minlength=len(rows)).astype(np.int64)
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(((k, out[k]) for k in ("bucket", "block", "word_n", "pair_n", "types")), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)})
+            out["types"] = [int((total > 0).sum())] + [0] * (len(rows) - 1)
+    return pa.Table.from_batches([_record(out, _ANSWER)])
+
+
+def _totals(pieces: DataFrame, senders: int, used: int, bits: int) -> DataFrame:
+    """Answers to all pieces, which are cut by `used` bits so far and have to be cut by `bits` more to be few enough."""
+    if not bits:
+        return pieces.groupBy("bucket").applyInArrow(_answer, _ANSWER)
+    step, groups = min(bits, CUT_BITS), -(-senders // GROUP)
+    pieces = materialize(pieces.withColumn("team", F.pmod(F.xxhash64("sender"), F.lit(groups))), "lm-pieces")
+
+    def combine(team: pa.Table) -> pa.Table:
+        rows = team.to_pylist()
+        parts = [_added(rows, name, counts)[:2] for name, counts in (("words", "word_n"), ("pairs", "pair_n"))]
+        return pa.Table.from_batches(list(_cut(rows[0]["bucket"], rows[0]["team"], parts, step, used)))
+
+    def spread(team: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, replies = team.to_pylist(), sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        out = {"bucket": [r["bucket"] for r in rows], "sender": [r["sender"] for r in rows], "types": [sum(r["types"] for r in replies)] + [0] * (len(rows) - 1)}
+        for name, counts in (("words", "word_n"), ("pairs", "pair_n")):
+            total = np.concatenate([_unzip(r[counts], np.uint64) for r in replies])
+            out[counts] = [_zip(total[at]) for at in _added(rows, name, counts)[2]]
+        return pa.Table.from_batches([_record(out, _ANSWER)])
+
+    asked = pieces.groupBy("bucket", "team").applyInArrow(combine, _PIECE)
+    answers = _totals(asked, groups, used + step, bits - step).withColumn("of", F.shiftright("bucket", step))
+    return pieces.groupBy("bucket", "team").cogroup(answers.groupBy("of", "sender")).applyInArrow(spread, _ANSWER)
 
 
 def _quantise(x: np.ndarray) -> np.ndarray:
@@ -239,8 +288,9 @@ def score_texts(documents: DataFrame, held_out: int = 1) -> DataFrame:
     blocks = materialize(pack(documents.select("doc_id", "text", (fold(F.col("doc_id")) != held_out).alias("train"))), "lm-blocks")
     total = blocks.agg(F.sum("tokens")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_ENTRIES)))))
-    answers = _ask(blocks, bits).groupBy("bucket").applyInArrow(_answer, "bucket int, block bigint, word_n binary, pair_n binary, types bigint")
-    met = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    first = min(bits, CUT_BITS)
+    answers = _totals(_ask(blocks, first), blocks.count(), first, bits - first)
+    met = blocks.groupBy("block").cogroup(answers.groupBy("sender")).applyInArrow(
         _meet, f"docs array<{kind}>, sizes binary, word_n binary, pair_n binary, held array<struct<b:int,p2:int,p1:int,n:bigint>>, train_tokens bigint, types bigint, ids binary, end int"
     )
     met = materialize(met, "lm-counts")

@@ -1,14 +1,16 @@
 """TIFF as a media column: pages of a TIFF file as rows, and texts stored losslessly as TIFF samples.
 
 The reader walks the chain of image directories in either byte order; strips or tiles; no compression, PackBits, LZW
-or deflate; chunky or planar samples of 8, 16 or 32 bits; undoes horizontal differencing and the floating-point
-predictor; and gives one row per page.
+or deflate; chunky or planar samples of 1, 2, 4, 8, 16, 32 or 64 bits; undoes horizontal differencing and the
+floating-point predictor; and gives one row per page. Headers are checked before anything is allocated, a page must
+be one that its compressed bytes can hold, and a strip is decoded up to the bytes its size needs.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 WIDTH, ROWS_PER_STRIP = 64, 1024
+FLUSH = 16 << 20
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Bytes and struct codes of the TIFF field types.
 _TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d")}
@@ -26,9 +29,9 @@ class TiffError(ValueError):
     """The bytes are no TIFF that this reader knows."""
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -60,7 +63,7 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, most: int | None = None) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; 256 clears the table, 257 ends."""
     out, table, width, held, bits, last = bytearray(), [], 9, 0, 0, None
     for byte in data:
@@ -81,8 +84,11 @@ def unpack_lzw(data: bytes) -> bytes:
             entry = table[code]
         else:
             entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
+            if len(table) < 4096:
+                table.append(last + entry[:1])
         out += entry
+        if most is not None and len(out) >= most:
+            break
         last = entry
         width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
     return bytes(out)
@@ -132,7 +138,13 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-_DECODE = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+_DECODE = {NONE: lambda data, most: data[:most], LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
+#: Most bytes that a byte of each compression can stand for.
+_MOST = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 _ENCODE = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: pack_bits}
 
 
@@ -186,7 +198,9 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
         place = at + 10 + 12 * i
         if size * count > 4:
             (place,) = struct.unpack_from(order + "I", data, place)
-        tags[tag] = struct.unpack_from(order + code * count if len(code) > 1 else f"{order}{count}{code}", data, place)
+        if place + size * count > len(data):
+            raise TiffError("a field lies beyond the end")
+        tags[tag] = struct.unpack_from(f"{order}{count * len(code)}{code[0]}", data, place)
     return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
@@ -204,41 +218,105 @@ def _unpredict(part: np.ndarray, predictor: int, order: str) -> np.ndarray:
     return part
 
 
+def _number(tags: dict[int, tuple], tag: int, default: int | None = None) -> int:
+    """A tag's value, which has to be one whole number (or several equal ones)."""
+    values = tags.get(tag, () if default is None else (default,))
+    if not values or not isinstance(values[0], int) or values[0] < 0 or len(set(values)) > 1:
+        raise TiffError(f"field {tag} is missing or no number")
+    return values[0]
+
+
+@dataclass
+class _Layout:
+    """A page's header, checked."""
+
+    width: int
+    height: int
+    samples: int
+    bits: int
+    compression: int
+    predictor: int
+    form: int
+    planar: int
+    tiled: bool
+    across: int
+    down: int
+    offsets: tuple
+    counts: tuple
+
+    @classmethod
+    def of(cls, tags: dict[int, tuple]) -> _Layout:
+        get = lambda tag, default=None: _number(tags, tag, default)
+        tiled = 324 in tags
+        width, height = get(256), get(257)
+        across, down = (get(322), get(323)) if tiled else (width, min(get(278, height), height))
+        offsets, counts = (tags.get(324, ()), tags.get(325, ())) if tiled else (tags.get(273, ()), tags.get(279, ()))
+        p = cls(width, height, get(277, 1), get(258, 1), get(259, 1), get(317, 1), get(339, 1), get(284, 1), tiled, across, down, offsets, counts)
+        if not (width and height and p.samples and across and down):
+            raise TiffError("a page, tile or strip without samples")
+        if p.bits not in (1, 2, 4, 8, 16, 32, 64) or p.compression not in _DECODE or p.planar not in (1, 2):
+            raise TiffError(f"{p.bits} bits, compression {p.compression}, layout {p.planar}")
+        if p.form == 3 and p.bits < 16 or p.predictor not in (1, 2, 3) or p.predictor == 2 and p.bits < 8 or p.predictor == 3 and p.form != 3:
+            raise TiffError(f"predictor {p.predictor} of {p.bits} bits of kind {p.form}")
+        if not all(isinstance(x, int) for x in (*offsets, *counts)):
+            raise TiffError("places of strips or tiles are no numbers")
+        parts = p.columns * p.rows * p.planes
+        if min(len(offsets), len(counts)) < parts:
+            raise TiffError("fewer strips or tiles than the size needs")
+        return p
+
+    @property
+    def columns(self) -> int:
+        return -(-self.width // self.across)
+
+    @property
+    def rows(self) -> int:
+        return -(-self.height // self.down)
+
+    @property
+    def planes(self) -> int:
+        return self.samples if self.planar == 2 else 1
+
+    @property
+    def inside(self) -> int:
+        """Samples of a pixel that lie together."""
+        return 1 if self.planar == 2 else self.samples
+
+    def high(self, i: int) -> int:
+        """Rows of the i-th strip or tile."""
+        return self.down if self.tiled else min(self.down, self.height - i % (self.columns * self.rows) // self.columns * self.down)
+
+    def need(self, i: int) -> int:
+        return self.high(i) * -(-self.across * self.inside * self.bits // 8)
+
+
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
-    get = lambda tag, default: tags.get(tag, (default,))[0]
-    if 256 not in tags or 257 not in tags:
-        raise TiffError("a directory without a size")
-    width, height, samples, planar = get(256, 0), get(257, 0), get(277, 1), get(284, 1)
-    bits, compression, predictor, form = get(258, 1), get(259, 1), get(317, 1), get(339, 1)
-    if bits not in (8, 16, 32, 64) or compression not in _DECODE:
-        raise TiffError(f"{bits} bits, compression {compression}")
-    kind = np.dtype(f"{order}{'f' if form == 3 else 'i' if form == 2 else 'u'}{bits // 8}")
-    tiled = 324 in tags
-    across, down = (get(322, width), get(323, height)) if tiled else (width, min(get(278, height), height) or 1)
-    offsets, counts = (tags.get(324, ()), tags.get(325, ())) if tiled else (tags.get(273, ()), tags.get(279, ()))
-    columns, rows = -(-width // across) if width else 0, -(-height // down)
-    planes, inside = (samples, 1) if planar == 2 else (1, samples)
-    if min(len(offsets), len(counts)) < columns * rows * planes:
-        raise TiffError("fewer strips or tiles than the size needs")
-    page = np.zeros((height, width, samples), kind.newbyteorder("="))
-    for i in range(columns * rows * planes):
-        plane, at = divmod(i, columns * rows)
-        top, left = at // columns * down, at % columns * across
-        high = down if tiled else min(down, height - top)
-        try:
-            raw = _DECODE[compression](data[offsets[i] : offsets[i] + counts[i]])
-        except zlib.error as e:
-            raise TiffError(str(e)) from e
-        need = high * across * inside * kind.itemsize
-        if len(raw) < need:
+    p = _Layout.of(tags)
+    parts = p.columns * p.rows * p.planes
+    if sum(map(p.need, range(parts))) > _MOST[p.compression] * len(data) + 64 * parts:
+        raise TiffError("a page larger than its bytes can hold")
+    for i in range(parts):
+        if p.need(i) > _MOST[p.compression] * max(0, min(p.counts[i], len(data) - p.offsets[i])) + 64:
+            raise TiffError("a strip or tile is too short")
+    kind = np.dtype(f"{order}{'f' if p.form == 3 else 'i' if p.form == 2 else 'u'}{max(1, p.bits // 8)}")
+    page = np.zeros((p.height, p.width, p.samples), kind.newbyteorder("="))
+    for i in range(parts):
+        plane, at = divmod(i, p.columns * p.rows)
+        top, left, high = at // p.columns * p.down, at % p.columns * p.across, p.high(i)
+        raw = _DECODE[p.compression](data[p.offsets[i] : p.offsets[i] + p.counts[i]], p.need(i))[: p.need(i)]
+        if len(raw) < p.need(i):
             raise TiffError("a strip or tile is too short")
-        part = _unpredict(np.frombuffer(raw[:need], kind).reshape(high, across, inside), predictor, order)
-        page[top : top + high, left : left + across, plane : plane + inside] = part[: height - top, : width - left]
-    return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": compression, "predictor": predictor, "tiled": tiled, "pixels": page}
+        if p.bits < 8:
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(high, -1), axis=1)[:, : p.across * p.inside * p.bits].reshape(high, p.across, p.inside, p.bits)
+            part = (bits << np.arange(p.bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3).astype(kind)
+        else:
+            part = _unpredict(np.frombuffer(raw, kind).reshape(high, p.across, p.inside), p.predictor, order)
+        page[top : top + high, left : left + p.across, plane : plane + p.inside] = part[: p.height - top, : p.width - left]
+    return {"width": p.width, "height": p.height, "samples": p.samples, "bits": p.bits, "compression": p.compression, "predictor": p.predictor, "tiled": p.tiled, "pixels": page}
 
 
 def read_tiff(data: bytes):
-    """Yields a dict per page in the order of the directories."""
+    """Yields a dict per page in the order of the directories; TiffError where the bytes can't be read."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("no TIFF header")
@@ -249,15 +327,17 @@ def read_tiff(data: bytes):
         seen.add(at)
         try:
             tags, following = _directory(data, at, order)
-            yield _page(data, tags, order)
-        except struct.error as e:
+            page = _page(data, tags, order)
+        except (struct.error, zlib.error, MemoryError) as e:
             raise TiffError(str(e)) from e
+        yield page
         at = following
 
 
 def feature(pixels: np.ndarray) -> str:
     """Size, mean, deviation, entropy of the samples and a hash of 64 means compared with the whole mean."""
     flat = pixels.reshape(-1)
+    flat = flat[np.isfinite(flat)] if flat.dtype.kind == "f" else flat
     p = np.bincount(flat.astype(np.uint8), minlength=256) / max(1, flat.size) if flat.dtype == np.uint8 else np.histogram(flat, 256)[0] / max(1, flat.size)
     some = p[p > 0]
     cuts = np.linspace(0, flat.size, 65).astype(np.int64)[:-1]
@@ -284,7 +364,8 @@ def store_texts(documents: DataFrame) -> DataFrame:
 def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """df with one row per page of its media column: df's columns (but those named alike), then page, width, height,
     samples, bits, pixels (row by row, chunky, native order), feature and error. Bytes that can't be read, and null,
-    give one row with a null page and the reason (after the pages read before it). Memory: one file at a time."""
+    give one row with a null page and the reason (after the pages read before it). Memory: a batch of files, a page and
+    FLUSH bytes of pages before it."""
     import pyarrow as pa
 
     added = "page int, width int, height int, samples int, bits int, pixels binary, feature string, error string"
@@ -303,18 +384,22 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
                 yield [None] * 7 + [str(e)]
 
         def one(batch):
-            out = []
+            of, rows, held = [], [], 0
+
+            def made():
+                same = batch.take(pa.array(of, pa.int64()))
+                return dict(zip(same.schema.names, same.columns, strict=True)) | dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+
             for i, data in enumerate(batch.column(media).to_pylist()):
-                rows = list(pages(data))
-                same = batch.take(pa.array([i] * len(rows)))
-                out.append(dict(zip(same.schema.names, same.columns, strict=True)) | dict(zip(names, map(list, zip(*rows, strict=True)) if rows else [[]] * len(names), strict=True)))
-            if not out:
-                return []
-            joined = {k: [] for k in out[0]}
-            for part in out:
-                for k, v in part.items():
-                    joined[k] += v.to_pylist() if hasattr(v, "to_pylist") else v
-            return joined
+                for row in pages(data):
+                    of.append(i)
+                    rows.append(row)
+                    held += len(row[5] or b"")
+                    if held >= FLUSH:
+                        yield made()
+                        of, rows, held = [], [], 0
+            if rows:
+                yield made()
 
         return one
 

@@ -3,7 +3,8 @@
 The words of a source, its documents in order of doc_id, form a stream that is packed into blocks of BLOCK words (the
 last may be shorter). A source's target is turned into slots of one block each, the last cut to the exact word. The
 slots of each source are thrown over the output shards (a multinomial draw of source counts per output shard, given
-each source's total); the counts' running sums give every shard a range of the source's indexes. An index names a pass
+each source's total, so a shard has SHARD_SLOTS slots in the mean and not exactly); the counts' running sums give every
+shard a range of the source's indexes. An index names a pass
 over the source and a place in it; the place goes through a pseudorandom permutation of that pass (a swap-or-not
 network, which permutes any domain size and has an exact inverse) to a block. Joining blocks by index gives the words.
 
@@ -11,8 +12,8 @@ Targets: weights 3, 1, 2, repeating in code point order of the sources (null las
 stops at twice its source's words and the excess is shared again by weight. That fixed point has a closed form over the
 sources in order of capacity over weight.
 
-Nothing is proportional to a source in one task: running sums go over ranges of doc_id at two levels, and a source's
-slots are made in chunks.
+Nothing is proportional to a source in one task: running sums go over ranges of documents and of shards at two levels,
+and a source's slots are made in chunks and placed by shard. Ranges are as wide as the ids are sparse.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ BLOCK = 512
 SHARD_SLOTS, CHUNK_SLOTS = 1024, 1024
 SHARE, MAX_REPEAT, WEIGHTS = 1.5, 2, (3, 1, 2)
 ROUNDS, PRIME = 24, 2147483647
-#: Documents of one range of ids, and ranges of one coarse range, for running sums.
-FINE, COARSE = 128, 1024
+#: Documents of one range of ids (in the mean), ranges of one coarse range, and shards of a range, for running sums.
+FINE, COARSE, SHARD_RANGE = 128, 1024, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -100,6 +101,11 @@ def permute(x: Column, n: Column, keys: Column) -> Column:
     return F.aggregate(keys, x.cast("bigint"), one)
 
 
+def before(column: str, window) -> Column:
+    """The sum of the column over the rows before, in the window's order."""
+    return F.coalesce(F.sum(column).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
 def draw_slots(plan: DataFrame) -> DataFrame:
     """One row per slot: skey, shard, block (permuted) and the words of the block that it takes at most."""
     chunks = plan.filter("slots > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK_SLOTS})")))
@@ -110,10 +116,13 @@ def draw_slots(plan: DataFrame) -> DataFrame:
         .withColumn("shard", md5_int(F.concat_ws("|", F.lit("shard"), F.col("rank").cast("string"), F.col("i").cast("string"))) % F.col("n_shards"))
     )
     counts = thrown.groupBy("skey", "shard").agg(F.count("*").alias("n"))
-    ranged = counts.withColumn("to", F.sum("n").over(W.partitionBy("skey").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)))
+    counts = counts.withColumn("range", F.expr(f"shard div {SHARD_RANGE}"))
+    base = counts.groupBy("skey", "range").agg(F.sum("n").alias("n")).select("skey", "range", before("n", W.partitionBy("skey").orderBy("range")).alias("base"))
+    inside = before("n", W.partitionBy("skey", "range").orderBy("shard"))
+    ranged = counts.withColumn("from", inside).join(base, ["skey", "range"]).withColumn("from", F.col("from") + F.col("base")).repartition("skey", "shard")
     epochs = plan.filter("slots > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, (slots - 1) div n_blocks)")))
     keyed = epochs.withColumn("keys", round_keys(F.col("rank"), F.col("epoch"), F.col("n_blocks"))).select("skey", "epoch", "n_blocks", "passes", "last_slots", "last_words", "keys")
-    indexed = ranged.withColumn("index", F.explode(F.expr("sequence(to - n, to - 1)"))).select("skey", "shard", "index")
+    indexed = ranged.withColumn("index", F.explode(F.expr("sequence(`from`, `from` + n - 1)"))).select("skey", "shard", "index")
     placed = indexed.join(plan.select("skey", F.col("n_blocks").alias("n")), "skey").withColumn("epoch", F.expr("index div n")).join(keyed, ["skey", "epoch"])
     place = F.col("index") - F.col("epoch") * F.col("n_blocks")
     last = (F.col("epoch") == F.col("passes")) & (place == F.col("last_slots") - 1)
@@ -125,21 +134,23 @@ def taken_pieces(documents: DataFrame, block: int = BLOCK) -> tuple[DataFrame, D
     lies in one block and each slot that takes the block (one with nulls if none does): skey, start (of the document
     in its source's stream), doc_id, size, source_size, target, shard, first (the piece's first word in the document)
     and got (words taken). empty: the documents without words, with their source's size and target."""
-    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    docs = materialize(
-        sized.withColumn("skey", source_key(F.col("source"))).withColumn("fine", F.coalesce(F.expr(f"floor(doc_id / {FINE}D)"), F.lit(-(1 << 60))).cast("bigint")),
-        "mix-sizes",
-    )
+    whole = dict(documents.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    place = F.col("doc_id").cast("bigint") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # deals rows without an id over ranges of their own
+    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), place.alias("place"), spread.alias("spread"))
+    docs = materialize(sized.withColumn("skey", source_key(F.col("source"))), "mix-sizes")
+    rows, low, high = docs.agg(F.count("*"), F.min("place"), F.max("place")).first()
+    width, ranges = max(FINE, FINE * ((high or 0) - (low or 0)) // max(1, rows)), rows // FINE + 1
+    lowest = (low or 0) // width - 1
+    docs = docs.withColumn("fine", F.coalesce(F.floor(F.col("place").cast("double") / float(width)), F.lit(lowest - 1) - F.pmod("spread", F.lit(ranges))).cast("bigint"))
     fine = docs.groupBy("skey", "fine").agg(F.sum("size").alias("words"), F.min("source").alias("source")).withColumn("coarse", F.expr(f"floor(fine / {COARSE}D)").cast("bigint"))
     plan = materialize(source_plan(fine.groupBy("skey").agg(F.min("source").alias("source"), F.sum("words").alias("source_size")), block), "mix-plan")
-    before = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     coarse = fine.groupBy("skey", "coarse").agg(F.sum("words").alias("words"))
-    coarse = coarse.select("skey", "coarse", before(W.partitionBy("skey").orderBy("coarse")).alias("base"))
-    starts = fine.withColumn("inner", before(W.partitionBy("skey", "coarse").orderBy("fine"))).join(coarse, ["skey", "coarse"])
+    coarse = coarse.select("skey", "coarse", before("words", W.partitionBy("skey").orderBy("coarse")).alias("base"))
+    starts = fine.withColumn("inner", before("words", W.partitionBy("skey", "coarse").orderBy("fine"))).join(coarse, ["skey", "coarse"])
     starts = starts.join(plan.select("skey", "target", "source_size"), "skey", "left").select("skey", "fine", (F.col("base") + F.col("inner")).alias("base"), "source_size", "target")
-    inside = W.partitionBy("skey", "fine").orderBy(F.col("doc_id").asc_nulls_first(), "size")
-    offset = F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = docs.withColumn("start", offset).join(starts, ["skey", "fine"]).withColumn("start", F.col("start") + F.col("base"))
+    inside = W.partitionBy("skey", "fine").orderBy(F.col("place").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "size")
+    placed = docs.withColumn("start", before("size", inside)).join(starts, ["skey", "fine"]).withColumn("start", F.col("start") + F.col("base"))
     placed = placed.select("skey", "start", "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     pieces = pieces.withColumn("low", F.greatest(F.lit(0), F.col("start") - F.col("block") * block)).withColumn("high", F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block))
@@ -158,8 +169,9 @@ def mix(documents: DataFrame, block: int = BLOCK) -> DataFrame:
 
     taken counts the words that the mix takes from the row's text, repeats counted; first_shard is the smallest output
     shard that holds any of them, else null. One row per input row. Null text counts as empty, null source is a source
-    of its own, null doc_ids come first in their source's stream; rows that agree in doc_id and size are
-    interchangeable. Empty sources have target 0; an empty table gives an empty result. Other columns are ignored."""
+    of its own, null doc_ids come first in their source's stream, by hashes of their texts; rows that agree in doc_id
+    and size are interchangeable. Ids that are no integers are ordered by their hash. Empty sources have target 0; an
+    empty table gives an empty result. Other columns are ignored."""
     pieces, empty = taken_pieces(documents, block)
     taken = pieces.groupBy("skey", "start", "doc_id", "size", "source_size", "target").agg(F.sum("got").cast("bigint").alias("taken"), F.min(F.when(F.col("got") > 0, F.col("shard"))).alias("first_shard"))
     none = empty.select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("first_shard"))

@@ -77,15 +77,23 @@ class ByteCnn:
                     self.p[k] -= RATE * (0.3 if epoch >= epochs - 2 else 1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def _gradients(self, raw: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradients(self, raw: list[bytes], y: np.ndarray, step: int = STEP) -> dict[str, np.ndarray]:
         data, starts, first = lay_out(raw)
         filters = self.p["filters"].astype(np.float32)
-        answers = filters[0][data[starts]]
-        for k in range(1, WINDOW):
-            answers += filters[k][data[starts + k]]
-        ends = np.append(first[1:], len(starts))
-        best = np.stack([a + answers[a:b].argmax(axis=0) for a, b in zip(first, ends, strict=True)])
-        pooled = answers[best, np.arange(FILTERS)].astype(float)
+        pooled, best = np.full((len(raw), FILTERS), -np.inf, np.float32), np.zeros((len(raw), FILTERS), np.int64)
+        for at in range(0, len(starts), step):  # a long text's windows in several steps
+            here = starts[at : at + step]
+            answers = filters[0][data[here]]
+            for k in range(1, WINDOW):
+                answers += filters[k][data[here + k]]
+            low, high = np.searchsorted(first, at, "right") - 1, np.searchsorted(first, at + len(here))
+            cuts = np.append(np.maximum(first[low:high] - at, 0), len(here))
+            for d, a, b in zip(range(low, high), cuts, cuts[1:], strict=False):
+                where = answers[a:b].argmax(axis=0)
+                top = answers[a + where, np.arange(FILTERS)]
+                better = top > pooled[d]
+                pooled[d][better], best[d][better] = top[better], (at + a + where)[better]
+        pooled = pooled.astype(float)
         a, h, p = self.head(pooled)
         d = (p - y) / len(y)
         dh = d[:, None] * self.p["out"] * (1 - h * h)

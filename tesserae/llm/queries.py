@@ -35,7 +35,7 @@ def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity_crf.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", F.round("expected", 6).alias("expected_tokens"), F.size("spans").alias("n_spans"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.round("expected", 6).alias("expected_tokens"), F.size("spans").alias("n_spans"), "spans")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,6 @@ on average, by hash, however many share their counts.
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,39 +109,44 @@ def links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nda
     return forest(most, *pairs) if pairs.shape[1] > most else (pairs[0], pairs[1])
 
 
-def _steps(radius: int, lanes: int) -> list[int]:
-    """Differences of a tile key (base 64 digits) that lie within the radius, one of each pair of opposites, and 0."""
-    keys = [sum(d * 64**k for k, d in enumerate(ds)) for ds in product(range(-radius, radius + 1), repeat=lanes) if sum(map(abs, ds)) <= radius]
-    return [k for k in keys if k >= 0]
+def _steps(radius: int, lanes: int, base: int) -> list[int]:
+    """Differences of a tile key (digits of this base) that lie within the radius, one of each pair of opposites, and 0."""
+    found = {0: 0}  # a difference of the lanes so far -> how much of the radius it takes
+    for k in range(lanes):
+        found = {key + d * base**k: cost + abs(d) for key, cost in found.items() for d in range(-radius, radius + 1) if cost + abs(d) <= radius}
+    return [k for k in found if k >= 0]
+
 
+def near_edges(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, lanes: int = LANES) -> DataFrame:
+    """nodes (fp distinct) -> a, b: edges between fingerprints that differ in `radius` bits at most, complete or, where
+    they are many, with the same components. lanes: parts of a fingerprint whose bits are counted, 4, 8 or (for radii
+    up to 2) 16; more of them make more keys with fewer members, and more pairs of keys.
 
-def near_edges(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """nodes (fp distinct, node) -> a, b: edges between nodes whose fingerprints differ in `radius` bits at most,
-    complete or, where they are many, with the same components."""
-    width = 64 // LANES
+    Pairs of tiles are made from the tiles' names alone; each side's fingerprints are fetched by name after that."""
+    width, base = 64 // lanes, 64 if lanes < 9 else 8
     lane = lambda k: F.bit_count(F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1)) + radius
-    key = sum((lane(k).cast("bigint") * 64**k for k in range(LANES)), F.lit(0).cast("bigint"))
-    keyed = nodes.withColumn("key", key)
+    key = sum((lane(k).cast("bigint") * base**k for k in range(lanes)), F.lit(0).cast("bigint"))
+    keyed = nodes.select("fp", key.alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members"))
     placed = keyed.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / tile)))
-    packed = placed.groupBy("key", "tile").agg(F.collect_list(F.struct("fp", "node")).alias("m"))
-    tiles = materialize(packed.select("key", "tile", F.col("m.fp").alias("fps"), F.col("m.node").alias("nodes")), "simhash-tiles")
-    left = tiles.select("key", F.col("tile").alias("tile_a"), F.col("fps").alias("a"), F.col("nodes").alias("an"), F.explode(F.array(*[F.lit(s).cast("bigint") for s in _steps(radius, LANES)])).alias("step"))
-    left = left.withColumn("key", F.col("key") + F.col("step"))
-    right = tiles.select("key", F.col("tile").alias("tile_b"), F.col("fps").alias("b"), F.col("nodes").alias("bn"))
-    pairs = left.join(right, "key").filter((F.col("step") != 0) | (F.col("tile_a") <= F.col("tile_b")))
-    pairs = pairs.select("a", "an", "b", "bn", ((F.col("step") == 0) & (F.col("tile_a") == F.col("tile_b"))).alias("same"))
+    tiles = materialize(placed.groupBy("key", "tile").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
+    left = tiles.select("key", F.col("tile").alias("tile_a"), F.explode(F.array(*[F.lit(s).cast("bigint") for s in _steps(radius, lanes, base)])).alias("step"))
+    left = left.select((F.col("key") + F.col("step")).alias("key"), F.col("key").alias("key_a"), "tile_a", "step")
+    named = left.join(tiles.select("key", F.col("tile").alias("tile_b")), "key").filter((F.col("step") != 0) | (F.col("tile_a") <= F.col("tile_b")))
+    side = lambda k: tiles.select(F.col("key").alias(f"key_{k}"), F.col("tile").alias(f"tile_{k}"), F.col("fps").alias(k))
+    pairs = named.withColumnRenamed("key", "key_b").join(side("a"), ["key_a", "tile_a"]).join(side("b"), ["key_b", "tile_b"])
+    pairs = pairs.select("a", "b", ((F.col("step") == 0) & (F.col("tile_a") == F.col("tile_b"))).alias("same"))
 
     def compare(batches):
         for batch in batches:
-            lists = [(batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in ("a", "an", "b", "bn")]
+            lists = [(batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in ("a", "b")]
             same = batch.column("same").to_pylist()
             out = [np.zeros((2, 0), np.int64)]
             for r in range(batch.num_rows):
-                a, an, b, bn = (v[o[r] : o[r + 1]] for o, v in lists)
+                a, b = (v[o[r] : o[r + 1]] for o, v in lists)
                 i, j = links(a, b, radius, same[r])
                 if len(i):
-                    ids = an if same[r] else np.concatenate([an, bn])
+                    ids = a if same[r] else np.concatenate([a, b])
                     out.append(np.stack([ids[i], ids[j]]))
             both = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
@@ -151,18 +154,19 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     return pairs.mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(documents: DataFrame, radius: int = RADIUS, lanes: int = LANES) -> DataFrame:
     """documents (doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
 
     Whole texts; null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows stay
     repeated, in one component. Rows with a null doc_id take no part in linking; they get their fingerprint's
-    component, null if no document with an id has that fingerprint. Other columns are ignored; an empty table gives
-    an empty result."""
+    component, null if no document with an id has that fingerprint. Ids may be of any type that has an order. Other
+    columns are ignored; an empty table gives an empty result."""
     docs = materialize(fingerprint(documents), "simhash-fingerprints")
-    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node")), "simhash-nodes")
-    found = connected_components(near_edges(nodes.filter("node is not null"), radius), "simhash-components")
-    groups = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return docs.join(groups, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    found = connected_components(near_edges(nodes.filter("first is not null"), radius, lanes=lanes), "simhash-components")
+    named = materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "simhash-groups")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return docs.join(named.join(least, "component").select("fp", "component_id"), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:

@@ -35,15 +35,17 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, then the others in order.
+_PLAIN = (*range(33, 127), *range(161, 173), *range(174, 256))
+_BYTE = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
+
+
 def word_of(symbol: str, end: str = "</w>") -> str | None:
     """The text of a byte-level vocabulary symbol that ends a word; None if it is no UTF-8 text."""
     if not symbol.endswith(end):
         return None
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain}
-    byte |= {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
     try:
-        return bytes(byte[c] for c in symbol.removesuffix(end)).decode()
+        return bytes(_BYTE[c] for c in symbol.removesuffix(end)).decode()
     except (KeyError, UnicodeDecodeError):
         return None
 

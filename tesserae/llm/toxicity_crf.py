@@ -191,12 +191,11 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = T
             hot = p >= SPAN_THRESHOLD
             begins = np.flatnonzero(hot & (opens | ~np.roll(hot, 1) | (np.arange(len(hot)) == 0)))
             ends = np.flatnonzero(hot & (np.append(opens[1:], True) | ~np.roll(hot, -1))) if len(hot) else begins
-            for i, j in zip(begins, ends, strict=True):
+            points = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])  # code points before each byte
+            for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
                 d = t.text[i]
-                raw = texts[d].encode()
-                a, b = t.start[i] - t.bounds[d], t.end[j] - t.bounds[d]
-                start, text = len(raw[:a].decode()), raw[a:b].decode()
-                spans[d].append({"start": start, "stop": start + len(text), "text": text})
+                start, stop = (int(points[x] - points[t.bounds[d]]) for x in (t.start[i], t.end[j]))
+                spans[d].append({"start": start, "stop": stop, "text": texts[d][start:stop]})
             s = chain.score(x)
             return {"doc_id": batch.column("doc_id"), "score": s, "predicted": (s >= threshold).astype(np.int32), "expected": np.expm1(x[:, 2]), "spans": spans}
 

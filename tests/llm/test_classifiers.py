@@ -1,9 +1,11 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
 
+from tesserae.llm import labelled
 from tesserae.llm import quality_cnn as q
 from tesserae.llm import toxicity_crf as c
 
@@ -44,6 +46,46 @@ def test_convolution_covers_the_whole_document():
         assert abs(net.head(np.max(answers, axis=0)[None])[2][0] - s) < 1e-4
 
 
+def test_long_texts_are_learned_from_in_steps():
+    rng = random.Random(2)
+    raw, y = [bytes(rng.choices(range(97, 123), k=n)) for n in (900, 3, 40, 700)], np.array([1.0, 0, 1, 0])
+    net = q.ByteCnn()
+    for k, g in net._gradients(raw, y).items():
+        assert np.allclose(g, net._gradients(raw, y, step=64)[k])
+
+
+def test_gradients_against_differences():
+    rng = random.Random(4)
+    raw, y = [bytes(rng.choices(range(97, 123), k=n)) for n in (60, 31, 45)], np.array([1.0, 0, 1])
+    net = q.ByteCnn()
+
+    def loss():
+        data, starts, first = q.lay_out(raw)
+        ends = np.append(first[1:], len(starts))
+        answers = sum(net.p["filters"][k][data[starts + k]] for k in range(q.WINDOW))
+        p = net.head(np.stack([answers[a:b].max(axis=0) for a, b in zip(first, ends, strict=True)]))[2]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    grads = net._gradients(raw, y)
+    for name, at in (("out", (2,)), ("mix", (3, 1)), ("shift", (5,)), ("mix0", (0,)), ("out0", (0,)), ("filters", np.unravel_index(np.abs(grads["filters"]).argmax(), grads["filters"].shape))):
+        values, losses = net.p[name][at], []
+        for h in (1e-5, -1e-5):
+            net.p[name][at] = values + h
+            losses.append(loss())
+        net.p[name][at] = values
+        assert abs((losses[0] - losses[1]) / 2e-5 - grads[name][at]) < 1e-4
+
+
+def test_the_sample_is_bounded_by_bytes_not_by_length(spark):
+    rows = [(i, "x" * (10 if i % 2 else 3000), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1)], "doc_id long, quality int")
+    every = labelled.labelled_sample(docs, labels, "quality")
+    assert len(every) == len([i for i in range(200) if zlib.crc32(str(i).encode()) % 5])
+    some = labelled.labelled_sample(docs, labels, "quality", most_bytes=60_000)
+    assert some == every[: len(some)] and 60_000 <= sum(len(t) for t, _ in some) < 63_001 and max(len(t) for t, _ in some) == 3000
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(3)
     chain = c.Chain(np.arange(5, dtype=np.uint64))

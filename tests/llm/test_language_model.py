@@ -63,6 +63,34 @@ def test_many_blocks_and_buckets(spark, monkeypatch):
     compare(m.score_texts(docs).collect(), rows)
 
 
+def test_groups_of_blocks_ask_in_several_steps(spark, monkeypatch):
+    for name, value in (("BUCKET_ENTRIES", 400), ("CUT_BITS", 2), ("GROUP", 3), ("BLOCK_TOKENS", 500)):
+        monkeypatch.setattr(m, name, value)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 4000").limit(60).repartition(5)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    compare(m.score_texts(docs).collect(), rows)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i * i % 4099}" for i in range(200_000))
+    rows = [(3, long), (4, "w1 w2"), (5, None)]
+    compare(m.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_weights_maximise_the_held_out_likelihood():
+    rng = np.random.default_rng(6)
+    cells = [(3, int(p2), int(p1), int(n)) for p2, p1, n in zip(rng.choice([m.NONE, -24, -8, -2], 60), rng.integers(8, 80, 60), rng.integers(1, 50, 60), strict=True)]
+    n, v = 5000, 700
+    got = m.learn_weights(cells, n, v, steps=3000)[3]
+    p = np.array([[0 if a == m.NONE else 2 ** (a / m.FINE), 2 ** (b / m.FINE) / (n - 1), 1 / (v + 1)] for _, a, b, _ in cells])
+    k = np.array([c[3] for c in cells])
+    value = lambda w: (k * np.log(p @ w)).sum()
+    assert abs(got.sum() - 1) < 1e-9
+    for _ in range(300):
+        other = np.maximum(got + rng.normal(0, 0.02, 3), 1e-9)
+        assert value(other / other.sum()) <= value(got) + 1e-3
+
+
 def test_edge_rows(spark):
     rows = [(1, None, 1), (2, "", 2), (3, " \t ", 3), (4, "A b \x1c é É", 4), (5, "a b a b", 5), (5, "a b a b", 5), (None, "b b", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score int")

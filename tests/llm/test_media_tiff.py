@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -84,3 +85,64 @@ def test_unreadable_media_give_a_reason(spark):
     assert [(r.page, r.width, r.error) for r in rows if r.id == 1] == [(0, 3, None), (1, 1, None)]
     assert all(r.page is None and r.error for r in rows if r.id != 1)
     assert "media" in m.read_pages(df).columns and m.read_pages(df).columns.count("page") == 1
+
+
+def plain_tiff(tags, body=b""):
+    """Little-endian, one directory of fields with one LONG each (or the kind that is given), after the body."""
+    fields = [(t, *(v if isinstance(v, tuple) else (4, v))) for t, v in sorted(tags.items())]
+    out = b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(fields))
+    return out + b"".join(struct.pack("<HHII", t, kind, 1, v) for t, kind, v in fields) + b"\0\0\0\0"
+
+
+GOOD = {256: 6, 257: 2, 258: 8, 259: 1, 273: 8, 277: 1, 278: 2, 279: 12}
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_small_samples(bits):
+    values = np.random.default_rng(5).integers(0, 1 << bits, (5, 7))
+    rows = ["".join(f"{v:0{bits}b}" for v in row) for row in values]
+    body = b"".join(int(r.ljust(-(-len(r) // 8) * 8, "0"), 2).to_bytes(-(-len(r) // 8), "big") for r in rows)
+    (page,) = m.read_tiff(plain_tiff(GOOD | {256: 7, 257: 5, 258: bits, 278: 5, 279: len(body)}, body))
+    assert np.array_equal(page["pixels"][:, :, 0], values)
+
+
+@pytest.mark.parametrize("change", [
+    {322: 0, 323: 16, 324: 8, 325: 12}, {322: 16, 323: 0, 324: 8, 325: 12}, {339: 3}, {317: 3}, {317: 2, 258: 4}, {317: 9}, {256: 4_000_000_000, 257: 4_000_000_000},
+    {256: 4_000_000_000}, {257: 0}, {256: 0}, {277: 0}, {277: 4_000_000_000}, {284: 7}, {278: 0}, {273: 4_000_000_000}, {258: (2, 8)}, {257: (11, 2)}, {273: (2, 8)}, {258: 13}, {259: 8},
+    {259: 5}, {279: 0}, {257: 60_000, 278: 60_000, 259: 32773},
+])
+def test_malformed_headers_are_errors(change):
+    list(m.read_tiff(plain_tiff(GOOD, bytes(range(12)))))
+    with pytest.raises(m.TiffError):
+        list(m.read_tiff(plain_tiff(GOOD | change, bytes(range(12)))))
+
+
+def test_a_small_strip_cannot_blow_up():
+    bomb = zlib.compress(b"\0" * 50_000_000)
+    with pytest.raises(m.TiffError):
+        list(m.read_tiff(plain_tiff(GOOD | {256: 60_000, 257: 60_000, 278: 60_000, 259: 8, 279: len(bomb)}, bomb)))
+    (page,) = m.read_tiff(plain_tiff(GOOD | {259: 8, 279: len(bomb)}, bomb))
+    assert page["pixels"].nbytes == 12
+
+
+def test_broken_bytes_never_raise_anything_else():
+    rng = random.Random(11)
+    pages = [np.random.default_rng(3).integers(0, 256, (20, 30, 3), np.uint8), np.zeros((9, 5), np.uint8)]
+    for compression in (m.NONE, m.LZW, m.DEFLATE, m.PACKBITS):
+        good = m.write_tiff(pages, compression, tile=16)
+        for _ in range(400):
+            bad = bytearray(good)
+            for _ in range(rng.randint(1, 6)):
+                bad[rng.randrange(len(bad) - 300, len(bad)) if rng.random() < 0.8 else rng.randrange(len(bad))] = rng.choice((0, 1, 255, rng.randrange(256)))
+            try:
+                for page in m.read_tiff(bytes(bad[: rng.randrange(len(bad))] if rng.random() < 0.1 else bad)):
+                    m.feature(page["pixels"])
+            except m.TiffError:
+                pass
+
+
+def test_many_pages(spark):
+    media = m.write_tiff([np.full((50, 64), k, np.uint8) for k in range(40)])
+    rows = m.read_pages(spark.createDataFrame([(1, media), (2, media[:99]), (3, media)], "id int, media binary")).collect()
+    assert [(r.id, r.page) for r in rows if r.error is None] == [(i, k) for i in (1, 3) for k in range(40)]
+    assert len([r for r in rows if r.error]) == 1

@@ -65,6 +65,18 @@ def test_repeated_rows_and_null_ids(spark):
     assert len(got) == 5 and sum(r.taken for r in got) <= 2 * 9
 
 
+def test_other_kinds_of_ids_and_wide_gaps(spark):
+    rows = [(i * 10**15 - 5, f"s{i % 2}", " ".join(["w"] * (i % 30))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    check(rows, m.mix(df, 8).collect())
+    named = [(f"id {i}", s, t) for i, s, t in rows]
+    got = sorted(m.mix(spark.createDataFrame(named, "doc_id string, source string, text string"), 8).collect())
+    check(named, got)
+    assert got == sorted(m.mix(spark.createDataFrame(named[::-1], "doc_id string, source string, text string"), 8).collect())
+    none = spark.createDataFrame([(None, "a", f"t{i} x y") for i in range(500)], "doc_id long, source string, text string")
+    assert sum(r.taken for r in m.mix(none, 8).collect()) == 2250
+
+
 def test_permutations_are_permutations(spark):
     for n in (1, 2, 7, 100):
         keys = m.round_keys(F.lit(3), F.lit(1), F.lit(n))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tesserae.llm import simhash as s
 from tesserae.llm.components import connected_components
@@ -32,7 +33,7 @@ def classes(rows):
 
 
 def test_fingerprints_equal_the_definition():
-    texts = ["", None, " \t\n", "One", "one TWO", "a b c", "a b c d", "É é \x1c x y z", "x " * 300, "Long " + "word" * 5000]
+    texts = ["", None, " \t\n", "One", "one TWO", "a b c", "a b c d", "É é \x1c x y z", "x " * 300, "Long " + "word" * 5000, " ".join(f"w{i % 9973}" for i in range(300_000))]
     assert s.fingerprints(texts).tolist() == [plain(t) for t in texts]
 
 
@@ -61,10 +62,18 @@ def test_tiles_find_all_components(spark):
         for _ in range(4):
             f ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)
             fps.add(f)
-    rows = list(enumerate(fps))
-    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "node long, fp long")
-    found = {r.node: r.component for r in connected_components(s.near_edges(df, tile=16)).collect()}
-    assert {i: found.get(i, i) for i, _ in rows} == classes(rows)
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = classes([(f, f % (1 << 64)) for f in fps])
+    for lanes in (4, 8, 16):
+        found = {r.node: r.component for r in connected_components(s.near_edges(df, tile=16, lanes=lanes)).collect()}
+        assert {f: found.get(f, f) for f in fps} == want
+
+
+def test_components_of_long_paths(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 102), (102, 101), (7, 7), (200, 201), (200, 201)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame([*edges, (None, 5)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
 
 
 def test_dense_groups_give_few_edges():
@@ -83,3 +92,5 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3]
     assert s.near_duplicates(df.limit(0)).count() == 0
+    named = s.near_duplicates(df.withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))).collect()
+    assert sorted((r.doc_id, r.component_id) for r in named if r.doc_id) == [("id-1", "id-1"), ("id-2", "id-1"), ("id-3", "id-3"), ("id-4", "id-3"), ("id-4", "id-3")]
