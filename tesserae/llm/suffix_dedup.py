@@ -34,7 +34,7 @@ from .suffix import _powers, permuted_lcp, suffix_array
 WINDOW, K = 200, 80
 #: Most bits of the broadcast bitmap (128 MB), and bits for each anchor in it.
 MAX_BITS, BITS_EACH = 1 << 30, 8
-SHARD_BYTES, MAX_GROUP = 3 << 19, 4096
+SHARD_BYTES, MAX_GROUP = 1 << 20, 4096
 #: Occurrences from which an entry is looked up by broadcast instead of meeting its rows in a join.
 HOT = 4096
 _PLACE = np.uint64((1 << 23) - 1)
@@ -59,7 +59,7 @@ def _window_minima(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, k: int = K, window: int = WINDOW, step: int = 1 << 22) -> dict[str, np.ndarray]:
+def anchors(data: np.ndarray, bounds: np.ndarray, k: int = K, window: int = WINDOW, step: int = 1 << 20) -> dict[str, np.ndarray]:
     """Anchors of texts that lie one after another in data: anchor and context hashes, text, place in the text, and the
     context's bytes before the place and in all. Long buffers are taken in overlapping steps."""
     w = window - k + 1
@@ -292,10 +292,12 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, max_bits:
     sorted_ = parts.groupBy("shard").applyInArrow(sort_shard, "key bigint, key2 bigint, low bigint, high bigint")
     exact = same.filter("n = 1").select("key", "key2", (F.col("place") + F.col("low")).alias("low"), (F.col("place") + F.col("high")).alias("high"))
     spans = lambda df: df.filter(F.col("size") >= window).select("key", "key2", F.col("place").cast("bigint").alias("low"), (F.col("place") + F.col("size")).cast("bigint").alias("high"))
-    often = entries.filter(F.col("n") > hot).select("anchor", "context", F.lit(True).alias("often"))
-    marked = rows.filter("NOT twin").join(broadcast_if_small(often, often.count()), ["anchor", "context"], "left")
+    single = rows.filter("NOT twin")
+    often = entries.filter(F.col("n") > hot).select("anchor", "context")
+    often = broadcast_if_small(often, often.count())
     some = entries.filter((F.col("n") > 1) & (F.col("n") <= hot)).select("anchor", "context")
-    return sorted_.unionByName(exact).unionByName(spans(marked.filter("often"))).unionByName(spans(marked.filter("often IS NULL").join(some, ["anchor", "context"], "left_semi")))
+    few = single.join(often, ["anchor", "context"], "left_anti").join(some, ["anchor", "context"], "left_semi")
+    return sorted_.unionByName(exact).unionByName(spans(single.join(often, ["anchor", "context"], "left_semi"))).unionByName(spans(few))
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
