@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,29 +19,23 @@ STRUCTURE_HINTS = {
     "out_of_scope": "If the question is out of scope for these documents, refuse.",
 }
 TIERS = ("correct", "partial", "wrong", "hallucination", "refused")
-
 CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z0-9])(?=[A-Z][a-z])"
 IDENTIFIER = r"^[A-Za-z0-9._]*[A-Za-z0-9][A-Za-z0-9._]*$"
 
 
 def split_words(text: Column) -> Column:
     """Runs of anything but Unicode white space."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-
-
-def _with_parts(word: Column, pattern: str) -> Column:
-    """The word itself and then its parts, or only the word where nothing splits it."""
-    parts = F.split(word, pattern)
-    return F.when(F.size(parts) > 1, F.concat(F.array(word), parts)).otherwise(parts)
+    return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
 
 
 def analyze_word(word: Column) -> Column:
     """Terms of one word, in order: cut at dots, then at case changes, then at underscores (whole forms first), lower
-    case, without empty terms and terms of ASCII punctuation only."""
-    dotted = F.split(word, r"\.")
-    camel = F.flatten(F.transform(dotted, lambda x: _with_parts(x, CAMEL)))
-    snake = F.flatten(F.transform(camel, lambda x: _with_parts(x, "_")))
-    return F.filter(F.transform(snake, F.lower), lambda x: x.rlike(r"[^\p{Punct}]"))
+    case, without empty terms and terms of ASCII punctuation only. A word that nothing cuts is passed on at once."""
+    camel = lambda x: F.when(x.rlike(CAMEL), F.concat(F.array(x), F.split(x, CAMEL))).otherwise(F.array(x))
+    snake = lambda x: F.when(F.contains(x, F.lit("_")), F.concat(F.array(x), F.split(x, "_"))).otherwise(F.array(x))
+    parts = F.flatten(F.transform(F.flatten(F.transform(F.split(word, r"\."), camel)), snake))
+    parts = F.when(word.rlike(rf"[._]|{CAMEL}"), parts).otherwise(F.array(word))
+    return F.filter(F.transform(parts, F.lower), lambda x: x.rlike(r"[^\p{Punct}]"))
 
 
 def analyze(text: Column) -> Column:
@@ -62,6 +58,11 @@ def citations(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(numbers, lambda n: n.rlike(r"^\d+$")), lambda n: n.cast("int")))
 
 
+def cited_chunks(cites: Column, chunk_ids: Column) -> Column:
+    """The chunks that citations name, by place in the list (from 1), in order of citation; others are passed over."""
+    return F.transform(F.filter(cites, lambda n: (n >= 1) & (n <= F.size(chunk_ids))), lambda n: F.element_at(chunk_ids, n))
+
+
 def is_refusal(text: Column) -> Column:
     return F.contains(text, F.lit(REFUSAL_MARKER))
 
@@ -101,6 +102,11 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-zA-Z0-9]+", "-"), "^-+|-+$", "")
 
 
+def slug_of(text: str) -> str:
+    """slug, of one string."""
+    return re.sub("[^a-z0-9]+", "-", text.lower()).strip("-")
+
+
 def uri_path(uri: Column) -> Column:
     return F.substring_index(uri, "#", 1)
 

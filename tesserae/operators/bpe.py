@@ -1,72 +1,140 @@
-"""Byte-pair encoding of words: training on distributed counts, encoding of distinct words once."""
+"""Byte-pair encoding of words: training over a distributed table of words, encoding in batches."""
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import materialize
 
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>", "<sp>")
-#: Most distinct words that training takes, by frequency; a bound of what the driver holds.
-TRAIN_WORDS = 50_000
+#: Merges after which the words are written anew, and words that a task remembers while it encodes.
+WRITE_EVERY, MEMORY = 8, 200_000
+#: Most distinct words that the driver trains on itself (some 200 MB).
+MOST_HELD = 1_000_000
+#: Separates the symbols of a word in training; no word holds it.
+MARK = "\x01"
 
 
 def word_frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select(F.explode(T.pretokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def _letters(word: Column) -> Column:
+    return F.filter(F.split(word, ""), lambda c: c != "")
+
+
+def _pairs(symbols: Column) -> Column:
+    """Neighbouring symbols of an array as structs."""
+    rest = F.greatest(F.size(symbols) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(symbols, F.lit(1), rest).alias("left"), F.slice(symbols, F.lit(2), rest).alias("right"))
+
+
 def pair_frequencies(words: DataFrame) -> DataFrame:
     """words (token, n) -> left, right, n over neighbouring characters, weighted by the words' counts."""
-    chars = words.select("n", F.filter(F.split("token", ""), lambda c: c != "").alias("c"))
-    pairs = chars.select("n", F.explode(F.arrays_zip(F.slice("c", F.lit(1), F.greatest(F.size("c") - 1, F.lit(0))).alias("left"), F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))).alias("right"))).alias("p"))
+    pairs = words.select("n", F.explode(_pairs(_letters(F.col("token")))).alias("p"))
     return pairs.groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
 
 
 def characters(words: DataFrame) -> DataFrame:
-    return words.select(F.explode(F.filter(F.split("token", ""), lambda c: c != "")).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+    return words.select(F.explode(_letters(F.col("token"))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def merge(symbols: list[str], left: str, right: str) -> list[str]:
-    """Joins every left-right pair, from left to right and without overlap."""
-    out: list[str] = []
-    i = 0
-    while i < len(symbols):
-        if i + 1 < len(symbols) and symbols[i] == left and symbols[i + 1] == right:
-            out.append(left + right)
-            i += 2
-        else:
-            out.append(symbols[i])
-            i += 1
+    """Joins every left-right pair; of pairs that overlap, the one that begins first."""
+    starts = [k for k, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if pair == (left, right)]
+    joined: set[int] = set()
+    for k in starts:
+        if k - 1 not in joined:
+            joined.add(k)
+    return [left + right if k in joined else s for k, s in enumerate(symbols) if k - 1 not in joined]
+
+
+def _next_merges(pairs: Counter, most: int) -> list[tuple[str, str]]:
+    """The merges that certainly come next, in order: the most frequent pair, and further ones that share no symbol with
+    those before and are more frequent than any pair that these can create."""
+    ranked = sorted(((-n, p) for p, n in pairs.items() if n > 0))
+    out: list[tuple[str, str]] = []
+    used: set[str] = set()
+    created = 0  # bounds the count of every new pair: it replaces a pair that ends or begins with a merged symbol
+    by_right, by_left = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        by_right[b], by_left[a] = max(by_right[b], n), max(by_left[a], n)
+    for n, (a, b) in ranked:
+        if len(out) == most or out and ({a, b} & used or created >= -n):
+            break
+        out.append((a, b))
+        used |= {a, b}
+        created = max(created, min(-n, max(by_right[a], by_left[b])))
     return out
 
 
-def train(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
-    """The merges in order; of pairs that are equally frequent the smallest. Counts are kept up to date per merge."""
+def train_held(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
+    """The merges in order, over words that are held here; counts are kept up to date per merge."""
     split = {w: list(w) for w in words}
     pairs: Counter = Counter()
     where: defaultdict = defaultdict(set)
-    for w, s in split.items():
-        for p in zip(s, s[1:], strict=False):
-            pairs[p] += words[w]
+
+    def count(w: str, sign: int) -> None:
+        for p in zip(split[w], split[w][1:], strict=False):
+            pairs[p] += sign * words[w]
             where[p].add(w)
+
+    for w in words:
+        count(w, 1)
     out = []
-    for _ in range(merges):
+    while len(out) < merges and (pairs := +pairs):
+        out.append(min(pairs, key=lambda p: (-pairs[p], p)))
+        for w in where.pop(out[-1]):
+            count(w, -1)
+            split[w] = merge(split[w], *out[-1])
+            count(w, 1)
+    return out
+
+
+def train(words: DataFrame, merges: int, most_held: int = MOST_HELD) -> list[tuple[str, str]]:
+    """words (token distinct, n) -> the merges in order; of pairs that are equally frequent the smallest.
+
+    Up to most_held words, a size that is checked, the driver merges; beyond, train_spread does with the same result."""
+    words = words.select("token", "n")
+    if words.count() > most_held:
+        return train_spread(words, merges)
+    return train_held({r.token: r.n for r in words.collect()}, merges)
+
+
+def train_spread(words: DataFrame, merges: int) -> list[tuple[str, str]]:
+    """The same over a distributed table of words.
+
+    The words stay a table on Spark, each a string of marked symbols. The driver holds the counts of distinct pairs,
+    which the vocabulary bounds and not the data; each step merges one pair or several that don't bear on each other,
+    and brings the changes of the counts from the words that hold them. Words are written anew every few steps."""
+    symbols = lambda c: F.filter(F.split(c, MARK), lambda x: x != "")
+    held = materialize(words.select(F.concat(F.lit(MARK), F.array_join(_letters(F.col("token")), MARK), F.lit(MARK)).alias("s"), "n"), "bpe-words")
+    counted = held.select("n", F.explode(_pairs(symbols(F.col("s")))).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
+    pairs = Counter({(r.left, r.right): r.n for r in counted.collect()})
+    out: list[tuple[str, str]] = []
+    since = 0
+    while len(out) < merges and (step := _next_merges(pairs, merges - len(out))):
+        after = F.col("s")
+        touched = F.lit(False)
+        for a, b in step:
+            touched = touched | F.contains("s", F.lit(f"{MARK}{a}{MARK}{b}{MARK}"))
+            after = F.regexp_replace(after, F.lit(f"(?<={MARK})\\Q{a}{MARK}{b}\\E(?={MARK})"), F.lit((a + b).replace("\\", "\\\\").replace("$", "\\$")))
+        changed = held.filter(touched).select("s", after.alias("t"), "n")
+        old = changed.select(F.explode(_pairs(symbols(F.col("s")))).alias("p"), (-F.col("n")).alias("n"))
+        new = changed.select(F.explode(_pairs(symbols(F.col("t")))).alias("p"), "n")
+        for r in old.unionByName(new).groupBy("p.left", "p.right").agg(F.sum("n").alias("n")).filter("n <> 0").collect():
+            pairs[r.left, r.right] += r.n
         pairs = +pairs
-        if not pairs:
-            break
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        out.append(best)
-        for w in where.pop(best):
-            for p in zip(split[w], split[w][1:], strict=False):
-                pairs[p] -= words[w]
-            split[w] = merge(split[w], *best)
-            for p in zip(split[w], split[w][1:], strict=False):
-                pairs[p] += words[w]
-                where[p].add(w)
+        out += step
+        since += len(step)
+        held = held.select(after.alias("s"), "n")
+        if since >= WRITE_EVERY:
+            held, since = materialize(held, "bpe-words"), 0
     return out
 
 
@@ -90,7 +158,8 @@ class Tokenizer:
     """Special tokens, then characters in order, then merges in order."""
 
     def __init__(self, alphabet: list[str], merges: list[tuple[str, str]]):
-        self.tokens = list(dict.fromkeys([*SPECIAL, *sorted(alphabet), *(a + b for a, b in merges)]))
+        self.alphabet = sorted(alphabet)
+        self.tokens = list(dict.fromkeys([*SPECIAL, *self.alphabet, *(a + b for a, b in merges)]))
         self.ids = {t: i for i, t in enumerate(self.tokens)}
         self.rank = {p: i for i, p in enumerate(merges)}
 
@@ -102,42 +171,60 @@ class Tokenizer:
                 return [self.ids.get(x, self.ids["<unk>"]) for x in s]
             s = merge(s, *min(known, key=self.rank.__getitem__))
 
-    def decode(self, ids: list[int]) -> str:
-        skip = {self.ids[t] for t in ("<bos>", "<eos>", "<pad>")}
-        return "".join(" " if i == self.ids["<sp>"] else self.tokens[i] for i in ids if i not in skip)
-
-    def tables(self, spark) -> tuple[DataFrame, DataFrame]:
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """Vocabulary (token, id) and merges (left, right, priority)."""
         vocabulary = spark.createDataFrame(list(self.ids.items()), "token string, id int")
         return vocabulary, spark.createDataFrame([(*p, i) for p, i in self.rank.items()], "left string, right string, priority int")
 
+    def save(self, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
+        for name, table in zip(("vocabulary", "merges"), self.tables(spark), strict=True):
+            table.write.mode(mode).parquet(f"{path}/{name}")
 
-def fit(texts: DataFrame, merges: int, text: str = "text", most_words: int = TRAIN_WORDS) -> Tokenizer:
-    """Trains on the most frequent words of all texts (their counts are distributed, at most most_words reach the
-    driver)."""
-    counted = word_frequencies(texts, text)
-    top = counted.orderBy(F.desc("n"), "token").limit(most_words).collect()
-    return Tokenizer(sorted({c for r in top for c in r.token}), train({r.token: r.n for r in top}, merges))
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Tokenizer:
+        merges = [(r.left, r.right) for r in spark.read.parquet(f"{path}/merges").orderBy("priority").collect()]
+        tokens = [r.token for r in spark.read.parquet(f"{path}/vocabulary").orderBy("id").collect()]
+        made = {a + b for a, b in merges}
+        loaded = cls([t for t in tokens if t not in SPECIAL and t not in made], merges)
+        if loaded.tokens != tokens:
+            raise ValueError(f"{path} holds no tokenizer of this kind")
+        return loaded
 
 
-def encode_words(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """words (token distinct) -> token, ids."""
-    shared = words.sparkSession.sparkContext.broadcast(tokenizer)
+def fit(texts: DataFrame, merges: int, text: str = "text") -> Tokenizer:
+    """Trains on all words of all texts; the alphabet is that of all words."""
+    counted = materialize(word_frequencies(texts, text), "bpe-counts")
+    return Tokenizer([r.token for r in characters(counted).select("token").collect()], train(counted, merges))
 
-    def run(batches):
-        for batch in batches:
-            tokens = batch.column("token").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array([shared.value.word(t) for t in tokens], pa.list_(pa.int32()))], ["token", "ids"])
-
-    return words.select("token").mapInArrow(run, "token string, ids array<int>")
 
+def encode(texts: DataFrame, key: str, tokenizer: Tokenizer, text: str = "text", begin: bool = False, end: bool = False) -> DataFrame:
+    """(key, tokens): words' ids with <sp> between words, in batches where the texts lie; a task remembers the words that
+    it has encoded. A text without words, or null, has no tokens but the asked-for marks."""
+    shared = texts.sparkSession.sparkContext.broadcast(tokenizer)
+    kind = dict(texts.dtypes)[key]
 
-def encode(texts: DataFrame, key: str, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
-    """(key, tokens): words' ids with <sp> between words. Every distinct word is encoded once and joined back; the
-    parts of a text meet by key."""
-    split = texts.select(key, F.posexplode(T.pretokens(F.col(text))).alias("place", "token"))
-    known = encode_words(split.select("token").distinct(), tokenizer)
-    gap = F.lit(tokenizer.ids["<sp>"])
-    joined = split.join(known, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    flat = F.flatten(F.transform("parts", lambda p: F.when(p["place"] == 0, p["ids"]).otherwise(F.concat(F.array(gap), p["ids"]))))
-    return joined.select(key, flat.alias("tokens"))
+    def run(batches):
+        made, gap = shared.value, shared.value.ids["<sp>"]
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            out = []
+            for words in batch.column("words").to_pylist():
+                ids = [made.ids["<bos>"]] if begin else []
+                for k, w in enumerate(words or ()):
+                    if w not in known:
+                        if len(known) >= MEMORY:
+                            known.clear()
+                        known[w] = made.word(w)
+                    if k:
+                        ids.append(gap)
+                    ids += known[w]
+                out.append(ids + ([made.ids["<eos>"]] if end else []))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.int32()))], [key, "tokens"])
+
+    return texts.select(key, T.pretokens(F.col(text)).alias("words")).mapInArrow(run, f"`{key}` {kind}, tokens array<int>")
+
+
+def decode(rows: DataFrame, tokenizer: Tokenizer, column: str = "tokens", text: str = "text") -> DataFrame:
+    """rows with the text of their tokens: <sp> as a blank, without begin, end and filling."""
+    pieces = F.array(*[F.lit("" if t in ("<bos>", "<eos>", "<pad>") else " " if t == "<sp>" else t) for t in tokenizer.tokens])
+    return rows.withColumn(text, F.array_join(F.transform(column, lambda i: F.element_at(pieces, i + 1)), ""))

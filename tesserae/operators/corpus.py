@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import materialize
 
 IGNORED = -100  # fixed value: the label that a loss passes over
 RANGES = 4096
@@ -77,8 +78,9 @@ def first_occurrences(docs: DataFrame, value: str, key: str) -> DataFrame:
 
 def pack(tokens: DataFrame, key: str, length: int, column: str = "tokens") -> DataFrame:
     """tokens (key unique integer, array of tokens) end to end -> segments of `length` (segment, tokens); the
-    incomplete last one is dropped. Documents are cut where segments begin, and the pieces meet by segment."""
-    sized = tokens.select(key, column, F.size(column).alias("n")).filter("n > 0")
+    incomplete last one is dropped. Documents are cut where segments begin, and the pieces meet by segment. Tokens are
+    written once before, as their sizes are read first."""
+    sized = materialize(tokens.select(key, column, F.size(column).alias("n")), "tokens").filter("n > 0")
     placed = running_before(sized, key, F.col("n"), "start")
     pieces = placed.withColumn("segment", F.explode(F.expr(f"sequence(start div {length}, (start + n - 1) div {length})")))
     low = F.greatest(F.lit(0), F.col("segment") * length - F.col("start")).cast("int")
@@ -88,6 +90,21 @@ def pack(tokens: DataFrame, key: str, length: int, column: str = "tokens") -> Da
     return whole.filter(F.size(column) == length)
 
 
+def write_segments(segments: DataFrame, path: str, length: int, vocabulary: int, mode: str = "errorifexists") -> None:
+    """Segments as a table, and what a reader has to know of them as another."""
+    segments.write.mode(mode).parquet(f"{path}/segments")
+    about = segments.agg(F.count("*").alias("n")).select("n", F.lit(length).alias("length"), F.lit(vocabulary).alias("vocabulary"))
+    about.write.mode(mode).json(f"{path}/about")
+
+
+def read_segments(spark: SparkSession, path: str, length: int, vocabulary: int) -> DataFrame:
+    """The segments that write_segments wrote, if they are as long and of a vocabulary as large as asked for."""
+    about = spark.read.schema("n long, length int, vocabulary int").json(f"{path}/about").first()
+    if (about.length, about.vocabulary) != (length, vocabulary):
+        raise ValueError(f"segments of length {about.length} over {about.vocabulary} tokens, not {length} over {vocabulary}")
+    return spark.read.parquet(f"{path}/segments")
+
+
 def shifted(segments: DataFrame, column: str = "tokens") -> DataFrame:
     """Inputs and next-token targets of each segment."""
     n = F.size(column)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import materialize
 from . import ranking
 
 #: Bytes of query vectors that are broadcast at once; more are taken in blocks.
@@ -31,9 +33,12 @@ def encode(texts: DataFrame, key: str, encoder: Callable[[pd.Series], Iterator],
 def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
     """vectors (chunk_id, vector), queries (query_id, vector) -> the k largest inner products of each query with all
     vectors. Queries are a stated set: blocks of bounded size are broadcast, and every task keeps k candidates a query
-    of each of its batches before they are ranked together."""
+    of each of its batches before they are ranked together. Vectors that are null, hold a null or have another length
+    than the longest query are passed over, on both sides."""
     chunk_kind, query_kind = dict(vectors.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    whole = F.col("vector").isNotNull() & (F.size("vector") == (size.d or 0)) & ~F.exists("vector", lambda x: x.isNull())
+    vectors, queries = vectors.filter(whole), queries.filter(whole)
     blocks = max(1, -(-size.n * (size.d or 1) * 8 // BLOCK_BYTES))
     out = None
     for b in range(blocks):
@@ -57,3 +62,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None =
         found = vectors.select("chunk_id", "vector").mapInArrow(run, f"query_id {query_kind}, chunk_id {chunk_kind}, score double")
         out = found if out is None else out.unionByName(found)
     return ranking.top_k(out, k, digits)
+
+
+@dataclass
+class DenseIndex:
+    """vectors (chunk_id, vector), their length and the name of the encoder that made them."""
+
+    vectors: DataFrame
+    dimension: int
+    encoder: str
+
+    @classmethod
+    def build(cls, texts: DataFrame, key: str, encoder: Callable[[pd.Series], Iterator], name: str, text: str = "text") -> DenseIndex:
+        """Encodes every text once and writes the vectors to the shared folder."""
+        vectors = materialize(encode(texts, key, encoder, text).withColumnRenamed(key, "chunk_id"), "dense-vectors")
+        return cls(vectors, vectors.agg(F.max(F.size("vector"))).first()[0] or 0, name)
+
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        self.vectors.write.mode(mode).parquet(f"{path}/vectors")
+        about = self.vectors.agg(F.count("*").alias("n")).select("n", F.lit(self.dimension).alias("dimension"), F.lit(self.encoder).alias("encoder"))
+        about.write.mode(mode).json(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, encoder: str | None = None) -> DenseIndex:
+        """The saved index; ValueError if another encoder than the one asked for made it, or its vectors are not as told."""
+        about = spark.read.schema("n long, dimension int, encoder string").json(f"{path}/about").first()
+        vectors = spark.read.parquet(f"{path}/vectors")
+        if encoder is not None and encoder != about.encoder:
+            raise ValueError(f"{path} was made by {about.encoder}, not by {encoder}")
+        n, wrong = vectors.agg(F.count("*"), F.count_if(F.coalesce(F.size("vector"), F.lit(-1)) != about.dimension)).first()
+        if n != about.n or wrong:
+            raise ValueError(f"{path}: {n} vectors of {about.n}, {wrong} of another length than {about.dimension}")
+        return cls(vectors, about.dimension, about.encoder)
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return search(self.vectors, queries, k)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.text import TIERS
 
 
@@ -17,9 +18,39 @@ def match_ranks(expected: DataFrame, hits: DataFrame, matches) -> DataFrame:
     return expected.select("query_id", "item").distinct().join(best, ["query_id", "item"], "left")
 
 
-def per_query(queries: DataFrame, ranks: DataFrame, policy: str = "any") -> DataFrame:
+def expected_items(queries: DataFrame) -> DataFrame:
+    """queries (query_id, expected_symbols, expected_urls, url_match) -> query_id, kind (symbol or url), item, url_match:
+    a row for each distinct expected item; queries without any have none."""
+    of = lambda kind, items: queries.select("query_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(items)).alias("item"), "url_match")
+    return of("symbol", F.col("expected_symbols")).unionByName(of("url", F.col("expected_urls")))
+
+
+def item_ranks(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits (query_id, rank, symbols, canonical_url) -> query_id, item, rank: each expected item's best rank, null if
+    none. A hit meets an expected symbol that is among its symbols, and an expected URL under the query's mode. Hits
+    are a query's first few, so what meets by query is bounded."""
+    items = expected_items(queries)
+    joined = items.join(hits.select("query_id", "rank", "symbols", "canonical_url"), "query_id")
+    by_url = text.url_matches(F.col("url_match"), F.col("canonical_url"), F.col("item"))
+    good = F.when(F.col("kind") == "symbol", F.array_contains("symbols", F.col("item"))).otherwise(by_url)
+    best = joined.filter(good).groupBy("query_id", "kind", "item").agg(F.min("rank").alias("rank"))
+    return items.join(best, ["query_id", "kind", "item"], "left").select("query_id", F.concat_ws(":", "kind", "item").alias("item"), "rank")
+
+
+def symbol_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits (query_id, rank, symbols) that share a symbol with those that their query expects."""
+    asked = queries.select("query_id", "expected_symbols")
+    return hits.join(asked, "query_id").filter(F.arrays_overlap("symbols", "expected_symbols")).drop("expected_symbols")
+
+
+def per_query(queries: DataFrame, ranks: DataFrame, policy: str | Column = "any") -> DataFrame:
     """query_id, hit_at_5, hit_at_10, rank. any: the best rank of any item. all: the worst of the items' best ranks,
-    null if an item has none. Without expected items: never a hit under any; under all a hit without a rank."""
+    null if an item has none. Without expected items: never a hit under any; under all a hit without a rank. policy may
+    be a column of queries."""
+    if not isinstance(policy, str):
+        told = queries.withColumn("_policy", policy)
+        part = lambda p: per_query(told.filter(F.col("_policy") == p), ranks, p)
+        return part("any").unionByName(part("all"))
     by = ranks.groupBy("query_id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"), F.count("*").alias("items"), F.count("rank").alias("found"))
     row = queries.select("query_id").join(by, "query_id", "left")
     if policy == "any":
@@ -93,6 +124,33 @@ def first_rows(rows: DataFrame, group: str, order: list, n: int = 3) -> DataFram
     return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("place") <= n)
 
 
+def common_tiers(judged: DataFrame, human: DataFrame, query: str = "query", order: str = "timestamp") -> DataFrame:
+    """judged (query, tier, timestamp), human (query, tier) -> query, judge, human: the queries that both have, with the
+    judge's last tier; the input of agreement."""
+    last = join_judgments(human.select(query, F.col("tier").alias("human")), judged.select(query, F.col("tier").alias("judge"), order), query, order)
+    return last.select(query, "judge", "human")
+
+
+def cited_chunks(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """answers (query_id, answer), hits (query_id, rank, chunk_id) -> query_id, text, cited_chunk_ids, refused.
+
+    A citation is a place among the query's hits in order of rank; places that it has not are passed over. A refusal
+    has no text and cites nothing."""
+    listed = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"]).alias("_hits"))
+    rows = answers.join(listed, "query_id", "left")
+    none = F.slice("_hits", 1, 0)
+    refused = text.is_refusal(F.col("answer"))
+    cited = F.when(refused, none).otherwise(text.cited_chunks(text.citations(F.col("answer")), F.col("_hits")))
+    empty = F.array().cast(f"array<{dict(hits.dtypes)['chunk_id']}>")
+    return rows.select("query_id", F.when(refused, "").otherwise(text.without_refusal(F.col("answer"))).alias("text"), F.coalesce(cited, empty).alias("cited_chunk_ids"), refused.alias("refused"))
+
+
+def mark_cited(hits: DataFrame, cited: DataFrame) -> DataFrame:
+    """hits with cited: whether their query's answer (of cited_chunks) cites them."""
+    ids = cited.select("query_id", F.explode("cited_chunk_ids").alias("chunk_id")).distinct().withColumn("cited", F.lit(True))
+    return hits.join(ids, ["query_id", "chunk_id"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+
+
 def join_judgments(results: DataFrame, judgments: DataFrame, query: str = "query", order: str = "timestamp") -> DataFrame:
     """results with each query's last judgment (by order); results without one go."""
     last = judgments.withColumn("_n", F.row_number().over(W.partitionBy(query).orderBy(F.desc(order)))).filter("_n = 1").drop("_n", order)
@@ -102,7 +160,5 @@ def join_judgments(results: DataFrame, judgments: DataFrame, query: str = "query
 def search_rows(hits: DataFrame, chunks: DataFrame, version: str, chars: int = 1500) -> DataFrame:
     """What a search returns to a user: query_id, rank, score, chunk_id, title, url, body; hits of unknown chunks go and
     ranks keep their gaps."""
-    from ..functions.text import public_url, truncate
-
     joined = hits.join(chunks.select("chunk_id", "title", "text", "canonical_url"), "chunk_id")
-    return joined.select("query_id", "rank", "score", "chunk_id", "title", public_url(version, F.col("canonical_url")).alias("url"), truncate(F.col("text"), chars).alias("body"))
+    return joined.select("query_id", "rank", "score", "chunk_id", "title", text.public_url(version, F.col("canonical_url")).alias("url"), text.truncate(F.col("text"), chars).alias("body"))

@@ -79,8 +79,29 @@ def route(queries: DataFrame, symbol_hits, text_hits, k: int) -> DataFrame:
     return ranking.positional(direct.withColumn("used", F.lit("symbol")).unionByName(found.withColumn("used", F.lit("bm25"))))
 
 
+def near_names(queries: DataFrame, names: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """queries (query_id, text), names (symbol, distinct) -> query_id, text, symbol of every pair whose lower-cased forms
+    are `edits` or fewer insertions, deletions and replacements apart.
+
+    A name is cut into edits + 1 parts; as so few edits leave one of them whole, it stands in the query, moved by
+    `edits` places at most. Names meet queries under (length, part, its letters) and are compared in full then."""
+    parts = edits + 1
+    n = F.length("low")
+    cut = lambda size, k: F.floor(size * k / parts).cast("int")  # noqa: E731  where part k begins
+    low = names.select("symbol", F.lower("symbol").alias("low"))
+    keys = low.select("symbol", n.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "low")
+    keys = keys.select("symbol", "size", "part", F.substring("low", cut(F.col("size"), F.col("part")) + 1, cut(F.col("size"), F.col("part") + 1) - cut(F.col("size"), F.col("part"))).alias("letters"))
+    asked = queries.select("query_id", "text", F.lower("text").alias("low"))
+    probes = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), n - edits), n + edits))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    begin = cut(F.col("size"), F.col("part"))
+    probes = probes.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), begin - edits), F.greatest(F.lit(0), begin + edits))))
+    probes = probes.select("query_id", "text", "size", "part", F.substring("low", F.col("at") + 1, cut(F.col("size"), F.col("part") + 1) - begin).alias("letters")).distinct()
+    pairs = probes.join(keys, ["size", "part", "letters"]).select("query_id", "text", "symbol").distinct()
+    return pairs.filter(F.levenshtein(F.lower("text"), F.lower("symbol")) <= edits)
+
+
 def rewrite_typos(retrieved: DataFrame) -> DataFrame:
-    """retrieved (query_id, text, symbol: one row per symbol of the query's top hits) -> query_id, rewritten.
+    """retrieved (query_id, text, symbol: one row per symbol of the query's top hits, or null) -> query_id, rewritten.
 
     The nearest symbol by Levenshtein distance of the lower-cased strings replaces the query, unless the query is one
     of the symbols as it is, the nearest is more than MAX_EDITS away, or several symbols are as near."""
@@ -89,4 +110,4 @@ def rewrite_typos(retrieved: DataFrame) -> DataFrame:
     near = rows.groupBy("query_id", "text").agg(F.min("d").alias("least"), F.max((F.col("symbol") == F.col("text")).cast("int")).alias("same"))
     best = rows.join(near.select("query_id", "least"), "query_id").filter("d = least").groupBy("query_id").agg(F.min("symbol").alias("symbol"), F.countDistinct("symbol").alias("n"))
     change = (F.col("same") == 0) & (F.col("least") <= MAX_EDITS) & (F.col("n") == 1)
-    return near.join(best, "query_id").select("query_id", F.when(change, F.col("symbol")).otherwise(F.col("text")).alias("rewritten"))
+    return near.join(best, "query_id", "left").select("query_id", F.when(change, F.col("symbol")).otherwise(F.col("text")).alias("rewritten"))

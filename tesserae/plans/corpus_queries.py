@@ -162,7 +162,7 @@ def pad_batch(read):
 
 
 @query(
-    f"""WITH q AS (SELECT conv_id * 100 + turn AS query_id, left(text, 12) AS query, CASE WHEN turn = 0 THEN 'eval' ELSE 'synthetic' END AS source FROM conversations),
+    f"""WITH q AS (SELECT conv_id * 100 + turn AS query_id, text AS query, CASE WHEN turn = 0 THEN 'eval' ELSE 'synthetic' END AS source FROM conversations),
     o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CASE source WHEN 'eval' THEN 0 ELSE 1 END, query_id) AS n FROM q),
     {_ANSWERS} SELECT query_id, source, CASE WHEN refused THEN 'refused' WHEN trim(answer) = '' THEN 'empty' WHEN length(trim(answer, ' ' || chr(10) || chr(9) || chr(13))) < 30 THEN 'too_short' WHEN contains(lower(answer), 'i cannot') THEN 'matches:<I cannot>' WHEN NOT regexp_matches(answer, '\\[\\d+\\]') THEN 'no_citation' END AS rejection_reason
     FROM o JOIN a ON a.conv_id * 100 + a.turn = o.query_id WHERE n = 1"""
@@ -170,7 +170,7 @@ def pad_batch(read):
 def sft_corpus(read):
     """Distinct queries (first turns before others) with the verdict on their answers."""
     key = F.col("conv_id") * 100 + F.col("turn")
-    queries = read("conversations").select(key.alias("query_id"), F.substring("text", 1, 12).alias("query"), F.when(F.col("turn") == 0, "eval").otherwise("synthetic").alias("source"))
+    queries = read("conversations").select(key.alias("query_id"), F.col("text").alias("query"), F.when(F.col("turn") == 0, "eval").otherwise("synthetic").alias("source"))
     hits = queries.select("query_id", F.col("query_id").alias("chunk_id"), F.lit(1).alias("rank"))
     return corpus.training_corpus(queries, hits, answers(read).select(key.alias("query_id"), "answer", "refused")).select("query_id", "source", "rejection_reason")
 

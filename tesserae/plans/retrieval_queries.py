@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions import text as T
 from ..operators import bm25, chunks, dense, evaluation, ranking, symbols
 from .registry import query
@@ -18,9 +19,9 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 HITS_SQL = f"WITH {WORD_SQL}, {_SCORED.format(k=K)}"
 HITS20_SQL = f"WITH {WORD_SQL}, {_SCORED.format(k=ranking.OVERFETCH)}"
 
-#: Documents with an id divisible by 100 as queries (their first 200 characters, and their vectors) against all.
+#: Documents with an id divisible by 100 as queries (their whole texts, and the vectors of those that have one).
 _SELF = r"""
-sq AS (SELECT doc_id AS item_id, left(text, 200) AS text FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 100 = 0)"""
+sq AS (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 100 = 0)"""
 _SELF_WORDS = WORD_SQL.replace("FROM benchmark", "FROM sq")
 _DENSE = """
 dense_scored AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
@@ -38,13 +39,24 @@ def benchmark_queries(read):
     return read("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_indexes: dict[tuple, bm25.Bm25Index] = {}
+
+
+def index_of(read) -> bm25.Bm25Index:
+    """The BM25 index of the documents, built once in a session for the same files."""
+    docs = documents(read)
+    key = (docs.sparkSession.sparkContext.applicationId, tables.generation(), *sorted(docs.inputFiles()))
+    if key not in _indexes:
+        _indexes[key] = bm25.Bm25Index.build(docs)
+    return _indexes[key]
+
+
 def bm25_hits(read, queries=None, k=K):
-    return bm25.Bm25Index.build(documents(read)).search(benchmark_queries(read) if queries is None else queries, k)
+    return index_of(read).search(benchmark_queries(read) if queries is None else queries, k)
 
 
 def self_queries(read):
-    docs = read("documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("text"))
-    return docs.join(read("embeddings").select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
+    return read("documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
 def dense_hits(read, k=K):
@@ -54,12 +66,12 @@ def dense_hits(read, k=K):
 
 @query(f"WITH {WORD_SQL} SELECT term AS token, df, round(idf, 6) AS idf FROM idf")
 def term_stats(read):
-    return bm25.Bm25Index.build(documents(read)).terms.select(F.col("term").alias("token"), "df", F.round("idf", 6).alias("idf"))
+    return index_of(read).terms.select(F.col("term").alias("token"), "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {WORD_SQL} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM dfs) AS vocabulary FROM stats")
 def corpus_stats(read):
-    index = bm25.Bm25Index.build(documents(read))
+    index = index_of(read)
     return index.stats.select("n", F.round("avgdl", 6).alias("avgdl"), index.terms.agg(F.count("*")).scalar().alias("vocabulary"))
 
 
@@ -73,21 +85,19 @@ def dense_topk(read):
     return dense_hits(read)
 
 
-@query(f"{HYBRID_SQL} SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, chunk_id, rank FROM hits UNION ALL SELECT query_id, chunk_id, rank FROM dense_hits WHERE query_id IN (SELECT item_id FROM sq)) GROUP BY ALL")
+@query(f"{HYBRID_SQL} SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, chunk_id, rank FROM hits UNION ALL SELECT query_id, chunk_id, rank FROM dense_hits) GROUP BY ALL")
 def rrf_fusion(read):
-    asked = self_queries(read)
-    found = ranking.reciprocal_rank_fusion([bm25_hits(read, asked), dense_hits(read).join(asked.select("query_id"), "query_id", "left_semi")])
+    found = ranking.reciprocal_rank_fusion([bm25_hits(read, self_queries(read)), dense_hits(read)])
     return found.withColumn("score", F.round("score", 6))
 
 
 def _linear(alpha: float, name: str) -> None:
     sql = f"""{HYBRID_SQL}, {_MINMAX.format(t="hits").replace("norm AS (", "na AS (", 1)}, {_MINMAX.format(t="dense_hits").replace("norm AS (", "nb AS (", 1)}
-    SELECT query_id, chunk_id, round({alpha}::DOUBLE * coalesce(na.norm, 0) + {1 - alpha}::DOUBLE * coalesce(nb.norm, 0), 6) AS score FROM na FULL JOIN nb USING (query_id, chunk_id) WHERE query_id IN (SELECT item_id FROM sq)"""
+    SELECT query_id, chunk_id, round({alpha}::DOUBLE * coalesce(na.norm, 0) + {1 - alpha}::DOUBLE * coalesce(nb.norm, 0), 6) AS score FROM na FULL JOIN nb USING (query_id, chunk_id)"""
 
     @query(sql, name)
     def build(read):
-        asked = self_queries(read)
-        found = ranking.linear_fusion(bm25_hits(read, asked), dense_hits(read).join(asked.select("query_id"), "query_id", "left_semi"), alpha)
+        found = ranking.linear_fusion(bm25_hits(read, self_queries(read)), dense_hits(read), alpha)
         return found.withColumn("score", F.round("score", 6))
 
 
@@ -125,12 +135,12 @@ def overfetch_rerank(read):
 _HYDE_WORDS = WORD_SQL.replace("FROM benchmark", "FROM hq")
 
 
-@query(f"WITH hq AS (SELECT item_id, CASE WHEN regexp_matches(text, '^[A-Za-z0-9._]*[A-Za-z0-9][A-Za-z0-9._]*$') THEN text ELSE 'passage ' || text || ' ' || left(text, 40) END AS text FROM benchmark), {_HYDE_WORDS}, {_SCORED.format(k=ranking.OVERFETCH)}, {_RERANK}")
+@query(f"WITH hq AS (SELECT item_id, CASE WHEN regexp_matches(text, '^[A-Za-z0-9._]*[A-Za-z0-9][A-Za-z0-9._]*$') THEN text ELSE 'passage ' || text || ' ' || text END AS text FROM benchmark), {_HYDE_WORDS}, {_SCORED.format(k=ranking.OVERFETCH)}, {_RERANK}")
 def hyde_branch(read):
     """Searches with a written passage (identifiers with themselves) and reranks with the query as asked."""
     asked = benchmark_queries(read).withColumn("kind", T.classify_query(F.col("text")))
     same = asked.filter("kind = 'identifier'").select("query_id", "text")
-    written = asked.filter("kind <> 'identifier'").select("query_id", F.concat(F.lit("passage "), "text", F.lit(" "), F.substring("text", 1, 40)).alias("text"))
+    written = asked.filter("kind <> 'identifier'").select("query_id", F.concat(F.lit("passage "), "text", F.lit(" "), "text").alias("text"))
     return _overlap(read)(bm25_hits(read, same.unionByName(written), ranking.OVERFETCH)).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -147,7 +157,7 @@ def route_queries(read):
     from .text_queries import part_symbols, symbol_queries
 
     table = symbols.alias_table(part_symbols(read))
-    index = bm25.Bm25Index.build(documents(read))
+    index = index_of(read)
     asked = symbol_queries(read).withColumn("query_id", -F.col("query_id") - 1).unionByName(benchmark_queries(read))
     found = symbols.route(asked, lambda q: symbols.exact(q.select("query_id", "text"), table), lambda q: index.search(q.select("query_id", "text"), 5), 5)
     return found.select("query_id", "chunk_id", "used", "rank", F.round("score", 6).alias("score"))
@@ -268,10 +278,100 @@ def retrieval_miss(read):
     return corpus.retrieval_misses(known, ranks.select("query_id", F.col("rank").isNotNull().alias("chunk_id"))).select("query_id")
 
 
-@query(f"{HITS_SQL} SELECT h.query_id, h.chunk_id, h.rank, (d.text IS NOT NULL AND contains(d.text, b.text)) AS cited, 'https://docs.python.org/3.12/doc/' || h.chunk_id || '.html' AS url FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.chunk_id")
+_REPLY = """reply AS (SELECT item_id AS query_id, text || ' [' || (item_id % 7) || ', 2] and [9]' || CASE WHEN item_id % 5 = 0 THEN ' [INSUFFICIENT-CONTEXT]' ELSE '' END AS answer, item_id % 5 = 0 AS refused, list_distinct([item_id % 7, 2, 9]) AS cites FROM benchmark)"""
+
+
+def replies(read):
+    """Answers to the benchmark's queries that cite places in the list of hits, some of which it has not, and refusals."""
+    mark = F.when(F.col("query_id") % 5 == 0, " [INSUFFICIENT-CONTEXT]").otherwise("")
+    return benchmark_queries(read).select("query_id", F.concat("text", F.lit(" ["), (F.col("query_id") % 7).cast("string"), F.lit(", 2] and [9]"), mark).alias("answer"))
+
+
+@query(
+    f"""{HITS_SQL}, {_REPLY} SELECT query_id, CASE WHEN refused THEN '' ELSE answer END AS text, refused,
+    coalesce((SELECT string_agg(chunk_id::VARCHAR, ',' ORDER BY CASE rank WHEN query_id % 7 THEN 1 WHEN 2 THEN 2 ELSE 3 END) FROM hits h WHERE h.query_id = r.query_id AND rank <= 5 AND NOT refused AND list_contains(cites, rank)), '') AS cited FROM reply r"""
+)
+def answer_citations(read):
+    """Citations as places among five hits, to chunks."""
+    found = evaluation.cited_chunks(replies(read), bm25_hits(read, k=5))
+    return found.select("query_id", "text", "refused", F.array_join(F.transform("cited_chunk_ids", lambda c: c.cast("string")), ",").alias("cited"))
+
+
+@query(f"{HITS_SQL}, {_REPLY} SELECT h.query_id, h.chunk_id, h.rank, NOT refused AND list_contains(cites, rank) AS cited, 'https://docs.python.org/3.12/doc/' || h.chunk_id || '.html' AS url FROM hits h JOIN reply USING (query_id)")
 def cited_hits(read):
-    """Hits with a mark on those that an answer cites; here the ones that contain the passage."""
-    hits = bm25_hits(read).join(documents(read).withColumnRenamed("text", "body"), "chunk_id").join(benchmark_queries(read), "query_id")
-    cites = hits.filter(F.contains("body", F.col("text"))).select("query_id", "rank", F.lit(True).alias("mark"))
+    """Hits with a mark on those that the query's answer cites."""
+    hits = bm25_hits(read)
     url = T.public_url("3.12", F.concat(F.lit("doc/"), F.col("chunk_id").cast("string"), F.lit(".html")))
-    return hits.join(cites, ["query_id", "rank"], "left").select("query_id", "chunk_id", "rank", F.col("mark").isNotNull().alias("cited"), url.alias("url"))
+    return evaluation.mark_cited(hits, evaluation.cited_chunks(replies(read), hits)).select("query_id", "chunk_id", "rank", "cited", url.alias("url"))
+
+
+@query(
+    f"""{HITS_SQL}, blocks AS (SELECT query_id, string_agg('[' || rank || '] doc ' || chunk_id || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS blocks FROM hits JOIN documents ON doc_id = chunk_id WHERE rank <= 5 GROUP BY ALL)
+    SELECT item_id AS query_id, sha256(CASE WHEN regexp_matches(text, '^[A-Za-z0-9._]*[A-Za-z0-9][A-Za-z0-9._]*$') THEN '{T.STRUCTURE_HINTS["identifier"]}' ELSE '{T.STRUCTURE_HINTS["natural_language"]}' END || chr(10) || chr(10)
+    || coalesce('CONTEXT:' || chr(10) || blocks || chr(10) || chr(10), '') || 'QUESTION: ' || text) AS user_sha256 FROM benchmark LEFT JOIN blocks ON query_id = item_id"""
+)
+def grounded_prompts(read):
+    """Whole prompts of the benchmark's queries over five hits."""
+    asked = benchmark_queries(read).withColumn("query_type", T.classify_query(F.col("text")))
+    hits = bm25_hits(read, k=5).join(documents(read), "chunk_id").withColumn("title", F.concat(F.lit("doc "), F.col("chunk_id").cast("string")))
+    return chunks.grounded_prompts(asked, hits).select("query_id", F.sha2("user", 256).alias("user_sha256"))
+
+
+_EXPECTED = f"""{NAMES_SQL},
+eq AS (SELECT id AS query_id, array_to_string(string_split(fqn, '.')[2:], '.') AS text, fqn, id // 100 % 2 = 0 AS every, id // 100 % 3 AS mode FROM names WHERE id % 100 = 0),
+eh AS (SELECT query_id, id AS chunk_id, a.fqn AS symbol, 'library/' || module || '.html#' || a.fqn AS url, row_number() OVER (PARTITION BY query_id ORDER BY {PRIORITY_SQL}, module, a.fqn, id) AS rank FROM eq JOIN alias a ON alias = text),
+items AS (SELECT query_id, 'symbol' AS kind, unnest([fqn, 'no.such.name']) AS item, mode FROM eq WHERE mode < 2 UNION ALL SELECT query_id, 'symbol', fqn, mode FROM eq WHERE mode = 2
+  UNION ALL SELECT query_id, 'url', CASE mode WHEN 0 THEN 'library/' || split_part(fqn, '.', 1) || '.html#' || fqn WHEN 1 THEN 'library/' || split_part(fqn, '.', 1) || '.html#else' ELSE 'library/' END, mode FROM eq),
+found AS (SELECT i.query_id, kind, item, min(rank) FILTER (WHERE CASE WHEN kind = 'symbol' THEN symbol = item ELSE CASE i.mode WHEN 0 THEN url = item WHEN 1 THEN split_part(url, '#', 1) = split_part(item, '#', 1) ELSE starts_with(url, item) END END) AS rank
+  FROM items i LEFT JOIN eh USING (query_id) GROUP BY ALL),
+ranks AS (SELECT query_id, every, CASE WHEN every THEN CASE WHEN count(*) = count(rank) THEN max(rank) END ELSE min(rank) END AS rank FROM found JOIN eq USING (query_id) GROUP BY query_id, every)"""
+
+
+def expectations(read):
+    """(queries, hits): aliases with the symbols and URLs that they expect under every mode and policy, and exact hits."""
+    from .text_queries import part_names, part_symbols, symbol_queries
+
+    page = lambda name: F.concat(F.lit("library/"), F.substring_index(name, ".", 1), F.lit(".html"))
+    mode = F.expr("query_id div 100 % 3")
+    asked = symbol_queries(read).join(part_names(read).select(F.col("id").alias("query_id"), "fqn"), "query_id")
+    url = F.when(mode == 0, F.concat(page("fqn"), F.lit("#"), "fqn")).when(mode == 1, F.concat(page("fqn"), F.lit("#else"))).otherwise("library/")
+    asked = asked.select(
+        "query_id", "text", F.when(mode == 2, F.array("fqn")).otherwise(F.array("fqn", F.lit("no.such.name"))).alias("expected_symbols"), F.array(url).alias("expected_urls"),
+        F.when(mode == 0, "exact").when(mode == 1, "strip_anchor").otherwise("prefix").alias("url_match"), F.when(F.expr("query_id div 100 % 2 = 0"), "all").otherwise("any").alias("match_policy"),
+    )
+    found = symbols.exact(asked.select("query_id", "text"), symbols.alias_table(part_symbols(read)))
+    return asked, found.select("query_id", "chunk_id", "rank", F.array("fqn").alias("symbols"), F.concat(page("fqn"), F.lit("#"), "fqn").alias("canonical_url"))
+
+
+@query(f"WITH {_EXPECTED.strip()} SELECT query_id, kind || ':' || item AS item, rank::INT AS rank FROM found")
+def expected_ranks(read):
+    """The best rank of every expected symbol and URL."""
+    return evaluation.item_ranks(*expectations(read))
+
+
+@query(f"WITH {_EXPECTED.strip()} SELECT query_id, coalesce(rank <= 5, false) AS hit_at_5, coalesce(rank <= 10, false) AS hit_at_10, rank::INT AS rank FROM ranks")
+def expected_hits(read):
+    """Hits and ranks under each query's own policy."""
+    asked, hits = expectations(read)
+    return evaluation.per_query(asked, evaluation.item_ranks(asked, hits), F.col("match_policy"))
+
+
+@query(f"WITH {_EXPECTED.strip()} SELECT query_id, chunk_id, rank::INT AS rank FROM eh JOIN eq USING (query_id) WHERE symbol = fqn OR (mode < 2 AND symbol = 'no.such.name')")
+def symbol_overlap(read):
+    """Hits that share a symbol with what their query expects."""
+    return evaluation.symbol_hits(*expectations(read)).select("query_id", "chunk_id", "rank")
+
+
+@query(
+    f"""WITH {_TIERS}, j AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'wrong' ELSE tier END AS judge FROM tiers WHERE doc_id % 3 <> 0), m AS (SELECT doc_id, tier AS human FROM tiers WHERE doc_id % 4 <> 0),
+    b AS (SELECT judge, human FROM j JOIN m USING (doc_id)), n AS (SELECT count(*) AS n, coalesce(avg((judge = human)::INT), 0) AS po FROM b),
+    c AS (SELECT coalesce(sum(a.n * b.n)::DOUBLE / (SELECT n * n FROM n), 0) AS pe FROM (SELECT judge AS t, count(*) AS n FROM b GROUP BY ALL) a JOIN (SELECT human AS t, count(*) AS n FROM b GROUP BY ALL) b USING (t))
+    SELECT n, round(po, 6) AS exact_match, round(CASE WHEN n = 0 THEN 0 WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM n, c"""
+)
+def judge_human_agreement(read):
+    """A judge's last tiers and a person's, over the queries that both have."""
+    t = tiers(read).select(F.col("doc_id").alias("query"), "tier")
+    judged = t.filter("query % 3 <> 0").withColumn("tier", F.when(F.col("query") % 7 == 0, "wrong").otherwise(F.col("tier"))).withColumn("timestamp", F.lit(2))
+    earlier = judged.withColumns({"tier": F.lit("correct"), "timestamp": F.lit(1)})
+    r = evaluation.agreement(evaluation.common_tiers(judged.unionByName(earlier), t.filter("query % 4 <> 0")), "judge", "human")
+    return r.withColumns({c: F.round(c, 6) for c in ("exact_match", "kappa")})

@@ -9,23 +9,23 @@ from ..operators import bm25, chunks, symbols
 from .registry import query
 
 WORD_SQL = r"""
-words AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[\s\p{Z}]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
-qwords AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(string_split_regex(text, '[\s\p{Z}]+')) AS w FROM benchmark) WHERE w <> '' GROUP BY ALL),
-distinct_words AS (SELECT w FROM words UNION SELECT w FROM qwords),
+words AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[\s\p{Z}]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
+qwords AS MATERIALIZED (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(string_split_regex(text, '[\s\p{Z}]+')) AS w FROM benchmark) WHERE w <> '' GROUP BY ALL),
+distinct_words AS MATERIALIZED (SELECT w FROM words UNION SELECT w FROM qwords),
 dotted AS (SELECT w, unnest(string_split(w, '.')) AS p FROM distinct_words),
-marked AS (SELECT w, p, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p,
+marked AS (SELECT w, p, CASE WHEN regexp_matches(p, '[a-z][A-Z]|[A-Z0-9][A-Z][a-z]') THEN string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p,
   '([a-z])([A-Z])', '\1' || chr(31) || '\2', 'g'), '([a-z])([A-Z])', '\1' || chr(31) || '\2', 'g'),
-  '([A-Z0-9])([A-Z][a-z])', '\1' || chr(31) || '\2', 'g'), '([A-Z0-9])([A-Z][a-z])', '\1' || chr(31) || '\2', 'g'), chr(31)) AS parts FROM dotted),
+  '([A-Z0-9])([A-Z][a-z])', '\1' || chr(31) || '\2', 'g'), '([A-Z0-9])([A-Z][a-z])', '\1' || chr(31) || '\2', 'g'), chr(31)) ELSE [p] END AS parts FROM dotted),
 camel AS (SELECT w, unnest(CASE WHEN len(parts) > 1 THEN list_concat([p], parts) ELSE parts END) AS x FROM marked),
 snake AS (SELECT w, unnest(CASE WHEN contains(x, '_') THEN list_concat([x], string_split(x, '_')) ELSE [x] END) AS x FROM camel),
-word_terms AS (SELECT w, lower(x) AS term FROM snake WHERE regexp_matches(x, '[^!-/:-@\[-`{-~]')),
-tf AS (SELECT doc_id, term, sum(n)::BIGINT AS tf FROM words JOIN word_terms USING (w) GROUP BY ALL),
-qtf AS (SELECT item_id, term, sum(n)::BIGINT AS times FROM qwords JOIN word_terms USING (w) GROUP BY ALL),
-lengths AS (SELECT doc_id, sum(tf)::BIGINT AS dl FROM tf GROUP BY ALL),
-stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM lengths)::DOUBLE / (SELECT count(*) FROM documents) AS avgdl),
-dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
-raw_idf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw_idf) ELSE raw END AS idf FROM raw_idf)"""
+word_terms AS MATERIALIZED (SELECT w, lower(x) AS term FROM snake WHERE regexp_matches(x, '[^!-/:-@\[-`{-~]')),
+tf AS MATERIALIZED (SELECT doc_id, term, sum(n)::BIGINT AS tf FROM words JOIN word_terms USING (w) GROUP BY ALL),
+qtf AS MATERIALIZED (SELECT item_id, term, sum(n)::BIGINT AS times FROM qwords JOIN word_terms USING (w) GROUP BY ALL),
+lengths AS MATERIALIZED (SELECT doc_id, sum(tf)::BIGINT AS dl FROM tf GROUP BY ALL),
+stats AS MATERIALIZED (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM lengths)::DOUBLE / (SELECT count(*) FROM documents) AS avgdl),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+raw_idf AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw_idf) ELSE raw END AS idf FROM raw_idf)"""
 
 #: Names built from parts: type.brand.name, without blanks and number signs; the smallest key stands for equal names.
 NAMES_SQL = """
@@ -62,12 +62,16 @@ def analyze_tokens(read):
     return bm25.term_counts(read("documents"), "doc_id").select("doc_id", F.col("term").alias("token"), "tf")
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(w, '^[A-Za-z0-9._]*[A-Za-z0-9][A-Za-z0-9._]*$') THEN 'identifier' ELSE 'natural_language' END AS query_type, w AS value FROM (SELECT doc_id, unnest(string_split_regex(text, '[\\s\\p{Z}]+')[:2]) AS w FROM documents) WHERE w <> '' UNION ALL SELECT doc_id, CASE WHEN regexp_matches(text, '^[A-Za-z0-9._]*[A-Za-z0-9][A-Za-z0-9._]*$') THEN 'identifier' ELSE 'natural_language' END, sha256(text) FROM documents")
+_KIND = "CASE WHEN regexp_matches({c}, '^[A-Za-z0-9._]*[A-Za-z0-9][A-Za-z0-9._]*$') THEN 'identifier' ELSE 'natural_language' END"
+
+
+@query(f"SELECT doc_id, {_KIND.format(c='w')} AS query_type, w AS value, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[\\s\\p{{Z}}]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL UNION ALL SELECT doc_id, {_KIND.format(c='text')}, sha256(text), 1 FROM documents")
 def classify_queries(read):
+    """Every word of every document, and the whole texts (by their digests)."""
     docs = read("documents")
-    first = docs.select("doc_id", F.explode(F.slice(F.split("text", r"(?U)\s+"), 1, 2)).alias("value")).filter("value <> ''")
-    whole = docs.select("doc_id", T.classify_query(F.col("text")).alias("query_type"), F.sha2("text", 256).alias("value"))
-    return first.select("doc_id", T.classify_query(F.col("value")).alias("query_type"), "value").unionByName(whole)
+    words = docs.select("doc_id", F.explode(T.split_words(F.col("text"))).alias("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+    whole = docs.select("doc_id", T.classify_query(F.col("text")).alias("query_type"), F.sha2("text", 256).alias("value"), F.lit(1).cast("bigint").alias("n"))
+    return words.select("doc_id", T.classify_query(F.col("value")).alias("query_type"), "value", "n").unionByName(whole)
 
 
 @query(f"WITH {NAMES_SQL} SELECT alias, id, fqn FROM alias")
@@ -104,15 +108,16 @@ def symbol_lookup_fallback(read):
 
 @query(
     f"""WITH {NAMES_SQL}, q AS (SELECT id AS query_id, left(fqn, (id // 100 % length(fqn))::INT) || substr(fqn, (id // 100 % length(fqn))::INT + 2) AS text FROM names WHERE id % 100 = 0),
-    r AS (SELECT query_id, text, n.fqn AS symbol, levenshtein(lower(text), lower(n.fqn)) AS d FROM q JOIN names n ON n.id BETWEEN query_id AND query_id + 9),
-    m AS (SELECT query_id, text, min(d) AS least, bool_or(symbol = text) AS same FROM r GROUP BY ALL),
+    r AS (SELECT query_id, text, n.fqn AS symbol, levenshtein(lower(text), lower(n.fqn)) AS d FROM q JOIN names n ON abs(length(text) - length(n.fqn)) <= 2 WHERE levenshtein(lower(text), lower(n.fqn)) <= 2),
+    m AS (SELECT query_id, min(d) AS least, bool_or(symbol = text) AS same FROM r GROUP BY ALL),
     b AS (SELECT r.query_id, min(symbol) AS symbol, count(DISTINCT symbol) AS n FROM r JOIN m ON m.query_id = r.query_id AND d = least GROUP BY ALL)
-    SELECT m.query_id, CASE WHEN NOT same AND least <= 2 AND n = 1 THEN symbol ELSE text END AS rewritten FROM m JOIN b USING (query_id)"""
+    SELECT q.query_id, CASE WHEN NOT same AND n = 1 THEN symbol ELSE text END AS rewritten FROM q LEFT JOIN m USING (query_id) LEFT JOIN b USING (query_id)"""
 )
 def typo_rewrite(read):
-    """Misspelt names against the names of the next ten ids as their retrieved symbols."""
-    asked = _misspelt(read).withColumn("id", F.explode(F.sequence(F.col("query_id"), F.col("query_id") + 9)))
-    return symbols.rewrite_typos(asked.join(part_names(read).withColumnRenamed("fqn", "symbol"), "id").select("query_id", "text", "symbol"))
+    """Misspelt names against all names that are near enough."""
+    asked = _misspelt(read)
+    near = symbols.near_names(asked, part_names(read).select(F.col("fqn").alias("symbol")))
+    return symbols.rewrite_typos(asked.join(near.select("query_id", "symbol"), "query_id", "left"))
 
 
 @query(
@@ -154,10 +159,54 @@ def slug_ids(read):
 
 @query()
 def html_chunks(read):
-    return chunks.html_chunks(read("pages")).select("page_id", "chunk_no", "chunk_id", "chunk_type", "title", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    """The pages' articles, as sections named by their page."""
+    html = F.regexp_replace("html", "<article>", F.concat(F.lit('<section id="page-'), F.col("page_id").cast("string"), F.lit('">')))
+    pages = read("pages").select(T.uri_path(F.col("url")).alias("path"), F.replace(html, F.lit("</article>"), F.lit("</section>")).alias("html"))
+    made = chunks.section_chunks(pages, "3.12")
+    return made.select("chunk_id", "chunk_type", "title", "canonical_url", "anchor", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "source_hash")
+
+
+_DOCS_SQL = """
+d AS (SELECT p_partkey, p_partkey // 40 AS page, translate(concat_ws('.', lower(p_type), p_brand, p_name), '# ', '__') || '.k' || p_partkey AS name, p_type, p_name, p_size, p_brand FROM part),
+h AS (SELECT page, '<html><body><nav>all parts</nav><section id="list"><h1>Page ' || page || '<a class="headerlink" href="#list">¶</a></h1><p>Parts of one page.</p><p>In ' || count(DISTINCT p_type) || ' types.</p>'
+  || string_agg('<dl class="py class"><dt class="sig" id="' || name || '"><em>class</em> <code>' || p_name || '</code>(' || p_size || ')<a class="headerlink" href="#x">¶</a></dt><dd><p>' || p_type || ' in</p><p>' || p_brand || '.</p></dd></dl>', '' ORDER BY p_partkey)
+  || '<section><h2>See also: page ' || (page + 1) || '</h2><ul><li>first<li>second</ul></section></section></body></html>' AS html FROM d GROUP BY page)"""
+
+
+def documentation(read):
+    """(inventory, pages): every part as a symbol, forty of them on a page."""
+    name = F.concat(F.translate(F.concat_ws(".", F.lower("p_type"), "p_brand", "p_name"), "# ", "__"), F.lit(".k"), F.col("p_partkey").cast("string"))
+    d = read("part").select("p_partkey", F.expr("p_partkey div 40").alias("page"), name.alias("name"), "p_type", "p_name", F.col("p_size").cast("string").alias("p_size"), "p_brand")
+    path = F.concat(F.lit("library/p"), F.col("page").cast("string"), F.lit(".html"))
+    inventory = d.select("name", F.lit("py:class").alias("role"), F.concat(path, F.lit("#"), "name").alias("uri"), T.module_of(F.col("name")).alias("module"))
+    item = F.concat(F.lit('<dl class="py class"><dt class="sig" id="'), "name", F.lit('"><em>class</em> <code>'), "p_name", F.lit("</code>("), "p_size", F.lit(')<a class="headerlink" href="#x">¶</a></dt><dd><p>'), "p_type", F.lit(" in</p><p>"), "p_brand", F.lit(".</p></dd></dl>"))
+    grouped = d.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("html")))).alias("items"), F.countDistinct("p_type").alias("types"))
+    number = F.col("page").cast("string")
+    head = F.concat(F.lit('<html><body><nav>all parts</nav><section id="list"><h1>Page '), number, F.lit('<a class="headerlink" href="#list">¶</a></h1><p>Parts of one page.</p><p>In '), F.col("types").cast("string"), F.lit(" types.</p>"))
+    tail = F.concat(F.lit("<section><h2>See also: page "), (F.col("page") + 1).cast("string"), F.lit("</h2><ul><li>first<li>second</ul></section></section></body></html>"))
+    html = F.concat(head, F.array_join(F.transform("items", lambda x: x["html"]), ""), tail)
+    return inventory, grouped.select(path.alias("path"), html.alias("html"))
 
 
-@query()
+@query(
+    f"""WITH {_DOCS_SQL}, c AS (SELECT 'symbol:' || name AS chunk_id, 'symbol' AS chunk_type, 'k' || p_partkey AS title, 'class ' || p_name || ' (' || p_size || ')' || chr(10) || chr(10) || p_type || ' in ' || p_brand || '.' AS text,
+    name AS symbols, 'library/p' || page || '.html#' || name AS canonical_url, name AS anchor, split_part(name, '.', 1) AS parent_module, page FROM d
+    UNION ALL SELECT 'section:library/p' || page || '#list', 'section', 'Page ' || page, 'Parts of one page.' || chr(10) || 'In ' || count(DISTINCT p_type) || ' types.', '', 'library/p' || page || '.html#list', 'list', NULL, page FROM d GROUP BY page
+    UNION ALL SELECT DISTINCT 'section:library/p' || page || '#see-also-page-' || (page + 1), 'section', 'See also: page ' || (page + 1), 'first' || chr(10) || 'second', '', 'library/p' || page || '.html#see-also-page-' || (page + 1), 'see-also-page-' || (page + 1), NULL, page FROM d)
+    SELECT chunk_id, chunk_type, '3.12' AS docs_version, title, text, symbols, canonical_url, anchor, parent_module, 'library/p' || page || '.html' AS source_path, 'sha256:' || sha256(html) AS source_hash FROM c JOIN h USING (page)"""
+)
+def inventory_chunks(read):
+    """An inventory and its pages to chunks."""
+    made = chunks.build_chunks(*documentation(read), "3.12")
+    return made.withColumn("symbols", F.array_join("symbols", ","))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ps FROM documents),
+    r AS (SELECT doc_id, string_split(list_reduce(ps, lambda a, x: CASE WHEN length(split_part(a, chr(30), -1)) + length(x) + 1 <= 1500 THEN a || chr(10) || x ELSE a || chr(30) || x END), chr(30)) AS pieces FROM p WHERE len(ps) > 0),
+    u AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) - 1 AS piece_no FROM r)
+    SELECT doc_id, piece_no::INT AS piece_no, length(piece)::INT AS n_chars, sha256(piece) AS piece_sha256 FROM u"""
+)
 def paragraph_pack(read):
     pieces = read("documents").select("doc_id", F.posexplode(chunks.pack_paragraphs(F.col("text"), separator="\n")).alias("piece_no", "piece"))
     return pieces.select("doc_id", "piece_no", F.length("piece").alias("n_chars"), F.sha2("piece", 256).alias("piece_sha256"))

@@ -26,10 +26,13 @@ def write_run(path: str, results: DataFrame, metrics: DataFrame, **metadata: str
 def ingest(spark: SparkSession, archive: DataFrame, version: str, root: str, force: bool = False) -> tuple[str, bool]:
     """archive (path, content binary, as Spark's binaryFile source reads it) -> (short hash, whether it is new).
 
-    The files' hashes make the version's fingerprint. The same one again changes nothing; another under the same
+    The files' paths and hashes make the version's fingerprint, first in ranges of the hash (a row each of 4096), then
+    over the ranges. The same one again changes nothing; another under the same
     version raises VersionConflict unless force. Files are written under version/hash, then the manifest."""
-    prints = archive.select("path", F.sha2("content", 256).alias("sha256"))
-    whole = prints.groupBy().agg(F.sha2(F.array_join(F.array_sort(F.collect_set("sha256")), ","), 256).alias("h")).first()["h"]
+    prints = archive.select(F.sha2(F.concat_ws("\n", "path", F.sha2("content", 256)), 256).alias("h"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    ranges = prints.groupBy(F.substring("h", 1, 3).alias("range")).agg(joined("h").alias("h"))
+    whole = ranges.agg(joined(F.concat("range", "h")).alias("h")).first()["h"]
     short = whole[:12]
     try:
         known = {r.sha_short for r in spark.read.json(f"{root}/manifest/*").filter(F.col("docs_version") == version).select("sha_short").collect()}

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -28,16 +29,44 @@ def test_paragraphs(spark):
         assert list(r.p) == packed(r.text, 1500, "\n")
 
 
-def test_html(spark):
-    html = """<title>t</title><nav>menu</nav><section id="m"><h1>Top &amp; more</h1><p>Intro<br>line.</p><dl class="py class"><dt id="pathlib.Path">class Path(*args)</dt><dd><p>A path.</p></dd></dl>
-    <section id="examples"><h2>Examples</h2><p>Use it.</p></section></section>"""
-    rows = chunks.html_chunks(spark.createDataFrame([(1, "library/pathlib.html#x", html), (2, None, None)], "page_id long, url string, html string")).collect()
-    assert len({r.chunk_id for r in rows}) == len(rows)
-    symbol = next(r for r in rows if r.chunk_type == "symbol")
-    assert symbol.text == "class Path(*args)\n\nA path." and symbol.title == "Path"
-    sections = {r.anchor: r for r in rows if r.chunk_type == "section"}
-    assert sections["examples"].text == "Use it." and sections["examples"].title == "Examples" and sections["m"].title == "Top & more"
-    assert "A path" not in sections["m"].text and "menu" not in "".join(r.text for r in rows)
+HTML = """<title>t</title><nav>menu</nav><p>outside</p><section id="m"><h1>Top &amp; more<a class="headerlink" href="#m">¶</a></h1><p>Intro<br>line.</p><script>x()</script><nav>inner</nav>
+<dl class="py class"><dt id="garden.Rose">class <em>Rose</em>(*petals)<a class="headerlink">¶</a></dt><dd><p>A rose.</p><dl class="py method"><dt id="garden.Rose.open">open()</dt><dd>Opens.</dd></dl></dd></dl>
+<section><h2>How to plant?</h2><p>Dig.</section><section><h3>How to  plant!</h3><p>Again.</p></section><section><p>no heading</p></section><section id="none"><h2>Empty</h2></section>
+<section id="long"><h2>Long</h2><pre>{long}</pre></section></section>""".replace("{long}", "\n\n".join("x" * 400 for _ in range(6)))
+
+
+def test_chunks_of_an_inventory_and_pages(spark):
+    entries = [("garden.Rose", "py:class", "lib/garden.html#garden.Rose", "garden"), ("garden.Rose.open", "py:method", "lib/garden.html#garden.Rose.open", "garden"), ("garden.gone", "py:data", "lib/garden.html", "garden"), ("garden.Rose", "py:attribute", "lib/other.html#x", "garden"), ("lost", "py:data", "lib/lost.html#lost", None)]
+    inventory = spark.createDataFrame(entries, "name string, role string, uri string, module string")
+    pages = spark.createDataFrame([("lib/garden.html", HTML), ("lib/plain.html", HTML), ("lib/null.html", None)], "path string, html string")
+    made = chunks.build_chunks(inventory, pages, "3.12")
+    rows = {r.chunk_id: r for r in made.collect()}
+    assert len(rows) == made.count() and {r.source_path for r in rows.values()} == {"lib/garden.html"}
+    rose = rows["symbol:garden.Rose"]
+    assert rose.text == "class Rose (*petals)\n\nA rose. open() Opens." and (rose.title, rose.anchor, list(rose.symbols), rose.parent_module) == ("Rose", "garden.Rose", ["garden.Rose"], "garden")
+    assert rows["symbol:garden.Rose.open"].text == "open()\n\nOpens." and rows["symbol:garden.gone"].text == "\n\n" and rows["symbol:garden.gone"].anchor is None
+    top = rows["section:lib/garden#m"]
+    assert top.text == "Intro\nline.\ninner" and top.title == "Top & more" and top.canonical_url == "lib/garden.html#m" and top.parent_module is None
+    assert rows["section:lib/garden#how-to-plant"].text == "Dig." and rows["section:lib/garden#how-to-plant~2"].text == "Again."
+    long = ["x" * 400] * 6
+    assert [rows[f"section:lib/garden#long-{i}"].text for i in range(2)] == ["\n\n".join(long[:3]), "\n\n".join(long[3:])]
+    assert len(rows) == 3 + 3 + 2 and top.source_hash == "sha256:" + hashlib.sha256(HTML.encode()).hexdigest()
+    assert [r.path for r in chunks.missing_pages(inventory, pages).collect()] == ["lib/lost.html"]
+    assert chunks.section_chunks(pages, "3.12").count() == 2 * 5
+    assert chunks.build_chunks(inventory.limit(0), pages, "3.12").count() == 0
+
+
+def test_pieces_of_long_texts():
+    assert chunks.packed("a\n\nb") == ["a\n\nb"] and chunks.packed("", 1) == []
+    assert chunks.packed("aa\n\nbb\n\ncccccc\n\nd", 6) == ["aa\n\nbb", "cccccc", "d"]
+
+
+def test_grounded_prompts(spark):
+    asked = spark.createDataFrame([(1, "what?", "natural_language"), (2, "alone", None)], "query_id int, text string, query_type string")
+    hits = spark.createDataFrame([(1, 4, "B", "second"), (1, 2, "A", "first")], "query_id int, rank int, title string, text string")
+    got = {r.query_id: (r.system, r.user) for r in chunks.grounded_prompts(asked, hits, "be brief").collect()}
+    assert got[2] == ("be brief", "QUESTION: alone")
+    assert got[1][1].endswith("CONTEXT:\n[1] A\nfirst\n---\n[2] B\nsecond\n\nQUESTION: what?") and got[1][1].startswith("Use this answer structure: definition")
 
 
 def test_budgets_and_tiles(spark):
@@ -73,16 +102,40 @@ def test_training_records(spark):
     assert {len(r.input_ids) for r in padded} == {6} == {len(r.labels) for r in padded}
 
 
-def test_bpe(spark):
+def test_merges():
+    assert bpe.merge(list("aaaaa"), "a", "a") == ["aa", "aa", "a"] and bpe.merge(list("abcab"), "a", "b") == ["ab", "c", "ab"] and bpe.merge([], "a", "b") == []
+
+
+def test_bpe_training_here_and_on_tables(spark):
     rng = random.Random(3)
-    words = {"".join(rng.choices("abc", k=rng.randint(1, 8))): rng.randint(1, 9) for _ in range(80)}
-    assert bpe.train(words, 30) == bpe.train_naive(words, 30)
-    docs = spark.createDataFrame([(1, "low lower lowest"), (2, "new newer, low"), (3, "é")], "k long, text string")
+    words = {"".join(rng.choices("abc", k=rng.randint(1, 8))): rng.randint(1, 9) for _ in range(80)} | {"don't": 5, "d'd'd'": 4}
+    want = bpe.train_naive(words, 30)
+    table = spark.createDataFrame(list(words.items()), "token string, n long")
+    assert bpe.train_held(words, 30) == want == bpe.train(table, 30) == bpe.train(table, 30, most_held=0)
+    assert bpe.train_held({}, 3) == [] == bpe.train(table.limit(0), 3, most_held=-1)
+
+
+def test_bpe(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "low lower lowest"), (2, "new newer, low"), (3, "é"), (4, None), (5, " ")], "k long, text string")
     tokenizer = bpe.fit(docs.filter("k < 3"), 20)
     got = {r.k: list(r.tokens) for r in bpe.encode(docs, "k", tokenizer).collect()}
-    assert tokenizer.decode(got[1]) == "low lower lowest" and got[3] == [tokenizer.ids["<unk>"]]
+    assert got[3] == [tokenizer.ids["<unk>"]] and got[4] == got[5] == []
+    marked = bpe.encode(docs, "k", tokenizer, begin=True, end=True)
+    assert {r.k: list(r.tokens) for r in marked.collect()} == {k: [tokenizer.ids["<bos>"], *t, tokenizer.ids["<eos>"]] for k, t in got.items()}
+    assert {r.k: r.text for r in bpe.decode(marked, tokenizer).filter("k < 3").collect()} == {1: "low lower lowest", 2: "new newer , low"}
     vocabulary, merges = tokenizer.tables(spark)
     assert vocabulary.count() == len(tokenizer.tokens) and merges.count() == len(tokenizer.rank)
+    tokenizer.save(spark, str(tmp_path / "t"))
+    again = bpe.Tokenizer.load(spark, str(tmp_path / "t"))
+    assert again.tokens == tokenizer.tokens and again.rank == tokenizer.rank
+
+
+def test_segments_are_read_as_they_were_written(spark, tmp_path):
+    made = corpus.pack(spark.createDataFrame([(1, list(range(10)))], "k long, tokens array<int>"), "k", 4)
+    corpus.write_segments(made, str(tmp_path / "s"), 4, 10)
+    assert corpus.read_segments(spark, str(tmp_path / "s"), 4, 10).count() == 2
+    with pytest.raises(ValueError):
+        corpus.read_segments(spark, str(tmp_path / "s"), 5, 10)
 
 
 def test_streams_equal_batches(spark, tmp_path):

@@ -63,6 +63,21 @@ def test_ingest_by_content(spark, tmp_path):
     assert runs.ingest(spark, frame(b"two"), "3.12", root, force=True)[1] and runs.ingest(spark, frame(b"two"), "3.13", root)[1]
 
 
+def test_fingerprints_tell_paths_and_swapped_files_apart(spark, tmp_path):
+    frame = lambda *files: spark.createDataFrame([(n, bytearray(c)) for n, c in files], "path string, content binary")
+    prints = [runs.ingest(spark, frame(*files), "3.12", str(tmp_path / str(k)))[0] for k, files in enumerate(([("a", b"1"), ("b", b"2")], [("b", b"2"), ("a", b"1")], [("a", b"2"), ("b", b"1")], [("a", b"1"), ("c", b"2")], [("a", b"1")]))]
+    assert prints[0] == prints[1] and len(set(prints)) == 4
+
+
+def test_shared_tables(spark):
+    from tesserae import tables
+
+    tables.clean_up(spark)
+    before, df = tables.generation(), tables.materialize(spark.range(5), "t")
+    assert df.count() == 5 and tables.shared_folder(spark).split("/")[-1] in df.inputFiles()[0]
+    assert tables.clean_up(spark) == 1 and tables.clean_up(spark) == 0 and tables.generation() == before + 2
+
+
 def test_archives(spark):
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w:gz") as tar:
