@@ -20,7 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8; operator 4's components)."""
+    """One document of each group of near copies (5-word shingles, similarity 0.8; operator 4's tiles and components, and
+    an exact search for the pairs that fingerprints cannot show)."""
     return simhash.keep_one(docs)
 
 
@@ -36,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's slot and shard (operator 1)."""
+    """Every document's slot and shard (operator 1), with the digest of its text in place of the text."""
     return sharding.assign_shards(docs.select("doc_id", "source", "lang", "n_chars", F.sha2("text", 256).alias("text_sha256")))
 
 
