@@ -2,10 +2,11 @@
 
 Suffixes are classified as S (smaller than the next) or L; the leftmost S of each run (LMS) are sorted by sorting the
 substrings between them: one induction sorts the substrings, equal ones get equal names, and unless all names differ
-the suffixes of the string of names, a third as long, are sorted by recursion on it: names of pairs of names, then of
-pairs of those, until they differ (an induction over buckets of tens of thousands of names would not run in whole
-arrays). A last induction from the sorted LMS suffixes gives the array. An induction is one pass over the buckets of
-at most 257 symbols, each handled in whole-array rounds, linear in the length.
+the suffixes of the string of names, a third as long, are sorted by recursion on it. A last induction from the sorted
+LMS suffixes gives the array. An induction is one pass over the buckets of the symbols, each handled in whole-array
+rounds, linear in the length. Where there are more than RECURSE names, such a pass over their buckets no longer runs in
+whole arrays (measured in the README), and the recursion goes on pairs instead: names of pairs of names, then of pairs
+of those, until they differ.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
+RECURSE = 1024
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -79,14 +81,14 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, starts: np.ndarray
     return sa
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """t: uint16 symbols below 257 -> the starts of its suffixes in ascending order (a prefix before what it begins)."""
+def suffix_array(t: np.ndarray, recurse: int = RECURSE) -> np.ndarray:
+    """t: small symbols -> the starts of its suffixes in ascending order (a prefix before what it begins)."""
     n = len(t)
     if n < 2:
         return np.arange(n, dtype=np.int32)
     is_s = _types(t)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(np.int32) + 1
-    counts = np.bincount(t, minlength=257)
+    counts = np.bincount(t)
     ends = np.cumsum(counts)
     starts = ends - counts
     sa = _induce(t, is_s, lms, starts, ends)
@@ -105,7 +107,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         if names[-1] + 1 < len(lms):
             by_place = np.zeros(n, np.int64)
             by_place[ranked] = names
-            ranked = lms[_order_of_names(by_place[lms])]
+            string = by_place[lms]
+            ranked = lms[suffix_array(string.astype(np.int32), recurse) if names[-1] < recurse else _order_of_names(string)]
         sa = _induce(t, is_s, ranked.astype(np.int32), starts, ends)
     return sa
 
@@ -154,14 +157,15 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    left = np.arange(n) - 1
-    reducible = (left >= 0) & (phi > 0)
-    reducible[reducible] = t[left[reducible]] == t[phi[reducible] - 1]
+    reducible = phi > 0
+    reducible[0] = False
+    at = np.flatnonzero(reducible)
+    reducible[at] = t[at - 1] == t[phi[at] - 1]
     direct = np.flatnonzero(~reducible & (phi >= 0))
     wide = most + n + 1  # unclipped shares stay exact below `most` plus the distance they are carried
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.int32)
     reach = np.zeros(len(direct), np.int64)
     alive = np.arange(len(direct))
     step = 8
@@ -175,5 +179,6 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
         alive = alive[(ends == step) & (reach[alive] < wide)]
         step = min(64, step * 2)
     shared[direct] = reach
-    source = np.maximum.accumulate(np.where(reducible, 0, np.arange(n)))
-    return np.minimum(np.maximum(shared[source] - (np.arange(n) - source), 0), most)
+    here = np.arange(n, dtype=np.int32)
+    source = np.maximum.accumulate(np.where(reducible, np.int32(0), here))
+    return np.minimum(np.maximum(shared[source] - (here - source), 0), most)

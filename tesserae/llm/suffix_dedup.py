@@ -34,7 +34,7 @@ from .suffix import _powers, permuted_lcp, suffix_array
 WINDOW, K = 200, 80
 #: Most bits of the broadcast bitmap (128 MB), and bits for each anchor in it.
 MAX_BITS, BITS_EACH = 1 << 30, 8
-SHARD_BYTES, MAX_GROUP = 1 << 20, 4096
+SHARD_BYTES, MAX_GROUP = 1 << 20, 2048
 #: Occurrences from which an entry is looked up by broadcast instead of meeting its rows in a join.
 HOT = 4096
 _PLACE = np.uint64((1 << 23) - 1)
@@ -166,15 +166,15 @@ def repeated_in_shard(gk: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.
     at = np.cumsum(size_u + 1) - size_u - 1
     total = int((size_u + 1).sum())
     t = np.zeros(total, np.uint16)
-    entry = np.repeat(np.arange(len(first)), size_u)
-    inside = np.arange(len(entry)) - np.repeat(np.cumsum(size_u) - size_u, size_u)
+    entry = np.repeat(np.arange(len(first), dtype=np.int32), size_u)
+    inside = np.arange(len(entry), dtype=np.int32) - np.repeat((np.cumsum(size_u) - size_u).astype(np.int32), size_u)
     t[at[entry] + inside] = data[ua[entry] + inside].astype(np.uint16) + 1
     sa = suffix_array(t)
     lcp = permuted_lcp(t, sa, window)
-    whole = np.full(total, -1, np.int64)  # the unique string in which a window starts here
+    whole = np.full(total, -1, np.int32)  # the unique string in which a window starts here
     starts = inside + window <= size_u[entry]
     whole[at[entry[starts]] + inside[starts]] = entry[starts]
-    cls = np.cumsum(lcp[sa] < window)
+    cls = np.cumsum(lcp[sa] < window, dtype=np.int32)
     ranked = np.flatnonzero(whole[sa] >= 0)
     places = sa[ranked]
     cls, of = cls[ranked], whole[places]

@@ -19,7 +19,7 @@ def test_array_and_shared_prefixes(b):
     t = np.frombuffer(b, np.uint8).astype(np.uint16) + 1
     sa = suffix_array(t)
     want = naive(b)
-    assert sa.tolist() == want
+    assert sa.tolist() == want == suffix_array(t, recurse=0).tolist() == suffix_array(t, recurse=1 << 20).tolist()
     lcp = permuted_lcp(t, sa, 50)
     for r, i in enumerate(want):
         n = 0
