@@ -1,15 +1,14 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, folds, byte-level tokens."""
+"""What the operators of this subpackage share: reading tables, folds, byte-level tokens."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import clean_up, materialize, shared_folder  # noqa: F401
+
 #: Words are runs of anything but these ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,28 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one of this machine only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-_written: list[str] = []
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once as a Parquet table in the shared folder and returns its scan: lineage ends there, and what
-    several consumers read is computed once. The table survives the loss of any executor, and stays until clean_up."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Most rows of a few numbers each that are broadcast to be joined.
 BROADCAST_ROWS = 1_000_000
 
@@ -50,15 +27,6 @@ def broadcast_if_small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def clean_up(spark: SparkSession) -> int:
-    """Deletes the tables that this process has materialized, once results that read them have been written; how many."""
-    n = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text mod 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
@@ -131,7 +99,7 @@ def hash_words(words: list[str]) -> np.ndarray:
     return np.concatenate([Tokens([w]).hash[:1] for w in words]) if words else np.zeros(0, np.uint64)
 
 
-def batches_by_bytes(texts: list, limit: int = 4 << 20):
+def batches_by_bytes(texts: list, limit: int = 2 << 20):
     """Ranges (from, to) of texts with about limit characters each; a longer text stands alone, whole."""
     at, held = 0, 0
     for i, t in enumerate(texts):
@@ -145,7 +113,7 @@ def batches_by_bytes(texts: list, limit: int = 4 << 20):
 
 
 def map_texts(df: DataFrame, make, schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow over df; make(batch) gets a RecordBatch with about 4 MB of texts (a longer text alone, whole) and
+    """mapInArrow over df; make(batch) gets a RecordBatch with about 2 MB of texts (a longer text alone, whole) and
     returns a dict of columns or an iterator of such dicts. make is called once per task with no argument to set up,
     and returns the function that is then applied."""
 

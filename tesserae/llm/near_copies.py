@@ -1,6 +1,9 @@
-"""Near copies by exact set similarity: texts whose sets of word 5-shingles have Jaccard similarity 0.8 or more.
+"""Near copies by SimHash and exact set similarity: texts whose sets of word 5-shingles have Jaccard similarity 0.8 or
+more.
 
-Two sets that similar share one of their first n - ceil(0.8 n) + 1 shingles in any order that is common to all sets
+Each set has a SimHash fingerprint; fingerprints within RADIUS bits are paired by tiles (tiles.py), and every pair is
+checked on the whole sets. Sets of that similarity can lie many more bits apart, too many for tiles to skip anything,
+so the pairs that SimHash cannot see are found in an exact way besides. Two sets that similar share one of their first n - ceil(0.8 n) + 1 shingles in any order that is common to all sets
 (prefix filtering), so pairs that share none are passed over without loss. The order only decides how many pairs are
 looked at: shingles that are frequent in a sample of documents come last. Equal sets are one node. Each prefix shingle
 first links its nodes to the smallest of them, so that a large group of near copies becomes one component with links
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import Tokens, map_texts, materialize, mix64
 from .components import connected_components
 from .decontaminate import gram_hashes
+from .tiles import RADIUS, majority, near_edges
 
 #: Words of a shingle; the least similarity as a fraction.
 SHINGLE, ABOVE, BELOW = 5, 4, 5
@@ -90,17 +94,17 @@ def frequent_shingles(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray
 
 
 def signed(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, node, n (size of the set), prefix."""
+    """docs (doc_id, text) -> doc_id, node, n (size of the set), fp (its SimHash), prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, sample))
 
     def make():
         def one(batch):
             hashes, first = shingle_sets(batch.column("text").to_pylist())
-            return {"doc_id": batch.column("doc_id"), "node": nodes_of(hashes, first), "n": np.diff(first), "prefix": _lists(*prefixes(hashes, first, *shared.value))}
+            return {"doc_id": batch.column("doc_id"), "node": nodes_of(hashes, first), "n": np.diff(first), "fp": majority(hashes.view(np.uint64), first).view(np.int64), "prefix": _lists(*prefixes(hashes, first, *shared.value))}
 
         return one
 
-    return map_texts(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, node bigint, n int, prefix array<bigint>")
+    return map_texts(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, node bigint, n int, fp bigint, prefix array<bigint>")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -126,6 +130,15 @@ def possible(pairs: DataFrame) -> DataFrame:
     return counted.filter((ABOVE + BELOW) * (F.col("c") + rest) >= ABOVE * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def simhash_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: nodes whose fingerprints are equal (each with the first of them) or linked by tiles."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    equal = nodes.join(first, "fp").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda k: first.select(F.col("fp").alias(f"fp_{k}"), F.col("first").alias(k))
+    linked = near_edges(first.select("fp"), radius).toDF("fp_a", "fp_b").join(side("a"), "fp_a").join(side("b"), "fp_b")
+    return equal.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar."""
     pairs = materialize(pairs, "near-pairs")
@@ -155,13 +168,13 @@ def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     repeated. Other columns are ignored; an empty table gives an empty result."""
     docs = documents.select("doc_id", "text").filter("doc_id is not null")
     sets = materialize(signed(docs, sample), "near-prefixes")
-    nodes = materialize(sets.groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("node", "m.*"), "near-nodes")
+    nodes = materialize(sets.groupBy("node").agg(F.min(F.struct("doc_id", "n", "fp", "prefix")).alias("m")).select("node", "m.*"), "near-nodes")
     held = nodes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
     shared = materialize(nodes.select("node", "n", F.explode("prefix").alias("gram")).join(held.select("gram"), "gram"), "near-shared")
 
     low = shared.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("low"))
     star = shared.join(low, "gram").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"))
-    links = similar(possible(star.filter("a < b")), nodes, docs)
+    links = similar(possible(star.filter("a < b")).unionByName(simhash_pairs(nodes)).distinct(), nodes, docs)
     known = connected_components(links, "near-components")
     now = materialize(shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
     kinds = now.select("gram", "component").distinct()

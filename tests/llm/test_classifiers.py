@@ -117,6 +117,46 @@ def test_scan_over_many_blocks():
     assert np.allclose(c.scan(a, b, cc, d, block=64), want)
 
 
+def test_chain_gradients_against_differences():
+    """Fitting raises the labels' likelihood, whose slope along the words' weights is labels minus marginals."""
+    rng = np.random.default_rng(8)
+    chain = c.Chain(np.arange(4, dtype=np.uint64))
+    chain.weight, chain.theta = rng.normal(0, 1, 5), rng.normal(0, 1, 5)
+    ids, opens, y = rng.integers(0, 5, 9), np.zeros(9, bool), rng.integers(0, 2, 9).astype(float)
+    opens[[0, 5]] = True
+
+    def likelihood():
+        bias, t01, t10, t11, start = chain.theta
+        trans, total = {(0, 0): 0, (0, 1): t01, (1, 0): t10, (1, 1): t11}, 0.0
+        for a, b in ((0, 5), (5, 9)):
+            score = lambda s: sum((chain.weight[ids[a + k]] + bias) * s[k] for k in range(b - a)) + start * s[0] + sum(trans[q_] for q_ in zip(s, s[1:], strict=False))  # noqa: B023, E731
+            every = [score([code >> k & 1 for k in range(b - a)]) for code in range(1 << (b - a))]
+            total += score(y[a:b].astype(int).tolist()) - np.log(np.exp(every).sum())
+        return total
+
+    slope = np.bincount(ids, y, 5) - np.bincount(ids, chain.marginals(ids, opens), 5)
+    for k in range(4):
+        value, found = chain.weight[k], []
+        for h in (1e-5, -1e-5):
+            chain.weight[k] = value + h
+            found.append(likelihood())
+        chain.weight[k] = value
+        assert abs((found[0] - found[1]) / 2e-5 - slope[k]) < 1e-4
+    before = likelihood()
+    chain.fit(ids, opens, y)
+    assert likelihood() > before
+
+
+def test_spans_of_very_long_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(["sun", "moon", "sea"], k=9) + (["Zédiot"] if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    text = "été moon Zédiot " * 60_000
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(999, text)], "doc_id long, text string")
+    r = c.score_toxicity(docs, labels).filter("doc_id = 999").first()
+    assert len(r.spans) == 60_000 and all(text[s.start : s.stop] == s.text == "Zédiot" for s in r.spans[::997])
+
+
 def test_spans_and_edge_rows(spark):
     rng = random.Random(9)
     vocab = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 6))) for _ in range(200)]

@@ -102,3 +102,38 @@ def test_edited_copies_that_keep_under_half_of_the_ngrams(spark):
     with_copy = df.unionByName(spark.createDataFrame([(3, " ".join(item))], "doc_id long, text string"))
     assert {r.doc_id for r in d.find_leaks(with_copy, bench).collect()} == {1, 3}
     assert [r.doc_id for r in d.remove_leaks(with_copy, bench).collect()] == [2]
+
+
+def test_copies_with_a_tenth_to_a_third_of_the_words_changed(spark):
+    """Every pair of similarity 0.5 or more that shares an n-gram is found, and the others are those without one."""
+    rng, vocab = vocabulary(13, 3000)
+    items = [(k, rng.sample(vocab, rng.randint(20, 70))) for k in range(30)]
+    docs = []
+    for k, item in items:
+        for share in (0.10, 0.15, 0.20, 0.25, 0.30, 0.35):
+            copy = [rng.choice(vocab) if rng.random() < share else w for w in item]
+            copy = [w for w in copy if rng.random() > 0.02]
+            docs.append((len(docs), " ".join(rng.choices(vocab, k=15) + copy + rng.choices(vocab, k=15))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in d.find_leaks(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id int, text string")).collect()}
+    grams = lambda w: {tuple(w[i : i + d.N]) for i in range(len(w) - d.N + 1)}
+    want, blind = {}, 0
+    for i, t in docs:
+        b = words(t)
+        k = i // 6
+        score = align(items[k][1], b)
+        if score >= d.MIN_SIMILARITY * 2 * len(items[k][1]):
+            if grams(items[k][1]) & grams(b):
+                want[i, k] = score
+            else:
+                blind += 1
+    assert len(want) > 100 and blind == 0 and {k: v for k, v in got.items() if k in want} == want
+    assert {i for i, _ in got} >= set(range(0, len(docs), 6))
+
+
+def test_very_long_texts(spark):
+    rng, vocab = vocabulary(17, 2000)
+    item = rng.sample(vocab, 25)
+    long = rng.choices(vocab, k=150_000) + item + rng.choices(vocab, k=50_000)
+    got = d.find_leaks(spark.createDataFrame([(1, " ".join(long))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")).collect()
+    assert [(r.start_word, r.end_word, r.similarity) for r in got] == [(150_000, 150_025, 1.0)]

@@ -77,6 +77,11 @@ def test_other_kinds_of_ids_and_wide_gaps(spark):
     assert sum(r.taken for r in m.mix(none, 8).collect()) == 2250
 
 
+def test_very_long_texts(spark):
+    rows = [(1, "a", "w " * 300_000), (2, "b", "x"), (3, "a", None)]
+    check(rows, m.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect())
+
+
 def test_permutations_are_permutations(spark):
     for n in (1, 2, 7, 100):
         keys = m.round_keys(F.lit(3), F.lit(1), F.lit(n))
