@@ -8,10 +8,13 @@ repeat around an anchor is its context, the bytes of all windows that it is in.
 equal as a whole are one entry with a multiplicity, and repeat as a whole if it exceeds one. The other entries go, with
 their counterparts, to shards by anchor. A shard trims each entry to what any other shares with it on either side,
 concatenates them and builds their suffix array by induced sorting with permuted common prefixes (suffix.py); a window
-is repeated if its class of equal prefixes holds two different places. Groups of more than MAX_GROUP entries are split
-first: a window that holds the key and `need` more bytes reaches half of them to the left or to the right, so the key
-is lengthened on either side, until the groups are small or the key is the window itself. So no group is collected
-whole, and none is cut.
+is repeated if its class of equal prefixes holds two different places.
+
+Groups of more than MAX_GROUP entries are taken apart first: all entries are compared with one of the group, and what
+an entry shares with it on both sides of the key is repeated in both. Windows that reach beyond that on the left, and
+the other ones that reach beyond it on the right, can only be shared with entries that leave the first one at the same
+place with the same byte, so each entry goes on (once or twice, with its windows dealt out) to the groups of its longer
+keys, until these are small. So no group is collected whole, and none is cut.
 
 Texts are hashed once: the anchors are written as a table, and the contexts that need sorting are cut out of the texts
 by their places. Anchors that occur once are dropped by a broadcast bitmap that is sized by the number of the others
@@ -37,6 +40,8 @@ MAX_BITS, BITS_EACH = 1 << 30, 8
 SHARD_BYTES, MAX_GROUP = 1 << 20, 2048
 #: Occurrences from which an entry is looked up by broadcast instead of meeting its rows in a join.
 HOT = 4096
+#: Most large groups whose first entries are broadcast.
+FEW_GROUPS = 10_000
 _PLACE = np.uint64((1 << 23) - 1)
 _VALUES = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -198,24 +203,63 @@ def repeated_in_shard(gk: np.ndarray, n: np.ndarray, key: np.ndarray, place: np.
     return good[member], origin + lows[span], origin + highs[span]
 
 
-def _split(level: DataFrame, window: int, k: int, max_group: int) -> tuple[list[DataFrame], DataFrame]:
-    """(tables of entries in groups of 2 to max_group, entries whose key of a whole window occurs twice), by
-    lengthening keys. Every level is written once, with the sizes of its groups."""
-    reach, small = k, []
+_ENTRY = "gk bigint, n bigint, key bigint, key2 bigint, place bigint, low int, high int, context_bytes binary"
+
+
+def shared_sides(context: bytes, low: int, high: int, other: bytes, other_low: int, other_high: int) -> tuple[int, int]:
+    """How many bytes before `low` and from `high` on two contexts share around their keys."""
+    out = []
+    for a, b, order in ((context[:low], other[:other_low], "big"), (context[high:], other[other_high:], "little")):
+        m = min(len(a), len(b))
+        a, b = (a[len(a) - m :], b[len(b) - m :]) if order == "big" else (a[:m], b[:m])
+        x = int.from_bytes(a, order) ^ int.from_bytes(b, order)
+        out.append(((x & -x).bit_length() - 1) // 8 if x else m)
+    return out[0], out[1]
+
+
+def _peel(big: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Entries in large groups -> (stretches shared with the first entry of the group, entries with longer keys)."""
+    entry = F.struct("key", "key2", "place", "low", "high", "n", "context_bytes")
+    first = materialize(big.groupBy("gk").agg(F.min_by(entry, F.xxhash64("key", "key2", F.col("place") + F.col("low"))).alias("first")), "suffix-first")
+    told = first.count() <= FEW_GROUPS
+
+    def compare(batches):
+        for batch in batches:
+            rows = batch.select(["context_bytes", "low", "high", "first"]).to_pylist()
+            sides = [shared_sides(r["context_bytes"], r["low"], r["high"], r["first"]["context_bytes"], r["first"]["low"], r["first"]["high"]) for r in rows]
+            bare = batch.column("first")
+            more = {"f_key": bare.field("key"), "f_key2": bare.field("key2"), "f_place": bare.field("place"), "f_low": bare.field("low"), "f_high": bare.field("high"), "f_n": bare.field("n")}
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            del columns["first"]
+            more |= {"left": pa.array([a for a, _ in sides], pa.int32()), "right": pa.array([b for _, b in sides], pa.int32())}
+            yield pa.RecordBatch.from_pydict(columns | more)
+
+    names = [f.split()[0] for f in _ENTRY.split(", ")]
+    joined = big.select(*names).join(F.broadcast(first) if told else first, "gk")
+    seen = materialize(joined.mapInArrow(compare, _ENTRY + ", f_key bigint, f_key2 bigint, f_place bigint, f_low int, f_high int, f_n bigint, left int, right int"), "suffix-peeled")
+    others = seen.filter("NOT (key = f_key AND key2 = f_key2 AND place + low = f_place + f_low)")
+    wide = others.filter(F.col("high") - F.col("low") + F.col("left") + F.col("right") >= window)
+    shared = wide.filter("n = 1").selectExpr("key", "key2", "place + low - left AS low", "place + high + right AS high")
+    shared = shared.unionByName(wide.filter("f_n = 1").selectExpr("f_key AS key", "f_key2 AS key2", "f_place + f_low - left AS low", "f_place + f_high + right AS high").distinct())
+    beyond = others.filter("left < low").selectExpr("xxhash64(gk, 0, substring(context_bytes, low - left, left + 1)) AS gk", "n", "key", "key2", "place", "low - left - 1 AS low", "high", "context_bytes")
+    within = others.filter(f"high + right < octet_length(context_bytes) AND octet_length(context_bytes) - low + left >= {window}")
+    within = within.selectExpr("xxhash64(gk, 1, substring(context_bytes, high + 1, right + 1)) AS gk", "n", "key", "key2", "place + low - left AS place", "left AS low", "high + right + 1 - low + left AS high", "substring(context_bytes, low - left + 1) AS context_bytes")
+    return shared, beyond.unionByName(within)
+
+
+def _take_apart(level: DataFrame, window: int, max_group: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(tables of entries in groups of 2 to max_group, tables of shared stretches). Every level is written once, with
+    the sizes of its groups."""
+    small, spans = [], []
     while True:
         sizes = level.groupBy("gk").agg(F.count("*").alias("members")).filter("members > 1")
         level = materialize(level.join(sizes, "gk"), "suffix-level")
         small.append(level.filter(F.col("members") <= max_group).drop("members"))
-        big = level.filter(F.col("members") > max_group).drop("members")
-        if big.isEmpty() or reach == window:
-            return small, big
-        h = -(-(window - reach) // 2)
-        side = lambda low, high, way: F.struct(F.lit(way).alias("way"), low.alias("low"), high.alias("high"))
-        wider = big.withColumn("to", F.explode(F.array(side(F.col("low") - h, F.col("high"), 0), side(F.col("low"), F.col("high") + h, 1))))  # noqa: B023
-        wider = wider.filter("to.low >= 0 AND to.high <= octet_length(context_bytes)")
-        key = F.xxhash64("gk", "to.way", F.substring("context_bytes", F.col("to.low") + 1, F.col("to.high") - F.col("to.low")))
-        level = wider.select(key.alias("gk"), "n", "key", "key2", "place", F.col("to.low").alias("low"), F.col("to.high").alias("high"), "context_bytes")
-        reach += h
+        big = level.filter(F.col("members") > max_group)
+        if big.isEmpty():
+            return small, spans
+        shared, level = _peel(big, window)
+        spans.append(shared)
 
 
 def _repeated_anchors(anchors_: DataFrame, max_bits: int) -> DataFrame:
@@ -274,9 +318,9 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, max_bits:
         return one
 
     named = texts.select("key", "key2", "text").join(broadcast_if_small(wanted.select("key", "key2"), n_texts), ["key", "key2"], "left_semi")
-    contexts = map_texts(named.join(wanted, ["key", "key2"]), cut, "gk bigint, n bigint, big boolean, key bigint, key2 bigint, place bigint, low int, high int, context_bytes binary")
+    contexts = map_texts(named.join(wanted, ["key", "key2"]), cut, _ENTRY + ", big boolean")
     contexts = materialize(contexts, "suffix-contexts")
-    small, same = _split(contexts.filter("big").drop("big"), window, k, max_group)
+    small, shared = _take_apart(contexts.filter("big").drop("big"), window, max_group)
     shards = max(1, -(-int(total or 0) // shard_bytes))
     parts = contexts.filter("NOT big").drop("big")
     for part in small:
@@ -290,14 +334,15 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, max_bits:
         return pa.table([shard.column("key").take(which), shard.column("key2").take(which), pa.array(low), pa.array(high)], ["key", "key2", "low", "high"])
 
     sorted_ = parts.groupBy("shard").applyInArrow(sort_shard, "key bigint, key2 bigint, low bigint, high bigint")
-    exact = same.filter("n = 1").select("key", "key2", (F.col("place") + F.col("low")).alias("low"), (F.col("place") + F.col("high")).alias("high"))
     spans = lambda df: df.filter(F.col("size") >= window).select("key", "key2", F.col("place").cast("bigint").alias("low"), (F.col("place") + F.col("size")).cast("bigint").alias("high"))
     single = rows.filter("NOT twin")
     often = entries.filter(F.col("n") > hot).select("anchor", "context")
     often = broadcast_if_small(often, often.count())
     some = entries.filter((F.col("n") > 1) & (F.col("n") <= hot)).select("anchor", "context")
     few = single.join(often, ["anchor", "context"], "left_anti").join(some, ["anchor", "context"], "left_semi")
-    return sorted_.unionByName(exact).unionByName(spans(single.join(often, ["anchor", "context"], "left_semi"))).unionByName(spans(few))
+    for part in shared:
+        sorted_ = sorted_.unionByName(part)
+    return sorted_.unionByName(spans(single.join(often, ["anchor", "context"], "left_semi"))).unionByName(spans(few))
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

@@ -56,6 +56,24 @@ def test_large_groups_are_split_and_hot_entries_looked_up(spark, planted):
     check(spark, planted, max_group=2, max_bits=1 << 20, shard_bytes=2000, hot=1)
 
 
+def test_shared_sides():
+    assert s.shared_sides(b"abKEYcd", 2, 5, b"xbKEYcz", 2, 5) == (1, 1)
+    assert s.shared_sides(b"abKEYcd", 2, 5, b"KEYcd", 0, 3) == (0, 2) and s.shared_sides(b"\0\0K", 2, 3, b"\0\0\0K", 3, 4) == (2, 0)
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(21)
+    base = prose(rng, 140)
+    texts = [prose(rng, 30)]
+    for k in range(60):
+        copy = list(base)
+        for _ in range(k % 4):
+            copy[int(rng.integers(0, len(copy)))] = "XYZ"[int(rng.integers(0, 3))]
+        texts.append(("" if k % 3 else prose(rng, 3)) + "".join(copy)[: len(copy) - (k % 5) * 37])
+    check(spark, texts, max_group=3, shard_bytes=4000, hot=5)
+    check(spark, ["a" * 700, "a" * 650 + "b", "b" + "a" * 650, "ab" * 300, *texts[:12]], max_group=2)
+
+
 def test_joins_in_place_of_broadcasts(spark, planted, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     check(spark, planted, max_bits=0, hot=1)
