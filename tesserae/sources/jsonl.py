@@ -42,7 +42,8 @@ def checked(rows: DataFrame, rules: dict[str, Column], unique: str | None = None
     found = rows.agg(*[c.alias(n) for n, c in wrong.items()]).first()
     for name in wrong:
         if found[name]:
-            raise SourceError(f"{found[name]} rows break the rule: {name}")
+            broken = F.col("_corrupt").isNotNull() if name == "valid JSON" else ~F.coalesce(rules[name], F.lit(False))
+            raise SourceError(f"{found[name]} rows break the rule: {name}; one of them is {rows.filter(broken).first()}")
     if unique:
         twice = rows.groupBy(unique).agg(F.count("*").alias("n")).filter("n > 1").first()
         if twice:
