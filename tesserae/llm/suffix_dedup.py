@@ -16,7 +16,7 @@ the other ones that reach beyond it on the right, can only be shared with entrie
 place with the same byte, so each entry goes on (once or twice, with its windows dealt out) to the groups of its longer
 keys, until these are small. So no group is collected whole, and none is cut.
 
-Texts are hashed once: the anchors are written as a table, and the contexts that need sorting are cut out of the texts
+Texts are marked and hashed once: the anchors are written as a table, and the contexts that need sorting are cut out of the texts
 by their places. Anchors that occur once are dropped by a broadcast bitmap that is sized by the number of the others
 (its false positives only cost time), and by a join where that bitmap would exceed MAX_BITS. Texts are known by two
 hashes and their length, 64 and 60 bits.
@@ -38,8 +38,6 @@ WINDOW, K = 200, 80
 #: Most bits of the broadcast bitmap (128 MB), and bits for each anchor in it.
 MAX_BITS, BITS_EACH = 1 << 30, 8
 SHARD_BYTES, MAX_GROUP = 1 << 20, 2048
-#: Occurrences from which an entry is looked up by broadcast instead of meeting its rows in a join.
-HOT = 4096
 #: Most large groups whose first entries are broadcast.
 FEW_GROUPS = 10_000
 _PLACE = np.uint64((1 << 23) - 1)
@@ -277,7 +275,7 @@ def _repeated_anchors(anchors_: DataFrame, max_bits: int) -> DataFrame:
     return anchors_.mapInArrow(keep, anchors_.schema)
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """texts (key, key2: hashes of the text, twin: whether it occurs twice, text; one row for each text) -> key, key2,
     low, high: stretches of bytes covered by repeated windows, of texts that are no twins; they may overlap."""
 
@@ -292,8 +290,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, max_bits:
 
     found = materialize(map_texts(texts.select("key", "key2", "twin", "text"), make, "anchor bigint, context bigint, key bigint, key2 bigint, twin boolean, place int, left int, size int"), "suffix-anchors")
     rows = _repeated_anchors(found, max_bits)
-    first = F.min(F.struct("key", "key2", "place", "left", "size")).alias("rep")
-    entries = materialize(rows.groupBy("anchor", "context").agg(F.sum(1 + F.col("twin").cast("int")).alias("n"), first).select("anchor", "context", "n", "rep.*"), "suffix-entries")
+    first = [F.first(c).alias(c) for c in ("key", "key2", "place", "left", "size")]  # of one row, as all see the same rows
+    entries = materialize(rows.groupBy("anchor", "context").agg(F.sum(1 + F.col("twin").cast("int")).alias("n"), *first), "suffix-entries")
     groups = entries.groupBy("anchor").agg(F.count("*").alias("members"), F.count_if(F.col("n") == 1).alias("single")).filter("members > 1 AND single > 0").select("anchor", (F.col("members") > max_group).alias("big"))
     wanted = entries.join(groups, "anchor").groupBy("key", "key2").agg(F.collect_list(F.struct("anchor", "n", "big", "place", "left", "size")).alias("entries"))
     wanted = materialize(wanted, "suffix-wanted")
@@ -302,10 +300,9 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, max_bits:
     def cut():
         def one(batch):
             lists = batch.column("entries")
-            at = {c: lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "n", "big", "place", "left", "size")}
-            bounds = lists.offsets.to_numpy()
-            at = {c: v[bounds[0] : bounds[-1]] for c, v in at.items()}
-            of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            flat = lists.flatten()  # of this batch alone, which may be a part of the one that came
+            at = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "n", "big", "place", "left", "size")}
+            of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             stops = (at["place"] + at["size"]).tolist()
             low = at["left"]
@@ -335,14 +332,11 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = K, max_bits:
 
     sorted_ = parts.groupBy("shard").applyInArrow(sort_shard, "key bigint, key2 bigint, low bigint, high bigint")
     spans = lambda df: df.filter(F.col("size") >= window).select("key", "key2", F.col("place").cast("bigint").alias("low"), (F.col("place") + F.col("size")).cast("bigint").alias("high"))
-    single = rows.filter("NOT twin")
-    often = entries.filter(F.col("n") > hot).select("anchor", "context")
-    often = broadcast_if_small(often, often.count())
-    some = entries.filter((F.col("n") > 1) & (F.col("n") <= hot)).select("anchor", "context")
-    few = single.join(often, ["anchor", "context"], "left_anti").join(some, ["anchor", "context"], "left_semi")
+    some = entries.filter("n > 1").select("anchor", "context")
+    many = rows.filter("NOT twin").join(some, ["anchor", "context"], "left_semi")
     for part in shared:
         sorted_ = sorted_.unionByName(part)
-    return sorted_.unionByName(spans(single.join(often, ["anchor", "context"], "left_semi"))).unionByName(spans(few))
+    return sorted_.unionByName(spans(many))
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -378,6 +372,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, k: int = K, **opt
     twins = keyed.filter(F.octet_length("text") >= window).groupBy("key", "key2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
     twins = materialize(twins.select("key", "key2", "first", F.lit(True).alias("twin")), "suffix-twins")
     marked = keyed.join(broadcast_if_small(twins, twins.count()), ["key", "key2"], "left").withColumn("twin", F.col("twin").isNotNull())
+    marked = materialize(marked, "suffix-texts")  # hashed and looked up once; what follows reads it four times
     one_each = marked.filter((F.octet_length("text") >= window) & (~F.col("twin") | F.col("doc_id").eqNullSafe(F.col("first"))))
 
     spans = repeated_spans(one_each, window, k, **options).groupBy("key", "key2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))

@@ -52,8 +52,8 @@ def test_planted_repeats(spark, planted):
     check(spark, planted)
 
 
-def test_large_groups_are_split_and_hot_entries_looked_up(spark, planted):
-    check(spark, planted, max_group=2, max_bits=1 << 20, shard_bytes=2000, hot=1)
+def test_large_groups_are_split(spark, planted):
+    check(spark, planted, max_group=2, max_bits=1 << 20, shard_bytes=2000)
 
 
 def test_shared_sides():
@@ -70,13 +70,13 @@ def test_a_large_group_of_near_copies(spark):
         for _ in range(k % 4):
             copy[int(rng.integers(0, len(copy)))] = "XYZ"[int(rng.integers(0, 3))]
         texts.append(("" if k % 3 else prose(rng, 3)) + "".join(copy)[: len(copy) - (k % 5) * 37])
-    check(spark, texts, max_group=3, shard_bytes=4000, hot=5)
+    check(spark, texts, max_group=3, shard_bytes=4000)
     check(spark, ["a" * 700, "a" * 650 + "b", "b" + "a" * 650, "ab" * 300, *texts[:12]], max_group=2)
 
 
 def test_joins_in_place_of_broadcasts(spark, planted, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
-    check(spark, planted, max_bits=0, hot=1)
+    check(spark, planted, max_bits=0)
 
 
 def test_nulls_ties_and_other_kinds_of_ids(spark, planted):
