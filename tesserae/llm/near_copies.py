@@ -7,7 +7,8 @@ so the pairs that SimHash cannot see are found in an exact way besides. Two sets
 (prefix filtering), so pairs that share none are passed over without loss. The order only decides how many pairs are
 looked at: shingles that are frequent in a sample of documents come last. Equal sets are one node. Each prefix shingle
 first links its nodes to the smallest of them, so that a large group of near copies becomes one component with links
-in proportion to its members; then all pairs of nodes of different components that share a prefix shingle are taken.
+in proportion to its members; then all pairs of nodes of different components that share a prefix shingle, and whose
+sizes are near enough, are taken.
 Pairs that share too few of them for the similarity are passed over (possible); every other is checked on the whole
 sets. Components come from star rounds (components.py).
 """
@@ -15,6 +16,7 @@ sets. Components come from star rounds (components.py).
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ from .components import connected_components
 from .decontaminate import gram_hashes
 from .tiles import RADIUS, majority, near_edges
 
-#: Words of a shingle; the least similarity as a fraction.
-SHINGLE, ABOVE, BELOW = 5, 4, 5
+#: Words of a shingle; the least similarity as a fraction; steps of the sets' sizes between two that are as far apart as
+#: similar ones can be.
+SHINGLE, ABOVE, BELOW, STEPS = 5, 4, 5, 4
 #: Documents whose shingles are counted for the order, and shingles that are kept as frequent. Neither bears on results.
 SAMPLE, FREQUENT = 10_000, 200_000
 
@@ -177,9 +180,12 @@ def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     links = similar(possible(star.filter("a < b")).unionByName(simhash_pairs(nodes)).distinct(), nodes, docs)
     known = connected_components(links, "near-components")
     now = materialize(shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
-    kinds = now.select("gram", "component").distinct()
-    apart = kinds.withColumnRenamed("component", "of_a").join(kinds.withColumnRenamed("component", "of_b"), "gram").filter("of_a < of_b")
-    side = lambda k: now.select("gram", F.col("component").alias(f"of_{k}"), F.col("node").alias(k), F.col("n").alias(f"n{k}"))
-    pairs = apart.join(side("a"), ["gram", "of_a"]).join(side("b"), ["gram", "of_b"])
+    kinds = now.select("gram", "component", "n", F.floor(F.log("n") * (STEPS / math.log(BELOW / ABOVE))).alias("size")).distinct()
+    near = kinds.withColumn("size", F.explode(F.transform(F.sequence(F.lit(-STEPS - 1), F.lit(STEPS + 1)), lambda d: F.col("size") + d)))
+    kind = lambda df, k: df.select("gram", "size", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"))
+    fits = (F.col("of_a") < F.col("of_b")) & (BELOW * F.least("na", "nb") >= ABOVE * F.greatest("na", "nb"))
+    apart = kind(kinds, "a").join(kind(near, "b"), ["gram", "size"]).filter(fits)
+    side = lambda k: now.select("gram", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("node").alias(k))
+    pairs = apart.join(side("a"), ["gram", "of_a", "na"]).join(side("b"), ["gram", "of_b", "nb"])
     found = connected_components(links.unionByName(similar(possible(pairs), nodes, docs)), "near-components")
     return sets.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))

@@ -149,12 +149,17 @@ def test_chain_gradients_against_differences():
 
 def test_spans_of_very_long_texts(spark):
     rng = random.Random(12)
-    rows = [(i, " ".join(rng.choices(["sun", "moon", "sea"], k=9) + (["Zédiot"] if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(300)]
+    rows = []
+    for i in range(300):
+        w = rng.choices(["sun", "moon", "sea", "été"], k=12)
+        if i % 3 == 0:
+            w[2:2], w[8:8] = ["Zédiot"], ["Zédiot"]
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    text = "été moon Zédiot " * 60_000
+    text = "été moon sea Zédiot sun " * 40_000
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(999, text)], "doc_id long, text string")
     r = c.score_toxicity(docs, labels).filter("doc_id = 999").first()
-    assert len(r.spans) == 60_000 and all(text[s.start : s.stop] == s.text == "Zédiot" for s in r.spans[::997])
+    assert len(r.spans) == 40_000 and all(text[s.start : s.stop] == s.text == "Zédiot" for s in r.spans[::997])
 
 
 def test_spans_and_edge_rows(spark):
