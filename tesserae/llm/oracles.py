@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import importance, mixing, sharding
 
 _MD5 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
@@ -77,3 +77,27 @@ mixed AS (SELECT d.doc_id, d.source, d.size, coalesce(w.source_size, 0) AS sourc
 
 OP1 = f"WITH RECURSIVE {shard_ctes()}\nSELECT d.doc_id, f.slot, f.shard FROM documents d JOIN filled f ON f.slot = {slot_sql('d.doc_id')}"
 OP8 = f"WITH {mix_ctes('documents')}\nSELECT doc_id, size, source_size, target, taken, first_shard FROM mixed"
+
+
+def op11_sql(b: int = importance.BUCKETS, seed: int = importance.SEED, percent: int = importance.PERCENT, least: int = importance.LEAST_WORDS) -> str:
+    """Single words only. The checksum is taken bit by bit, once for each different word."""
+    words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    bits = "flatten(list_transform(range(octet_length(encode(w))), lambda i: list_transform(range(8), lambda k: (('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT >> k) & 1)))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({words.format('text')}, []) AS words FROM documents),
+q AS (SELECT unnest(coalesce({words.format('text')}, [])) AS w FROM benchmark),
+e AS (SELECT r, unnest(words) AS w FROM d),
+v AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1))), 4294967295) % {b} AS bucket
+      FROM (SELECT w FROM e UNION SELECT w FROM q)),
+s AS (SELECT bucket, count(*) AS n FROM e JOIN v USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM q JOIN v USING (w) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + {b})::DOUBLE
+                                 / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + {b})::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM e JOIN v USING (w) JOIN g USING (bucket) GROUP BY r),
+x AS (SELECT d.r, doc_id, len(words) AS n_words, coalesce(w.n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_words) AS rank, count(*) OVER () AS n FROM x WHERE n_words >= {least})
+SELECT doc_id, n_words::BIGINT AS n_words, n_features, weight, score::BIGINT AS score, CASE WHEN rank <= {percent} * n // 100 THEN rank END AS rank FROM x LEFT JOIN k USING (r)"""
+
+
+OP11 = op11_sql()
