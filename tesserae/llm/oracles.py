@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, mixing, sharding
+from . import chat, importance, mixing, sharding
 
 _MD5 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
@@ -119,3 +119,34 @@ r AS (SELECT part, filter_order, step::INT AS step, bit,
              sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
       FROM c, s GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r"""
+
+
+def op12_sql(budget: int = chat.BUDGET, history: int = chat.HISTORY) -> str:
+    """Windows by lists of prefix sums, for conversations that are one segment."""
+    escaped = r"regexp_replace({}, '([<\[])(\\*)(/?(?:s>|(?:INST|SYS|ROLE|TEXT)\]))', '\1\\\2\3', 'g')"
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 AS size,
+             length({escaped.format("text")}) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 WHEN 'system' THEN 11 ELSE 19 + length({escaped.format("role")}) END AS chars FROM t),
+q AS (SELECT *, pos = 1 AND role = 'system' AS head FROM p),
+c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+             coalesce(sum(size) FILTER (head), 0)::BIGINT AS used, coalesce(sum(chars) FILTER (head), 0)::BIGINT + 3 AS fixed,
+             coalesce(list(size ORDER BY pos) FILTER (NOT head), []) AS sizes, coalesce(list(chars ORDER BY pos) FILTER (NOT head), []) AS wide FROM q GROUP BY conv_id),
+s AS (SELECT conv_id, fixed, sizes, len(sizes) AS n, CASE WHEN used > 0 THEN greatest({budget} - used, {budget // chat.LEAST_ROOM}) ELSE {budget} END AS room,
+             list_transform(range(len(sizes) + 1), lambda i: list_sum([0] || sizes[:i])::BIGINT) AS ends, list_transform(range(len(sizes) + 1), lambda i: list_sum([0] || wide[:i])::BIGINT) AS chars FROM c),
+w(conv_id, lead, last) AS (
+  SELECT conv_id, 0::BIGINT, CASE WHEN n = 0 THEN 0 ELSE greatest(1, len(list_filter(ends[2:], lambda x: x <= room))) END::BIGINT FROM s
+  UNION ALL
+  SELECT conv_id, lead, greatest(last + 1, len(list_filter(ends[2:], lambda x: x <= ends[lead + 1] + room)))::BIGINT
+  FROM (SELECT w.conv_id, w.last, s.ends, s.room,
+               CASE WHEN s.sizes[w.last + 1] > s.room THEN w.last
+                    ELSE len(list_filter(s.ends, lambda x: x < s.ends[w.last + 1] - least({history}, s.room - s.sizes[w.last + 1]))) END::BIGINT AS lead
+        FROM w JOIN s USING (conv_id) WHERE w.last < s.n) x),
+f AS (SELECT conv_id, sum(fixed + chars[last + 1] - chars[lead + 1])::BIGINT AS formatted_chars, count(*) AS n_windows FROM w JOIN s USING (conv_id) GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows FROM c JOIN f USING (conv_id)"""
+
+
+OP12 = op12_sql()

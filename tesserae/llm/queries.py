@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, importance, language_model, media_tiff, mixing, oracles, quality_cnn, sharding, simhash, suffix_dedup, token_counts, toxicity_crf
+from . import chat, decontaminate, filter_audit, importance, language_model, media_tiff, mixing, oracles, quality_cnn, sharding, simhash, suffix_dedup, token_counts, toxicity_crf
 from .common import table
 
 
@@ -54,9 +54,18 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The contract's conversation whose texts are control strings.
+_CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.formatted_digests(given.unionByName(spark.createDataFrame(_CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_cnn, op3_language_model, op4_simhash, op5_token_counts, op6_media_tiff, op7_toxicity_crf, op8_mixing, op9_suffix_dedup, op10_decontaminate, op11_importance, op13_filter_audit)}
-ORACLES = {"op1_sharding": oracles.OP1, "op8_mixing": oracles.OP8, "op11_importance": oracles.OP11, "op13_filter_audit": oracles.OP13}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_cnn, op3_language_model, op4_simhash, op5_token_counts, op6_media_tiff, op7_toxicity_crf, op8_mixing, op9_suffix_dedup, op10_decontaminate, op11_importance, op12_chat_format, op13_filter_audit)}
+ORACLES = {"op1_sharding": oracles.OP1, "op8_mixing": oracles.OP8, "op11_importance": oracles.OP11, "op12_chat_format": oracles.OP12, "op13_filter_audit": oracles.OP13}
