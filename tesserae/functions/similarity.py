@@ -48,8 +48,3 @@ def _lcs(a: str, b: str) -> int:
 def fast_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same as ratio, in Arrow batches: for more than a few pairs."""
     return pd.Series([None if x is None or y is None else 200.0 * _lcs(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def may_reach(a: Column, b: Column, threshold: float) -> Column:
-    """Whether the lengths alone allow a ratio of threshold; cheap, to be applied first."""
-    return 200.0 * F.least(F.length(a), F.length(b)) >= threshold * (F.length(a) + F.length(b))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import similarity
 from ..functions import text as T
 from . import ranking
+from .fuzzy import fuzzy_join
 
 # Fixed values of the behaviour that is reproduced.
 ROLE_PRIORITY = {
@@ -48,15 +48,9 @@ def exact(queries: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def fuzzy(queries: DataFrame, found: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """The candidates whose name has a ratio of threshold or more with the query.
-
-    The ratio bounds the lengths, so every query is sent to the lengths that it may reach, and pairs meet by length."""
-    reach = threshold / (200.0 - threshold)  # the shorter over the longer, at least
-    asked = queries.select("query_id", "text", F.length("text").alias("n"))
-    asked = asked.withColumn("length", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil(F.col("n") * reach)).cast("int"), F.floor(F.col("n") / reach).cast("int"))))
-    names = found.withColumn("length", F.length("fqn"))
-    pairs = asked.join(names, "length").filter(similarity.may_reach(F.col("text"), F.col("fqn"), threshold))
-    scored = pairs.withColumn("score", F.round(similarity.fast_ratio("text", "fqn"), 6)).filter(F.col("score") >= threshold)
+    """The candidates whose name has a ratio of threshold or more with the query: those of fuzzy_join's pairs."""
+    pairs = fuzzy_join(queries.select("text").distinct(), found.select(F.col("fqn").alias("name")).distinct(), threshold)
+    scored = queries.select("query_id", "text").join(pairs, "text").join(found, F.col("name") == found["fqn"])
     w = W.partitionBy("query_id").orderBy(F.desc("score"), role_priority(F.col("role")), F.coalesce("parent_module", F.lit("")), "fqn", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).select("query_id", "chunk_id", "fqn", "role", "parent_module", "score", "rank")
 
