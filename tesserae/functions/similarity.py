@@ -44,7 +44,12 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def lcs_ratio(a: str, b: str) -> float:
+    """The same as ratio, for two strings at hand."""
+    return 200.0 * _lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
 @F.pandas_udf(DoubleType())
 def fast_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same as ratio, in Arrow batches: for more than a few pairs."""
-    return pd.Series([None if x is None or y is None else 200.0 * _lcs(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series([None if x is None or y is None else lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)

@@ -3,8 +3,8 @@
 Names lie in an inverted index of positional q-grams. A ratio bounds how many characters a pair may lose on either side,
 and a lost character breaks few q-grams, so a pair shares a known number of them, in the same order and moved by few
 places only. Of all q-grams of a string as many as may be lost, and one more, are enough to hold a shared one: the
-rarest are taken on both sides. Pairs that meet under a gram and a near place are counted in full (shared q-grams of
-both, repeats included) and only then compared.
+rarest are taken on both sides. Pairs that meet under a gram and a near place are compared: bit-parallel comparison
+costs no more than counting all grams they share would.
 
 Let s be the sum of both lengths and L the least common subsequence that the threshold asks for. A character that is
 left out breaks q grams, one that is put in q - 1, so (2q - 1) L - (q - 1) s - q + 1 grams are shared. Pairs for which
@@ -17,6 +17,7 @@ import math
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,34 +79,15 @@ def _grams(text: Column, q: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
 
 
-def _numbered(grams: list[str]) -> list[str]:
-    """grams with how often each stood before."""
-    seen: dict[str, int] = {}
-    out = []
-    for g in grams:
-        seen[g] = seen.get(g, -1) + 1
-        out.append(f"{g}{seen[g]}")
-    return out
-
-
 def _signatures(texts: DataFrame, column: str, bounds: Bounds, frequent: dict[str, int], spread: bool) -> DataFrame:
-    """column, pairs (two-character grams, numbered), gram, place and the place's key: with spread all keys that the gram
-    may have moved to."""
+    """column, gram, place and the place's key: with spread all keys that the gram may have moved to."""
 
-    @F.pandas_udf("struct<grams: array<struct<gram: string, place: int, key: int>>, pairs: array<string>>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        grams, pairs = [], []
-        for t in batch:
-            rows = []
-            for g, i, back, forward in taken(t, bounds, frequent):
-                for key in range((i - back) // PLACES, (i + forward) // PLACES + 1) if spread else (i // PLACES,):
-                    rows.append({"gram": g, "place": i, "key": key})
-            grams.append(rows)
-            pairs.append(_numbered([t[i : i + 2] for i in range(len(t) - 1)]))
-        return pd.DataFrame({"grams": grams, "pairs": pairs})
+    @F.pandas_udf("array<struct<gram: string, place: int, key: int>>")
+    def run(batch: pd.Series) -> pd.Series:
+        keys = lambda i, back, forward: range((i - back) // PLACES, (i + forward) // PLACES + 1) if spread else (i // PLACES,)
+        return batch.map(lambda t: [{"gram": g, "place": i, "key": k} for g, i, back, forward in taken(t, bounds, frequent) for k in keys(i, back, forward)])
 
-    made = texts.select(F.col(column), run(column).alias("made"))
-    return made.select(column, F.col("made.pairs").alias("pairs"), F.explode("made.grams").alias("g")).select(column, "pairs", "g.*")
+    return texts.select(column, F.explode(run(column)).alias("g")).select(column, "g.*")
 
 
 def candidates(texts: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
@@ -114,17 +96,26 @@ def candidates(texts: DataFrame, names: DataFrame, threshold: float) -> DataFram
     bounds = Bounds(threshold)
     counted = names.select(F.explode(F.concat(_grams(F.col("name"), 1), _grams(F.col("name"), 2))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     frequent = {r.gram: r.n for r in counted.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()}
-    asked = _signatures(texts, "text", bounds, frequent, spread=True).withColumnsRenamed({"place": "at", "pairs": "own"})
-    met = asked.join(_signatures(names, "name", bounds, frequent, spread=False), ["gram", "key"])
+    # names are dealt out anew: they are few bytes, of which far more is made here
+    dealt = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = _signatures(texts, "text", bounds, frequent, spread=True).withColumnRenamed("place", "at")
+    met = asked.join(_signatures(dealt, "name", bounds, frequent, spread=False), ["gram", "key"])
     n, m = F.length("text"), F.length("name")
     common = F.ceil((n + m) * ((threshold - _EPSILON) / 200))
     near = (F.col("place") - F.col("at")).between(common - n, m - common)
-    shared = F.size(F.array_intersect("own", "pairs")) >= 3 * common - (n + m) - 1
-    return met.filter((common <= F.least(n, m)) & near & shared).select("text", "name").distinct()
+    return met.filter((common <= F.least(n, m)) & near).select("text", "name").distinct()
 
 
 def fuzzy_join(texts: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
     """texts (text) and names (name), each distinct -> text, name, score (the ratio, to six digits) of every pair with a
     score of threshold or more. Nulls match nothing; the empty string matches itself."""
     met = candidates(texts.filter("text IS NOT NULL"), names.filter("name IS NOT NULL"), threshold)
-    return met.withColumn("score", F.round(similarity.fast_ratio("text", "name"), 6)).filter(F.col("score") >= threshold)
+
+    def compare(batches):  # as a whole step, so that no pair is compared before it is distinct
+        for batch in batches:
+            pairs = list(zip(batch.column("text").to_pylist(), batch.column("name").to_pylist(), strict=True))
+            scores = [round(similarity.lcs_ratio(a, b), 6) for a, b in pairs]
+            good = [(a, b, x) for (a, b), x in zip(pairs, scores, strict=True) if x >= threshold]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in good], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["text", "name", "score"])
+
+    return met.mapInArrow(compare, "text string, name string, score double")
