@@ -40,6 +40,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*dfs: DataFrame) -> None:
+    """Deletes tables that materialize made, once nothing that is still to run reads them; others are left alone."""
+    for df in dfs:
+        spark, files = df.sparkSession, df.inputFiles()
+        path = files[0].rpartition("/")[0] if files else None
+        mine = next((w for w in _written if path and path.partition(":")[2].lstrip("/") == w.partition(":")[2].lstrip("/")), None)
+        if mine:
+            _written.remove(mine)
+            at = spark._jvm.org.apache.hadoop.fs.Path(mine)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clean_up(spark: SparkSession) -> int:
     """Deletes the tables that this process has materialized, once results that read them have been written; how many."""
     global _cleaned
