@@ -3,14 +3,19 @@ more.
 
 Each set has a SimHash fingerprint; fingerprints within RADIUS bits are paired by tiles (tiles.py), and every pair is
 checked on the whole sets. Sets of that similarity can lie many more bits apart, too many for tiles to skip anything,
-so the pairs that SimHash cannot see are found in an exact way besides. Two sets that similar share one of their first n - ceil(0.8 n) + 1 shingles in any order that is common to all sets
-(prefix filtering), so pairs that share none are passed over without loss. The order only decides how many pairs are
-looked at: shingles that are frequent in a sample of documents come last. Equal sets are one node. Each prefix shingle
-first links its nodes to the smallest of them, so that a large group of near copies becomes one component with links
-in proportion to its members; then all pairs of nodes of different components that share a prefix shingle, and whose
-sizes are near enough, are taken.
-Pairs that share too few of them for the similarity are passed over (possible); every other is checked on the whole
-sets. Components come from star rounds (components.py).
+so the pairs that SimHash cannot see are found in an exact way besides, by prefix filtering in an order of shingles
+that is common to all sets. It only decides how many pairs are looked at: shingles that are frequent in a sample of
+documents come last. The smaller set of a similar pair shares at least 8/9 of its shingles and the larger one 4/5, so
+one of the first n // 9 + 1 shingles of the smaller stands among the first n // 5 + 1 of the larger: sets are indexed by
+the short prefix, and probe with the long one (sets of one size with the short one). Texts of one template with more
+odd shingles than similar ones may have are indexed by odd ones alone, and never meet. Where a shared shingle stands
+far earlier in one set than in the other, too few can follow, and the pair is dropped as it meets.
+
+Equal sets are one node. Each prefix shingle first links its nodes to the smallest of them, so that a large group of
+near copies becomes one component with links in proportion to its members; then pairs of nodes of different components
+are taken as above. Pairs that share too few shingles of their prefixes are passed over (possible); every other is
+checked on the whole sets. Components come from star rounds (components.py). Tables between the steps are deleted once
+the next ones are written.
 """
 
 from __future__ import annotations
@@ -20,9 +25,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import discard
 from .common import Tokens, map_texts, materialize, mix64
 from .components import connected_components
 from .decontaminate import gram_hashes
@@ -123,14 +129,40 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     return map_texts(docs, make, "node bigint, grams array<bigint>")
 
 
-def possible(pairs: DataFrame) -> DataFrame:
+def index_length(n: Column) -> Column:
+    """How many of a set's n shingles it is indexed by."""
+    return F.floor(n / F.lit(2 * ABOVE + 1)).cast("int") + 1
+
+
+def possible(pairs: DataFrame, indexed: bool) -> DataFrame:
     """pairs (a, b, na, nb), a row for each prefix shingle that two nodes share -> a, b where the sets can be similar.
+    indexed: the shingles of the short prefix of a, the smaller, and of b's long one (of one size: its short one); else
+    those of both long prefixes.
 
     What two sets share beyond the prefix that ends first in the order lies in the rest of that set."""
     pairs = pairs.select("a", "b", "na", "nb").filter(BELOW * F.least("na", "nb") >= ABOVE * F.greatest("na", "nb"))
-    rest = F.floor((ABOVE * F.greatest("na", "nb") + BELOW - 1) / BELOW) - 1
+    rest = lambda n: n - F.floor(n / F.lit(BELOW)) - 1
+    short = lambda n: n - index_length(n)
+    most = F.when(F.col("na") == F.col("nb"), short(F.col("na"))).otherwise(F.greatest(short(F.col("na")), rest(F.col("nb")))) if indexed else rest(F.greatest("na", "nb"))
     counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return counted.filter((ABOVE + BELOW) * (F.col("c") + rest) >= ABOVE * (F.col("na") + F.col("nb"))).select("a", "b")
+    return counted.filter((ABOVE + BELOW) * (F.col("c") + most) >= ABOVE * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def meeting(members: DataFrame) -> DataFrame:
+    """members (gram, place, n, component, node) -> the pairs of nodes of different components that meet under a shingle
+    of a's short prefix, as (a, b, na, nb); a is the smaller set. Nodes of a component that agree in shingle, place and
+    size are paired as one."""
+    kinds = members.select("gram", "component", "n", "place", F.floor(F.log("n") * (STEPS / math.log(BELOW / ABOVE))).alias("size")).distinct()
+    near = kinds.withColumn("size", F.explode(F.transform(F.sequence(F.lit(-STEPS - 1), F.lit(0)), lambda d: F.col("size") + d)))  # sizes of smaller sets
+    kind = lambda df, k: df.select("gram", "size", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"at_{k}"))
+    same = F.col("na") == F.col("nb")
+    fits = (F.col("na") <= F.col("nb")) & (BELOW * F.col("na") >= ABOVE * F.col("nb")) & (F.col("of_a") != F.col("of_b")) & (~same | (F.col("of_a") < F.col("of_b")) & (F.col("at_b") < index_length(F.col("nb"))))
+    # shared: those before and at the shingle, and no more than follow it in either
+    reach = F.least("at_a", "at_b") + F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))
+    enough = (ABOVE + BELOW) * reach >= ABOVE * (F.col("na") + F.col("nb"))
+    apart = kind(kinds.filter(F.col("place") < index_length(F.col("n"))), "a").join(kind(near, "b"), ["gram", "size"]).filter(fits & enough)
+    side = lambda k: members.select("gram", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"at_{k}"), F.col("node").alias(k))
+    return apart.join(side("a"), ["gram", "of_a", "na", "at_a"]).join(side("b"), ["gram", "of_b", "nb", "at_b"]).select("a", "b", "na", "nb")
 
 
 def simhash_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -161,7 +193,9 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(BELOW * common >= ABOVE * (nx + ny - common))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
 
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "near-links")
+    found = materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "near-links")
+    discard(pairs, sets)
+    return found
 
 
 def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -173,19 +207,16 @@ def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     sets = materialize(signed(docs, sample), "near-prefixes")
     nodes = materialize(sets.groupBy("node").agg(F.min(F.struct("doc_id", "n", "fp", "prefix")).alias("m")).select("node", "m.*"), "near-nodes")
     held = nodes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = materialize(nodes.select("node", "n", F.explode("prefix").alias("gram")).join(held.select("gram"), "gram"), "near-shared")
+    shared = materialize(nodes.select("node", "n", F.posexplode("prefix").alias("place", "gram")).join(held.select("gram"), "gram"), "near-shared")
 
     low = shared.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("low"))
     star = shared.join(low, "gram").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"))
-    links = similar(possible(star.filter("a < b")).unionByName(simhash_pairs(nodes)).distinct(), nodes, docs)
+    links = similar(possible(star.filter("a < b"), indexed=False).unionByName(simhash_pairs(nodes)).distinct(), nodes, docs)
     known = connected_components(links, "near-components")
-    now = materialize(shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
-    kinds = now.select("gram", "component", "n", F.floor(F.log("n") * (STEPS / math.log(BELOW / ABOVE))).alias("size")).distinct()
-    near = kinds.withColumn("size", F.explode(F.transform(F.sequence(F.lit(-STEPS - 1), F.lit(STEPS + 1)), lambda d: F.col("size") + d)))
-    kind = lambda df, k: df.select("gram", "size", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"))
-    fits = (F.col("of_a") < F.col("of_b")) & (BELOW * F.least("na", "nb") >= ABOVE * F.greatest("na", "nb"))
-    apart = kind(kinds, "a").join(kind(near, "b"), ["gram", "size"]).filter(fits)
-    side = lambda k: now.select("gram", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("node").alias(k))
-    pairs = apart.join(side("a"), ["gram", "of_a", "na"]).join(side("b"), ["gram", "of_b", "nb"])
-    found = connected_components(links.unionByName(similar(possible(pairs), nodes, docs)), "near-components")
+    members = materialize(shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
+    discard(shared, known)
+    further = similar(possible(meeting(members), indexed=True), nodes, docs)
+    discard(members)
+    found = connected_components(links.unionByName(further), "near-components")
+    discard(links, further, nodes)
     return sets.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))

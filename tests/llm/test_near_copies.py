@@ -57,3 +57,37 @@ def test_the_sample_does_not_bear_on_results(spark):
 def test_whole_table_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def template(rng, n, size=4, odd=2):
+    """n texts of one template whose odd words make them too different to be near copies."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    frame = [word() for _ in range(size)]
+    return [" ".join([*frame, *(word() for _ in range(odd)), *frame]) for _ in range(n)]
+
+
+def test_texts_of_one_template_are_not_all_paired(spark, monkeypatch):
+    rng = random.Random(8)
+    met = []
+    one = nc.meeting
+    monkeypatch.setattr(nc, "meeting", lambda members: (met.append(one(members).count()), one(members))[1])
+    for n in (200, 400):
+        # of 9, 12 and 39 words: sets of 5, 8 and 35 shingles
+        rows = list(enumerate(template(rng, n, 4, 1) + template(rng, n, 5, 2) + template(rng, n, 16, 7)))
+        found = nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert found.select("component").distinct().count() == 3 * n
+    assert met[1] <= 2 * met[0] + 10 and met[1] < 3 * 400  # in proportion to the texts
+
+
+def test_sizes_at_the_bounds_against_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdef", k=6))
+    texts = []
+    for n in (5, 9, 10, 13, 14, 22, 31, 49):
+        base = [word() for _ in range(n)]
+        for cut in range(0, n // 4 + 1):
+            texts += [" ".join(base[cut:]), " ".join(base + [word() for _ in range(cut)]), " ".join([word() for _ in range(cut // 2)] + base[cut // 2 :])]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("component").agg({"doc_id": "min"}).collect()
+    assert {r[1] for r in got} == kept(rows)
