@@ -143,8 +143,21 @@ def inflate(data: bytes, most: int) -> bytes:
 
 
 _DECODE = {NONE: lambda data, most: data[:most], LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
-#: Most bytes that a byte of each compression can stand for.
-_MOST = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
+#: Most bytes that a byte of each compression can stand for; a page that is larger than MOST_PAGE bytes is an error.
+_MOST = {NONE: 1, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
+MOST_PAGE = 1 << 28
+#: Codes that an LZW table takes, each a byte longer at most than the one before, and their bits; then it is cleared.
+_LZW_CODES, _LZW_BITS = 254 + 512 + 1024 + 2048, 254 * 9 + 512 * 10 + 1024 * 11 + 2048 * 12
+
+
+def most_bytes(compression: int, n: int) -> int:
+    """Most bytes that n bytes of a compression can stand for."""
+    if compression != LZW:
+        return _MOST[compression] * n
+    tables, bits = divmod(8 * n, _LZW_BITS)
+    rest = min(_LZW_CODES, bits // 9 + 1)
+    return tables * (_LZW_CODES * (_LZW_CODES + 1) // 2) + rest * (rest + 1) // 2
+
 _ENCODE = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: pack_bits}
 
 
@@ -293,10 +306,12 @@ class _Layout:
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
     p = _Layout.of(tags)
     parts = p.columns * p.rows * p.planes
-    if sum(map(p.need, range(parts))) > _MOST[p.compression] * len(data) + 64 * parts:
+    if max(p.height * p.width * p.samples * max(8, p.bits) // 8, sum(map(p.need, range(parts)))) > MOST_PAGE:
+        raise TiffError(f"a page of more than {MOST_PAGE} bytes")
+    if sum(map(p.need, range(parts))) > most_bytes(p.compression, len(data)) + 64 * parts:
         raise TiffError("a page larger than its bytes can hold")
     for i in range(parts):
-        if p.need(i) > _MOST[p.compression] * max(0, min(p.counts[i], len(data) - p.offsets[i])) + 64:
+        if p.need(i) > most_bytes(p.compression, max(0, min(p.counts[i], len(data) - p.offsets[i]))) + 64:
             raise TiffError("a strip or tile is too short")
     kind = np.dtype(f"{order}{'f' if p.form == 3 else 'i' if p.form == 2 else 'u'}{max(1, p.bits // 8)}")
     page = np.zeros((p.height, p.width, p.samples), kind.newbyteorder("="))
@@ -334,16 +349,30 @@ def read_tiff(data: bytes):
         at = following
 
 
+def _shares(flat: np.ndarray) -> np.ndarray:
+    """Shares of the samples in 256 bins: bytes by value, others between the least and the largest."""
+    if flat.dtype == np.uint8:
+        return np.bincount(flat, minlength=256) / max(1, flat.size)
+    low, high = (float(flat.min()), float(flat.max())) if flat.size else (0.0, 0.0)
+    span = high / 2 - low / 2  # halves, so that no difference is beyond what a double holds
+    place = (flat.astype(np.float64) / 2 - low / 2) / span * 256 if span > 0 else np.zeros(flat.size)
+    return np.bincount(np.clip(place, 0, 255).astype(np.int64), minlength=256) / max(1, flat.size)
+
+
 def feature(pixels: np.ndarray) -> str:
-    """Size, mean, deviation, entropy of the samples and a hash of 64 means compared with the whole mean."""
+    """Size, mean, deviation, entropy of the samples and a hash of 64 means compared with the whole mean. Samples that are
+    no finite numbers are passed over; means beyond what a double holds are inf."""
     flat = pixels.reshape(-1)
     flat = flat[np.isfinite(flat)] if flat.dtype.kind == "f" else flat
-    p = np.bincount(flat.astype(np.uint8), minlength=256) / max(1, flat.size) if flat.dtype == np.uint8 else np.histogram(flat, 256)[0] / max(1, flat.size)
+    wide = flat if flat.dtype == np.uint8 else flat.astype(np.float64)
+    p = _shares(flat)
     some = p[p > 0]
     cuts = np.linspace(0, flat.size, 65).astype(np.int64)[:-1]
-    means = np.add.reduceat(flat.astype(np.float64), cuts) / np.maximum(1, np.diff(np.append(cuts, flat.size))) if flat.size >= 64 else np.zeros(64)
-    code = int("".join("1" if m > flat.mean() else "0" for m in means), 2) if flat.size else 0
-    return f"{pixels.shape[1]}x{pixels.shape[0]}x{pixels.shape[2]}:{flat.mean() if flat.size else 0:.4f}:{flat.std() if flat.size else 0:.4f}:{abs(float(-(some * np.log2(some)).sum())):.4f}:{code:016x}"
+    with np.errstate(all="ignore"):
+        mean, deviation = (wide.mean(), wide.std()) if flat.size else (0, 0)
+        means = np.add.reduceat(flat.astype(np.float64), cuts) / np.maximum(1, np.diff(np.append(cuts, flat.size))) if flat.size >= 64 else np.zeros(64)
+        code = int("".join("1" if m > mean else "0" for m in means), 2) if flat.size else 0
+    return f"{pixels.shape[1]}x{pixels.shape[0]}x{pixels.shape[2]}:{mean:.4f}:{deviation:.4f}:{abs(float(-(some * np.log2(some)).sum())):.4f}:{code:016x}"
 
 
 def store_texts(documents: DataFrame) -> DataFrame:
@@ -380,8 +409,8 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
                     raise TiffError("null")
                 for n, p in enumerate(read_tiff(data), 1):
                     yield [n - 1, p["width"], p["height"], p["samples"], p["bits"], p["pixels"].tobytes(), feature(p["pixels"]), None]
-            except TiffError as e:
-                yield [None] * 7 + [str(e)]
+            except (TiffError, ValueError, ArithmeticError, MemoryError) as e:  # whatever a page does, it is that page's error
+                yield [None] * 7 + [str(e) or type(e).__name__]
 
         def one(batch):
             of, rows, held = [], [], 0

@@ -57,6 +57,7 @@ class ByteCnn:
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 6) -> ByteCnn:
         raw, y = [t.encode() for t in texts], np.array(labels, float)
         if not len(y):
+            self.p["out"][:] = 0  # says nothing about any text
             return self
         rate = np.clip(y.mean(), 0.01, 0.99)
         self.p["out0"][:] = np.log(rate / (1 - rate))

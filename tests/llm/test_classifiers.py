@@ -188,3 +188,10 @@ def test_spans_and_edge_rows(spark):
     assert all(0 <= r.score <= 1 for r in q.score_quality(df, labels.limit(0)).collect())
     kept = q.keep_good(df, labels)
     assert kept.columns == df.columns and kept.count() == 404
+
+
+def test_without_labels_no_text_is_rejected(spark):
+    df = spark.createDataFrame([(1, "some text"), (2, "junk $$$"), (3, ""), (4, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in q.score_quality(df, none).collect()} == {0.5}
+    assert q.keep_good(df, none).count() == 4

@@ -146,3 +146,29 @@ def test_many_pages(spark):
     rows = m.read_pages(spark.createDataFrame([(1, media), (2, media[:99]), (3, media)], "id int, media binary")).collect()
     assert [(r.id, r.page) for r in rows if r.error is None] == [(i, k) for i in (1, 3) for k in range(40)]
     assert len([r for r in rows if r.error]) == 1
+
+
+def test_feature_of_any_float_page():
+    pages = [[1.0, np.nextafter(1.0, 2)], [1e308, -1e308], [1e20] * 4, [np.nan, np.inf, -np.inf], [5e-324, 0.0], [1.7e308] * 70, list(np.linspace(-1, 1, 300) * 1e308)]
+    for values in pages:
+        for kind in (np.float32, np.float64):
+            with np.errstate(over="ignore"):
+                page = np.array(values, np.float64).astype(kind).reshape(1, -1, 1)
+            assert m.feature(page).startswith(f"{len(values)}x1x1:")
+    assert m.feature(np.array([2**63 - 1, -(2**63)], np.int64).reshape(1, 2, 1)).split(":")[3] == "1.0000"
+
+
+def test_too_large_a_page_is_an_error(monkeypatch):
+    monkeypatch.setattr(m, "MOST_PAGE", 50)
+    data = m.write_tiff([np.zeros((3, 10), np.uint8), np.zeros((9, 10), np.uint8)])
+    pages = m.read_tiff(data)
+    assert next(pages)["height"] == 3
+    with pytest.raises(m.TiffError, match="more than 50 bytes"):
+        next(pages)
+
+
+def test_bound_of_lzw():
+    for raw in (b"a" * 100_000, b"ab" * 5000, bytes(range(256)) * 40, b"x"):
+        packed = m.pack_lzw(raw)
+        assert len(raw) <= m.most_bytes(m.LZW, len(packed))
+    assert m.most_bytes(m.LZW, 1 << 20) < 1500 << 20
