@@ -1,10 +1,14 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare seeds, a count of shared words, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. Every n-gram of the benchmark's items is a seed, however common it
-is: a document that holds one is aligned with the item around each place where it does (local alignment of words by
-Smith-Waterman, so replaced, added and dropped words only lower the score); similarity is the alignment score over
-the item's own, and pairs from MIN_SIMILARITY on are reported. An edited copy is found as long as one n-gram of the
-item is left in it.
+Words are lower-cased runs of letters and digits. Similarity is the score of the best local alignment of words over the
+item's own (replaced, added and dropped words only lower it), and pairs from MIN_SIMILARITY on are reported. Items of
+WHOLE words or fewer must stand in a document as they are: half of a few words is no passage.
+
+A score asks for a number k of an item's words, in order, in a window of a bounded length. So of any n - k + s words of
+the item s at least are among them: the rarest are its seeds, n-grams of N words (one word each: an edit after every
+second word leaves no longer n-gram whole). How many documents hold a word is counted over all of them first; it only
+decides which words are seeds. Where s seeds stand within a window, and then k of all the item's words do, the item is
+aligned. No pair that is similar enough is passed over.
 
 The benchmark is the query set: it is taken in blocks of bounded bytes, each block broadcast and run against all
 documents, so documents are never shuffled and no pairs within a group arise.
@@ -18,9 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, map_texts, mix64
+from .common import Tokens, batches_by_bytes, map_texts, mix64
 
-N, MIN_SIMILARITY = 3, 0.5
+N, MIN_SIMILARITY = 1, 0.5
+#: Items of so many words or fewer must occur whole; one more seed is asked for every SEEDS_APART words of an item.
+WHOLE, SEEDS_APART = 4, 6
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Bytes of benchmark text in a block; cells of alignment computed at once.
 BLOCK_BYTES, CELLS = 4 << 20, 1 << 20
@@ -40,38 +46,56 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarra
 
 @dataclass
 class Items:
-    """A block of benchmark items: ids, word hashes, and the n-grams as CSR lists of (item, offset)."""
+    """A block of benchmark items: ids, word hashes, and what an alignment of each asks for: its least score, how many
+    words (common) in a window of how many (span), how many seeds; the seeds as CSR lists of items."""
 
     ids: list
     words: np.ndarray
     first: np.ndarray
-    grams: np.ndarray
-    gram_first: np.ndarray
-    gram_item: np.ndarray
-    gram_at: np.ndarray
-    n: int
+    least: np.ndarray
+    common: np.ndarray
+    span: np.ndarray
+    seeds: np.ndarray
+    vocabulary: np.ndarray
+    seed: np.ndarray
+    seed_first: np.ndarray
+    seed_item: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple], n: int = N) -> Items:
+    def of(cls, rows: list[tuple], min_similarity: float = MIN_SIMILARITY, counted=None) -> Items:
+        """counted(vocabulary) gives the number of documents that hold each word; without it words count as equally rare."""
         t = Tokens([text for _, text in rows], alnum=True)
-        hashes, whole = gram_hashes(t.hash, t.first, n)
-        at = np.flatnonzero(whole)
-        order = np.argsort(hashes[at], kind="stable")
-        at = at[order]
-        grams, gram_first = np.unique(hashes[at], return_index=True)
-        return cls([i for i, _ in rows], t.hash, t.first, grams, np.append(gram_first, len(at)), t.text[at], at - t.first[t.text[at]], n)
-
-    def hits(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the texts' words where an n-gram of the block starts, and which one."""
-        hashes, whole = gram_hashes(t.hash, t.first, self.n)
-        if not len(self.grams) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        small = np.zeros(1 << 16, bool)  # a first sieve on the low bits
-        small[self.grams & np.uint64(0xFFFF)] = True
-        at = np.flatnonzero(whole & small[hashes & np.uint64(0xFFFF)])
-        found = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
-        same = self.grams[found] == hashes[at]
-        return at[same], found[same]
+        n = np.diff(t.first)
+        least = np.maximum(np.ceil(MATCH * n * min_similarity - 1e-9).astype(np.int64), np.minimum(MATCH * n, MATCH * WHOLE))
+        common = -(-least // MATCH)
+        # what is no match costs one at least: span - matches <= 2 matches - least
+        span = (MATCH + 1) * n - least
+        seeds = np.minimum(common, np.maximum(1, n // SEEDS_APART))
+        vocabulary = np.unique(t.hash)
+        documents = np.zeros(len(vocabulary), np.int64) if counted is None else counted(vocabulary)
+        rarity = documents[np.searchsorted(vocabulary, t.hash)]
+        order = np.lexsort((t.hash, rarity, t.text))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - t.first[t.text[order]]
+        taken = place < (n - common + seeds)[t.text]
+        pairs = np.unique(np.stack([t.hash[taken], t.text[taken].astype(np.uint64)], axis=1), axis=0) if taken.any() else np.zeros((0, 2), np.uint64)
+        seed, seed_first = np.unique(pairs[:, 0], return_index=True)
+        return cls([i for i, _ in rows], t.hash, t.first, least, common, span, seeds, vocabulary, seed, np.append(seed_first, len(pairs)), pairs[:, 1].astype(np.int64))
+
+    def item(self, i: int) -> np.ndarray:
+        return self.words[self.first[i] : self.first[i + 1]]
+
+
+def where_in(sorted_values: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes that are among the values, and which of them each is."""
+    if not len(sorted_values) or not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sieve = np.zeros(1 << 16, bool)  # on the low bits first
+    sieve[sorted_values & np.uint64(0xFFFF)] = True
+    at = np.flatnonzero(sieve[hashes & np.uint64(0xFFFF)])
+    found = np.minimum(np.searchsorted(sorted_values, hashes[at]), len(sorted_values) - 1)
+    same = sorted_values[found] == hashes[at]
+    return at[same], found[same]
 
 
 def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,32 +130,51 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[
     return best, end
 
 
-def find(t: Tokens, seeds: Items, min_similarity: float = MIN_SIMILARITY) -> list[tuple]:
-    """(text, item, seeds hit, score, similarity, first word, last word exclusive) of each pair that is similar enough."""
-    at, gram = seeds.hits(t)
+def regions(t: Tokens, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, seeds hit, first word, last word exclusive) of the parts of texts to be aligned with an item."""
+    at, which = where_in(items.seed, t.hash)
     if not len(at):
         return []
-    spread = np.diff(seeds.gram_first)[gram]
+    spread = np.diff(items.seed_first)[which]
     place = np.repeat(at, spread)
-    entry = np.repeat(seeds.gram_first[gram], spread) + np.arange(len(place)) - np.repeat(np.cumsum(spread) - spread, spread)
-    item, text = seeds.gram_item[entry], t.text[place]
+    item = items.seed_item[np.repeat(items.seed_first[which], spread) + np.arange(len(place)) - np.repeat(np.cumsum(spread) - spread, spread)]
+    text = t.text[place]
     order = np.lexsort((place, item, text))
     place, item, text = place[order], item[order], text[order]
-    tasks = []
-    a = 0
-    while a < len(place):
-        size = int(seeds.first[item[a] + 1] - seeds.first[item[a]])
-        b = a + 1
-        while b < len(place) and item[b] == item[a] and text[b] == text[a] and place[b] - place[a] <= 2 * size:
-            b += 1
-        reach = size + size // 2 + 8
-        tasks.append((int(text[a]), int(item[a]), b - a, max(int(t.first[text[a]]), int(place[a]) - reach), min(int(t.first[text[a] + 1]), int(place[b - 1]) + reach)))
-        a = b
+    # the last of as many seeds as are asked for, within a window of the item
+    last = np.arange(len(place)) + items.seeds[item] - 1
+    ends = np.minimum(last, len(place) - 1)
+    good = np.flatnonzero((last < len(place)) & (item[ends] == item) & (text[ends] == text) & (place[ends] - place < items.span[item]))
+    out = []
+    k = 0
+    while k < len(good):
+        a = good[k]
+        i, of, span = int(item[a]), int(text[a]), int(items.span[item[a]])
+        low, high, n = place[a] - span, place[ends[a]] + span, int(ends[a]) + 1 - int(a)
+        k += 1
+        while k < len(good) and item[good[k]] == i and text[good[k]] == of and place[good[k]] - span <= high:
+            high = place[ends[good[k]]] + span
+            n = int(ends[good[k]]) + 1 - int(a)
+            k += 1
+        low, high = max(int(t.first[of]), int(low)), min(int(t.first[of + 1]), int(high) + 1)
+        shared = np.concatenate([[0], np.cumsum(np.isin(t.hash[low:high], items.item(i)))])
+        window = min(span, high - low)
+        enough = np.flatnonzero(shared[window:] - shared[: len(shared) - window] >= items.common[i])
+        if len(enough):
+            out.append((of, i, n, low + int(enough[0]), low + int(enough[-1]) + window))
+    return out
+
+
+def find(t: Tokens, seeds: Items) -> list[tuple]:
+    """(text, item, seeds hit, score, similarity, first word, last word exclusive) of each pair that is similar enough."""
+    tasks = regions(t, seeds)
+    if not tasks:
+        return []
     queries = [seeds.words[seeds.first[i] : seeds.first[i + 1]] for _, i, *_ in tasks]
     windows = [t.hash[low:high] for *_, low, high in tasks]
     score, end = smith_waterman(queries, windows)
     similarity = score / (MATCH * np.array([len(q) for q in queries]))
-    good = np.flatnonzero(similarity >= min_similarity)
+    good = np.flatnonzero(score >= seeds.least[[i for _, i, *_ in tasks]])
     if not len(good):
         return []
     _, back = smith_waterman([queries[k][::-1] for k in good], [windows[k][: end[k]][::-1] for k in good])
@@ -145,31 +188,56 @@ def find(t: Tokens, seeds: Items, min_similarity: float = MIN_SIMILARITY) -> lis
     return [(*key, *row) for key, row in sorted(found.items())]
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, n: int = N):
-    """The items in blocks of about block_bytes of text, each small enough to broadcast. Null ids and texts are passed over."""
+def document_counts(documents: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How many documents hold each word of a block's vocabulary; a task sends a row a word of the block at most."""
+    import pyarrow as pa
+
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        known = shared.value
+        total = np.zeros(len(known), np.int64)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in batches_by_bytes(texts):
+                t = Tokens(texts[a:b], alnum=True)
+                at, which = where_in(known, t.hash)
+                total += np.bincount(np.unique(t.text[at] * len(known) + which) % len(known), minlength=len(known)) if len(at) else 0
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["word", "n"])
+
+    out = np.zeros(len(vocabulary), np.int64)
+    for r in documents.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r.word] = r.n
+    return out
+
+
+def benchmark_blocks(documents: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, block_bytes: int | None = None):
+    """The items in blocks of about block_bytes of text, each small enough to broadcast, with seeds that are rare in
+    documents. Null ids and texts are passed over."""
     rows = benchmark.select("item_id", "text").dropna()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-int(size) // block_bytes)
+    blocks = -(-int(size) // (block_bytes or BLOCK_BYTES))
     for k in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield Items.of(sorted((r.item_id, r.text) for r in part.collect()), n)
+        yield Items.of(sorted((r.item_id, r.text) for r in part.collect()), min_similarity, lambda words: document_counts(documents, words))
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """documents (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, n_seeds, score, similarity, start_word,
     end_word: a row for each document and item whose best alignment is similar enough.
 
-    Whole texts. Null and empty texts match nothing, nor do items of fewer than N words. Repeated rows and repeated
+    Whole texts. Null and empty texts match nothing, nor do items without words. Repeated rows and repeated
     items are each reported; a null doc_id stays null; other columns are ignored; empty tables give an empty result."""
     ids, kinds = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {ids}, item_id {kinds}, n_seeds int, score int, similarity double, start_word int, end_word int"
     out = None
-    for items in benchmark_blocks(benchmark):
+    for items in benchmark_blocks(documents, benchmark, min_similarity):
         shared = documents.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
             def one(batch):
-                found = find(Tokens(batch.column("text").to_pylist(), alnum=True), shared.value, min_similarity)
+                found = find(Tokens(batch.column("text").to_pylist(), alnum=True), shared.value)
                 doc = batch.column("doc_id").to_pylist()
                 columns = list(zip(*found, strict=True)) if found else [[]] * 7
                 return {"doc_id": [doc[i] for i in columns[0]], "item_id": [shared.value.ids[i] for i in columns[1]], "n_seeds": columns[2], "score": columns[3], "similarity": columns[4], "start_word": columns[5], "end_word": columns[6]}
@@ -187,12 +255,12 @@ def remove_leaks(documents: DataFrame, benchmark: DataFrame, min_similarity: flo
 
     schema = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes)
     kept = documents
-    for items in benchmark_blocks(benchmark):
+    for items in benchmark_blocks(documents, benchmark, min_similarity):
         shared = documents.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
             def one(batch):
-                leaked = {row[0] for row in find(Tokens(batch.column("text").to_pylist(), alnum=True), shared.value, min_similarity)}
+                leaked = {row[0] for row in find(Tokens(batch.column("text").to_pylist(), alnum=True), shared.value)}
                 clean = batch.filter(pa.array([i not in leaked for i in range(batch.num_rows)]))
                 return dict(zip(clean.schema.names, clean.columns, strict=True))
 

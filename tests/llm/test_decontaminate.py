@@ -70,9 +70,8 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     items, docs = planted()
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
     whole = sorted(map(str, d.find_leaks(df, bench).collect()))
-    assert len(list(d.benchmark_blocks(bench, 700))) > 1
-    blocks = d.benchmark_blocks
-    monkeypatch.setattr(d, "benchmark_blocks", lambda b: blocks(b, 700))
+    monkeypatch.setattr(d, "BLOCK_BYTES", 700)
+    assert len(list(d.benchmark_blocks(df, bench))) > 1
     assert sorted(map(str, d.find_leaks(df, bench).collect())) == whole
 
 
@@ -137,3 +136,66 @@ def test_very_long_texts(spark):
     long = rng.choices(vocab, k=150_000) + item + rng.choices(vocab, k=50_000)
     got = d.find_leaks(spark.createDataFrame([(1, " ".join(long))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")).collect()
     assert [(r.start_word, r.end_word, r.similarity) for r in got] == [(150_000, 150_025, 1.0)]
+
+
+def edited(rng, vocab, item, kind, share):
+    """item with about that share of its words edited, evenly spread or at random."""
+    step = max(2, round(1 / share))
+    out = []
+    for i, w in enumerate(item):
+        hit = i % step == step - 1 if kind.endswith("evenly") else rng.random() < share
+        if not hit:
+            out.append(w)
+        elif kind.startswith("insert"):
+            out += [w, rng.choice(vocab)]
+        elif kind.startswith("replace"):
+            out.append(rng.choice(vocab))
+    return out
+
+
+def test_every_pair_of_half_the_similarity_is_found(spark):
+    """Recall is 1 by construction; insertions, drops and replacements of 10 to 50 % against cell-by-cell alignment."""
+    rng, vocab = vocabulary(23, 2500)
+    items = [(k, rng.choices(vocab, k=rng.choice([5, 8, 12, 20, 60]))) for k in range(20)]
+    kinds = [f"{e} {h}" for e in ("insert", "drop", "replace") for h in ("evenly", "anywhere")]
+    docs = []
+    for k, item in items:
+        for kind in kinds:
+            for share in (0.1, 0.2, 1 / 3, 0.5):
+                docs.append((len(docs), k, rng.choices(vocab, k=10) + edited(rng, vocab, item, kind, share) + rng.choices(vocab, k=10)))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, _, w in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in d.find_leaks(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id int, text string")).collect()}
+    want = {}
+    for i, k, w in docs:
+        item = items[k][1]
+        score = align(item, w)
+        if score >= max(len(item), min(2 * len(item), 2 * d.WHOLE)):
+            want[i, k] = score
+    assert len(want) > 250 and {k: v for k, v in got.items() if k in want} == want
+    assert all(docs[i][1] == k for i, k in got)  # and nothing else is
+
+
+def test_named_edits_and_short_items(spark):
+    rng, vocab = vocabulary(29, 3000)
+    item = rng.sample(vocab, 60)
+    inserted = [x for i, w in enumerate(item) for x in ([w, "new"] if i % 2 else [w])]
+    replaced = [w if i % 3 else "other" for i, w in enumerate(item)]
+    dropped = [w for i, w in enumerate(item) if i % 3]
+    docs = [(1, inserted), (2, replaced), (3, dropped), (4, ["two", "words"]), (5, ["two", "other", "words"]), (6, item[:20])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Two words"), (3, "words"), (4, "...")], "item_id int, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 2) for r in d.find_leaks(df, bench).collect()}
+    want = {(i, 1): round(align(item, w) / 120, 2) for i, w in docs if align(item, w) >= 60}
+    assert got == want | {(4, 2): 1.0, (4, 3): 1.0, (5, 3): 1.0} and {1, 2, 3} <= {i for i, _ in want}
+
+
+def test_seeds_are_the_rare_words(spark):
+    rng, vocab = vocabulary(31)
+    common, rare = vocab[:10], vocab[10:]
+    docs = spark.createDataFrame([(i, " ".join(common[:9] + [rng.choice(rare[10:])])) for i in range(100)], "doc_id long, text string")
+    item = [x for pair in zip(rare[:10], common, strict=True) for x in pair]
+    (items,) = d.benchmark_blocks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id int, text string"))
+    seeds = set(items.seed.tolist())
+    assert set(d.Tokens([" ".join(rare[:10])]).hash.tolist()) <= seeds and len(seeds) == 13
+    tokens = d.Tokens([r.text for r in docs.collect()], alnum=True)
+    assert d.regions(tokens, items) == []  # nine common words of 20 are in every document, and none is aligned
