@@ -7,8 +7,9 @@ WHOLE words or fewer must stand in a document as they are: half of a few words i
 A score asks for a number k of an item's words, in order, in a window of a bounded length. So of any n - k + s words of
 the item s at least are among them: the rarest are its seeds, n-grams of N words (one word each: an edit after every
 second word leaves no longer n-gram whole). How many documents hold a word is counted over all of them first; it only
-decides which words are seeds. Where s seeds stand within a window, and then k of all the item's words do, the item is
-aligned. No pair that is similar enough is passed over.
+decides which words are seeds. Where s seeds stand within a window, in the order of the item, and then k of all the
+item's words do in their order (a longest common subsequence), the item is aligned. No pair that is similar enough is
+passed over.
 
 The benchmark is the query set: it is taken in blocks of bounded bytes, each block broadcast and run against all
 documents, so documents are never shuffled and no pairs within a group arise.
@@ -16,6 +17,7 @@ documents, so documents are never shuffled and no pairs within a group arise.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +49,7 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarra
 @dataclass
 class Items:
     """A block of benchmark items: ids, word hashes, and what an alignment of each asks for: its least score, how many
-    words (common) in a window of how many (span), how many seeds; the seeds as CSR lists of items."""
+    words (common) in a window of how many (span), how many seeds; the seeds as CSR lists of items and places in them."""
 
     ids: list
     words: np.ndarray
@@ -60,6 +62,8 @@ class Items:
     seed: np.ndarray
     seed_first: np.ndarray
     seed_item: np.ndarray
+    seed_at: np.ndarray
+    bits: list
 
     @classmethod
     def of(cls, rows: list[tuple], min_similarity: float = MIN_SIMILARITY, counted=None) -> Items:
@@ -77,13 +81,38 @@ class Items:
         order = np.lexsort((t.hash, rarity, t.text))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order)) - t.first[t.text[order]]
-        taken = place < (n - common + seeds)[t.text]
-        pairs = np.unique(np.stack([t.hash[taken], t.text[taken].astype(np.uint64)], axis=1), axis=0) if taken.any() else np.zeros((0, 2), np.uint64)
-        seed, seed_first = np.unique(pairs[:, 0], return_index=True)
-        return cls([i for i, _ in rows], t.hash, t.first, least, common, span, seeds, vocabulary, seed, np.append(seed_first, len(pairs)), pairs[:, 1].astype(np.int64))
-
-    def item(self, i: int) -> np.ndarray:
-        return self.words[self.first[i] : self.first[i + 1]]
+        taken = np.flatnonzero(place < (n - common + seeds)[t.text])
+        taken = taken[np.lexsort((-taken, t.text[taken], t.hash[taken]))]  # of one word and item, the last place first
+        seed, seed_first = np.unique(t.hash[taken], return_index=True)
+        bits: list[dict[int, int]] = [{} for _ in rows]  # the places of each word of an item
+        for h, i, at in zip(t.hash.tolist(), t.text.tolist(), (np.arange(len(t.hash)) - t.first[t.text]).tolist(), strict=True):
+            bits[i][h] = bits[i].get(h, 0) | 1 << at
+        return cls([i for i, _ in rows], t.hash, t.first, least, common, span, seeds, vocabulary, seed, np.append(seed_first, len(taken)), t.text[taken], taken - t.first[t.text[taken]], bits)
+
+    def shared(self, i: int, words: list[int]) -> int:
+        """Words of the i-th item that stand in words in their order: a row of the table is one integer."""
+        places, full = self.bits[i], (1 << int(self.first[i + 1] - self.first[i])) - 1
+        row = full
+        for w in words:
+            m = places.get(w)
+            if m is not None:
+                m &= row
+                row = ((row + m) | (row - m)) & full
+        return full.bit_count() - row.bit_count()
+
+
+def in_order(places: list[int], most: int) -> bool:
+    """Whether `most` of the places, at least, stand in ascending order."""
+    tails: list[int] = []
+    for x in places:
+        k = bisect_left(tails, x)
+        if k == len(tails):
+            tails.append(x)
+            if len(tails) >= most:
+                return True
+        else:
+            tails[k] = x
+    return False
 
 
 def where_in(sorted_values: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,31 +166,33 @@ def regions(t: Tokens, items: Items) -> list[tuple[int, int, int, int, int]]:
         return []
     spread = np.diff(items.seed_first)[which]
     place = np.repeat(at, spread)
-    item = items.seed_item[np.repeat(items.seed_first[which], spread) + np.arange(len(place)) - np.repeat(np.cumsum(spread) - spread, spread)]
-    text = t.text[place]
-    order = np.lexsort((place, item, text))
-    place, item, text = place[order], item[order], text[order]
+    entry = np.repeat(items.seed_first[which], spread) + np.arange(len(place)) - np.repeat(np.cumsum(spread) - spread, spread)
+    item, text = items.seed_item[entry], t.text[place]
+    order = np.argsort((text * len(items.ids) + item), kind="stable")  # places ascend within it, those in the item descend
+    place, item, text, within = place[order], item[order], text[order], items.seed_at[entry[order]]
     # the last of as many seeds as are asked for, within a window of the item
     last = np.arange(len(place)) + items.seeds[item] - 1
     ends = np.minimum(last, len(place) - 1)
     good = np.flatnonzero((last < len(place)) & (item[ends] == item) & (text[ends] == text) & (place[ends] - place < items.span[item]))
+    if not len(good):
+        return []
+    # an alignment begins less than a span before its first seed; seeds are looked at together by half a span
+    half = np.maximum(1, items.span[item[good]] // 2)
+    cell = place[good] // half
+    opens = np.flatnonzero(np.concatenate([[True], (np.diff(cell) != 0) | (np.diff(item[good]) != 0) | (np.diff(text[good]) != 0)])) if len(good) else good
+    closes = np.append(opens[1:], len(good)) - 1
+    group = text * len(items.ids) + item
+    stop = np.searchsorted(group, group[good[opens]], "right")
     out = []
-    k = 0
-    while k < len(good):
-        a = good[k]
-        i, of, span = int(item[a]), int(text[a]), int(items.span[item[a]])
-        low, high, n = place[a] - span, place[ends[a]] + span, int(ends[a]) + 1 - int(a)
-        k += 1
-        while k < len(good) and item[good[k]] == i and text[good[k]] == of and place[good[k]] - span <= high:
-            high = place[ends[good[k]]] + span
-            n = int(ends[good[k]]) + 1 - int(a)
-            k += 1
-        low, high = max(int(t.first[of]), int(low)), min(int(t.first[of + 1]), int(high) + 1)
-        shared = np.concatenate([[0], np.cumsum(np.isin(t.hash[low:high], items.item(i)))])
-        window = min(span, high - low)
-        enough = np.flatnonzero(shared[window:] - shared[: len(shared) - window] >= items.common[i])
-        if len(enough):
-            out.append((of, i, n, low + int(enough[0]), low + int(enough[-1]) + window))
+    for a, b, end in zip(good[opens].tolist(), good[closes].tolist(), stop.tolist(), strict=True):
+        i, of = int(item[a]), int(text[a])
+        span = int(items.span[i])
+        end = a + int(np.searchsorted(place[a:end], place[b] + span))
+        if not in_order(within[a:end].tolist(), int(items.seeds[i])):
+            continue
+        low, high = max(int(t.first[of]), int(place[a]) - span + 1), min(int(t.first[of + 1]), int(place[b]) + span)
+        if items.shared(i, t.hash[low:high].tolist()) >= items.common[i]:
+            out.append((of, i, end - a, low, high))
     return out
 
 
@@ -184,7 +215,7 @@ def find(t: Tokens, seeds: Items) -> list[tuple]:
         stop = low + int(end[k]) - int(t.first[text_])
         row = (int(score[k]), float(similarity[k]), stop - int(length), stop)
         old = found.get((text_, item_))
-        found[text_, item_] = (n + (old[0] if old else 0), *(row if not old or row[0] > old[1] else old[1:]))
+        found[text_, item_] = (max(n, old[0] if old else 0), *(row if not old or row[0] > old[1] else old[1:]))
     return [(*key, *row) for key, row in sorted(found.items())]
 
 
