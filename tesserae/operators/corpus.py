@@ -10,7 +10,6 @@ from ..functions import text as T
 from ..tables import materialize
 
 IGNORED = -100  # fixed value: the label that a loss passes over
-RANGES = 4096
 
 
 def non_blank(text: Column) -> Column:
@@ -18,19 +17,25 @@ def non_blank(text: Column) -> Column:
 
 
 def running_before(df: DataFrame, key: str, value: Column, name: str = "before") -> DataFrame:
-    """df with the sum of value over all rows with a smaller key; keys are unique integers. Ranges of RANGES keys are
-    summed first, so only their sums are ordered as a whole."""
-    ranged = df.withColumn("_value", value).withColumn("_range", F.expr(f"floor({key} / {RANGES}D)").cast("bigint"))
-    sums = ranged.groupBy("_range").agg(F.sum("_value").alias("_sum"))
-    base = sums.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum("_value").over(W.partitionBy("_range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_inside", inside).join(base, "_range").withColumn(name, F.col("_base") + F.col("_inside")).drop("_value", "_range", "_base", "_inside")
+    """key, and the sum of value over all rows of df with a smaller key; keys are unique, of any type that has an order.
+
+    Only keys and values are exchanged, by ranges of the key that Spark draws from a sample, so they are even however
+    sparse or clustered the keys are; what is ordered as a whole are the ranges' sums."""
+    dealt = df.select(key, F.coalesce(value, F.lit(0)).cast("bigint").alias("_value")).repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(dealt, "running")  # its ranges are drawn once
+    base = ranged.groupBy("_range").agg(F.sum("_value").alias("_sum")).select("_range", _before("_sum", W.orderBy("_range")).alias("_base"))
+    inside = ranged.withColumn("_inside", _before("_value", W.partitionBy("_range").orderBy(key)))
+    return inside.join(base, "_range").select(key, (F.col("_base") + F.col("_inside")).alias(name))
+
+
+def _before(value: str, window) -> Column:
+    return F.coalesce(F.sum(value).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
 def byte_budget(docs: DataFrame, key: str, target: int, text: str = "text") -> DataFrame:
     """Rows in order of key until their bytes reach target; the last one may overshoot. Blank texts are passed over."""
     rows = docs.filter(non_blank(F.col(text)))
-    return running_before(rows, key, F.octet_length(text)).filter(F.col("before") < target)
+    return rows.join(running_before(rows, key, F.octet_length(text)).filter(F.col("before") < target), key)
 
 
 def keyed_share(key: Column, seed: str) -> Column:
@@ -50,7 +55,7 @@ def tiled(docs: DataFrame, key: str, target: int, text: str = "text") -> DataFra
     """docs repeated in order until target bytes: (tile, key, bytes, before)."""
     rows = docs.filter(non_blank(F.col(text))).select(key, F.octet_length(text).alias("bytes"))
     total = rows.agg(F.sum("bytes")).scalar()
-    placed = running_before(rows, key, F.col("bytes")).withColumn("total", total)
+    placed = rows.join(running_before(rows, key, F.col("bytes")), key).withColumn("total", total)
     tiles = placed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.lit(float(target)) / F.col("total")).cast("int") - 1))))
     return tiles.withColumn("before", F.col("before") + F.col("tile") * F.col("total")).filter(F.col("before") < target).select("tile", key, "bytes", "before")
 
@@ -78,10 +83,10 @@ def first_occurrences(docs: DataFrame, value: str, key: str) -> DataFrame:
 
 def pack(tokens: DataFrame, key: str, length: int, column: str = "tokens") -> DataFrame:
     """tokens (key unique integer, array of tokens) end to end -> segments of `length` (segment, tokens); the
-    incomplete last one is dropped. Documents are cut where segments begin, and the pieces meet by segment. Tokens are
-    written once before, as their sizes are read first."""
+    incomplete last one is dropped. Places come from the sizes alone; documents are cut where segments begin, and the
+    pieces meet by segment. Tokens are written once before, as their sizes are read first."""
     sized = materialize(tokens.select(key, column, F.size(column).alias("n")), "tokens").filter("n > 0")
-    placed = running_before(sized, key, F.col("n"), "start")
+    placed = sized.join(running_before(sized, key, F.col("n"), "start"), key)
     pieces = placed.withColumn("segment", F.explode(F.expr(f"sequence(start div {length}, (start + n - 1) div {length})")))
     low = F.greatest(F.lit(0), F.col("segment") * length - F.col("start")).cast("int")
     high = F.least(F.col("n"), (F.col("segment") + 1) * length - F.col("start")).cast("int")

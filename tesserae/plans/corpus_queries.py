@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bpe, corpus
+from ..sources.catalogue import FileCatalogue
 from ..streaming import windows
 from .registry import query
 
@@ -21,6 +22,13 @@ def byte_budget_prefix(read):
     return corpus.byte_budget(read("documents").select("doc_id", "text"), "doc_id", BUDGET).select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"), "before")
 
 
+@query(f"SELECT doc_id, bytes FROM ({_BYTES}) WHERE before < {BUDGET}")
+def budgeted_files(read):
+    """The same by a catalogue of the files, of which only those are opened that the budget reaches; the documents lie in
+    order of their ids."""
+    return FileCatalogue.of(read("documents")).budget(BUDGET).select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"))
+
+
 @query(
     f"""WITH d AS (SELECT * FROM ({_BYTES}) WHERE {_SHARE.format(seed=SEED, key="doc_id")}::DOUBLE / 1152921504606846976.0::DOUBLE < least(1.0::DOUBLE, {BUDGET}.0::DOUBLE / (SELECT sum(bytes) FROM ({_BYTES})))),
     r AS (SELECT doc_id, sum(bytes) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - bytes AS before FROM d) SELECT doc_id, before FROM r WHERE before < {BUDGET}"""
