@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import heapq
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from ..tables import materialize
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>", "<sp>")
 #: Merges after which the words are written anew, and words that a task remembers while it encodes.
 WRITE_EVERY, MEMORY = 8, 200_000
-#: Most distinct words that the driver trains on itself (some 200 MB).
-MOST_HELD = 1_000_000
+#: Most symbols of distinct words that the driver trains on itself: 85 bytes each were measured (5.3 million symbols,
+#: 3,000 merges), so 340 MB.
+MOST_HELD = 4_000_000
 #: Separates the symbols of a word in training; no word holds it.
 MARK = "\x01"
 
@@ -73,37 +76,107 @@ def _next_merges(pairs: Counter, most: int) -> list[tuple[str, str]]:
     return out
 
 
-def train_held(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
-    """The merges in order, over words that are held here; counts are kept up to date per merge."""
-    split = {w: list(w) for w in words}
-    pairs: Counter = Counter()
-    where: defaultdict = defaultdict(set)
-
-    def count(w: str, sign: int) -> None:
-        for p in zip(split[w], split[w][1:], strict=False):
-            pairs[p] += sign * words[w]
-            where[p].add(w)
-
-    for w in words:
-        count(w, 1)
-    out = []
-    while len(out) < merges and (pairs := +pairs):
-        out.append(min(pairs, key=lambda p: (-pairs[p], p)))
-        for w in where.pop(out[-1]):
-            count(w, -1)
-            split[w] = merge(split[w], *out[-1])
-            count(w, 1)
+class _Symbols:
+    """All words in one array of symbols with links to the one before and the one after in its word.
+
+    For each pair its count and the places where it arose are kept, and a heap holds (count, pair) as it was when it
+    changed; an entry that says another count than the pair has now is passed over. A merge looks at the places of its
+    pair and at their neighbours alone, in whole arrays."""
+
+    def __init__(self, words: list[str], counts: np.ndarray):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        alphabet, self.symbol = np.unique(points, return_inverse=True)
+        self.symbol = self.symbol.astype(np.int32)
+        self.names = [chr(x) for x in alphabet.tolist()]
+        self.ids = {x: i for i, x in enumerate(self.names)}
+        n = len(points)
+        ends = np.cumsum(sizes)
+        place = np.arange(n, dtype=np.int32)
+        self.after, self.before = place + 1, place - 1
+        filled = sizes > 0
+        self.after[ends[filled] - 1] = -1
+        self.before[(ends - sizes)[filled]] = -1
+        self.weight = np.repeat(counts.astype(np.int64), sizes)
+        self.count: dict[tuple[int, int], int] = {}
+        self.places: dict[tuple[int, int], list[np.ndarray]] = {}
+        self.heap: list[tuple] = []
+        self._add(np.flatnonzero(self.after >= 0).astype(np.int32), 1)
+
+    def _add(self, at: np.ndarray, sign: int) -> None:
+        """Counts the pairs that begin at these places, or takes them off."""
+        if not len(at):
+            return
+        key = self.symbol[at].astype(np.int64) << 32 | self.symbol[self.after[at]]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums = np.add.reduceat(self.weight[at], first)
+        for k, total, a, b in zip(key[first].tolist(), sums.tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+            pair = k >> 32, k & 0xFFFFFFFF
+            self.count[pair] = n = self.count.get(pair, 0) + sign * total
+            if sign > 0:
+                self.places.setdefault(pair, []).append(at[a:b])
+            if n > 0:
+                heapq.heappush(self.heap, (-n, self.names[pair[0]], self.names[pair[1]], pair))
+            else:
+                del self.count[pair]
+                self.places.pop(pair, None)
+
+    def best(self) -> tuple[int, int] | None:
+        """The most frequent pair; of several the smallest."""
+        while self.heap and self.count.get(self.heap[0][3]) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return self.heap[0][3] if self.heap else None
+
+    def merge(self, pair: tuple[int, int]) -> tuple[str, str]:
+        left, right = pair
+        at = np.unique(np.concatenate(self.places[pair]))
+        at = at[(self.symbol[at] == left) & (self.after[at] >= 0)]  # a symbol that was joined to the one before has none
+        at = at[self.symbol[self.after[at]] == right]
+        if left == right and len(at):  # in a run every second place begins a pair
+            starts = np.concatenate([[True], self.after[at[:-1]] != at[1:]])
+            run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+        second = self.after[at]
+        near = np.concatenate([self.before[at], at, second])
+        near = near[near >= 0]
+        old = np.unique(near[self.after[near] >= 0])
+        self._add(old, -1)
+        names = self.names[left], self.names[right]
+        made = self.ids.setdefault(names[0] + names[1], len(self.names))  # another pair may have made the same symbol
+        if made == len(self.names):
+            self.names.append(names[0] + names[1])
+        self.symbol[at] = made
+        third = self.after[second]
+        self.after[at] = third
+        self.before[third[third >= 0]] = at[third >= 0]
+        self.symbol[second], self.after[second] = -1, -1
+        near = np.concatenate([self.before[at], at])
+        near = near[near >= 0]
+        self._add(np.unique(near[self.after[near] >= 0]), 1)
+        return names
+
+
+def train_held(words: list[str], counts: np.ndarray, merges: int) -> list[tuple[str, str]]:
+    """The merges in order, over words that are held here."""
+    made = _Symbols(words, counts)
+    out: list[tuple[str, str]] = []
+    while len(out) < merges and (pair := made.best()) is not None:
+        out.append(made.merge(pair))
     return out
 
 
 def train(words: DataFrame, merges: int, most_held: int = MOST_HELD) -> list[tuple[str, str]]:
     """words (token distinct, n) -> the merges in order; of pairs that are equally frequent the smallest.
 
-    Up to most_held words, a size that is checked, the driver merges; beyond, train_spread does with the same result."""
+    Up to most_held symbols of words, a size that is checked, the driver merges; beyond, train_spread does with the same
+    result."""
     words = words.select("token", "n")
-    if words.count() > most_held:
+    if (words.agg(F.sum(F.length("token"))).first()[0] or 0) > most_held:
         return train_spread(words, merges)
-    return train_held({r.token: r.n for r in words.collect()}, merges)
+    held = words.toArrow()
+    return train_held(held.column("token").to_pylist(), held.column("n").to_numpy(), merges)
 
 
 def train_spread(words: DataFrame, merges: int) -> list[tuple[str, str]]:
@@ -138,22 +211,6 @@ def train_spread(words: DataFrame, merges: int) -> list[tuple[str, str]]:
     return out
 
 
-def train_naive(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
-    """The same by counting all pairs before every merge."""
-    split, out = {w: list(w) for w in words}, []
-    for _ in range(merges):
-        pairs: Counter = Counter()
-        for w, s in split.items():
-            for p in zip(s, s[1:], strict=False):
-                pairs[p] += words[w]
-        if not pairs:
-            break
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        out.append(best)
-        split = {w: merge(s, *best) for w, s in split.items()}
-    return out
-
-
 class Tokenizer:
     """Special tokens, then characters in order, then merges in order."""
 

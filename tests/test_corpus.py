@@ -1,7 +1,11 @@
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae.operators import bpe, chunks, corpus
@@ -18,6 +22,26 @@ def packed(text, limit, separator):
     return out
 
 
+def train_naive(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
+    """The merges by counting all pairs before every one."""
+    split, out = {w: list(w) for w in words}, []
+    for _ in range(merges):
+        pairs: Counter = Counter()
+        for w, s in split.items():
+            for p in zip(s, s[1:], strict=False):
+                pairs[p] += words[w]
+        if not pairs:
+            break
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        out.append(best)
+        split = {w: bpe.merge(s, *best) for w, s in split.items()}
+    return out
+
+
+def held(words, merges):
+    return bpe.train_held(list(words), np.array(list(words.values()), np.int64), merges)
+
+
 def test_paragraphs(spark):
     rng = random.Random(1)
     texts = ["", "one", "a" * 50] + ["\n\n".join("x" * rng.randint(1, 30) for _ in range(20)) for _ in range(5)]
@@ -106,13 +130,19 @@ def test_merges():
     assert bpe.merge(list("aaaaa"), "a", "a") == ["aa", "aa", "a"] and bpe.merge(list("abcab"), "a", "b") == ["ab", "c", "ab"] and bpe.merge([], "a", "b") == []
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text("abcé\U0001f600", max_size=9), st.integers(1, 5), max_size=25), st.integers(0, 40))
+def test_array_trainer_makes_the_merges_of_plain_counting(words, merges):
+    assert held(words, merges) == train_naive(words, merges)
+
+
 def test_bpe_training_here_and_on_tables(spark):
     rng = random.Random(3)
     words = {"".join(rng.choices("abc", k=rng.randint(1, 8))): rng.randint(1, 9) for _ in range(80)} | {"don't": 5, "d'd'd'": 4}
-    want = bpe.train_naive(words, 30)
+    want = train_naive(words, 30)
     table = spark.createDataFrame(list(words.items()), "token string, n long")
-    assert bpe.train_held(words, 30) == want == bpe.train(table, 30) == bpe.train(table, 30, most_held=0)
-    assert bpe.train_held({}, 3) == [] == bpe.train(table.limit(0), 3, most_held=-1)
+    assert held(words, 30) == want == bpe.train(table, 30) == bpe.train(table, 30, most_held=0)
+    assert held({}, 3) == [] == bpe.train(table.limit(0), 3, most_held=-1)
 
 
 def test_bpe(spark, tmp_path):
