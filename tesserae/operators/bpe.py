@@ -221,12 +221,23 @@ class Tokenizer:
         self.rank = {p: i for i, p in enumerate(merges)}
 
     def word(self, word: str) -> list[int]:
-        s = list(word)
-        while True:
-            known = [p for p in zip(s, s[1:], strict=False) if p in self.rank]
-            if not known:
-                return [self.ids.get(x, self.ids["<unk>"]) for x in s]
-            s = merge(s, *min(known, key=self.rank.__getitem__))
+        """The ids of a word's symbols after all merges that apply, the earliest first."""
+        s, rank, none = list(word), self.rank, len(self.rank)
+        ranks = [rank.get(p, none) for p in zip(s, s[1:], strict=False)]
+        while ranks and (first := min(ranks)) < none:
+            k = ranks.index(first)
+            left, right = s[k], s[k + 1]
+            while True:  # every place of the pair, from the left; the pairs at its sides change
+                s[k : k + 2] = [left + right]
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = rank.get((s[k - 1], s[k]), none)
+                if k < len(ranks):
+                    ranks[k] = rank.get((s[k], s[k + 1]), none)
+                if first not in ranks[k + 1 :]:
+                    break
+                k = ranks.index(first, k + 1)
+        return [self.ids.get(x, self.ids["<unk>"]) for x in s]
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """Vocabulary (token, id) and merges (left, right, priority)."""

@@ -136,6 +136,17 @@ def test_array_trainer_makes_the_merges_of_plain_counting(words, merges):
     assert held(words, merges) == train_naive(words, merges)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text("ab'", min_size=1, max_size=9), st.integers(1, 5), min_size=1, max_size=12), st.text("ab'x", max_size=14))
+def test_words_are_encoded_by_the_merges_in_order(words, word):
+    merges = train_naive(words, 25)
+    made = bpe.Tokenizer(list("ab'"), merges)
+    s = list(word)
+    for pair in merges:
+        s = bpe.merge(s, *pair)
+    assert made.word(word) == [made.ids.get(x, made.ids["<unk>"]) for x in s]
+
+
 def test_bpe_training_here_and_on_tables(spark):
     rng = random.Random(3)
     words = {"".join(rng.choices("abc", k=rng.randint(1, 8))): rng.randint(1, 9) for _ in range(80)} | {"don't": 5, "d'd'd'": 4}
