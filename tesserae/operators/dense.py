@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import materialize
@@ -30,21 +30,33 @@ def encode(texts: DataFrame, key: str, encoder: Callable[[pd.Series], Iterator],
     return texts.select(key, run(text).alias("vector"))
 
 
+def whole(size: int) -> Column:
+    """Vectors of a length, without nulls."""
+    return F.col("vector").isNotNull() & (F.size("vector") == size) & ~F.exists("vector", lambda x: x.isNull())
+
+
+def query_blocks(queries: DataFrame, size: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The ids and the vectors of queries of a length, in blocks of about BLOCK_BYTES."""
+    n = queries.count()
+    queries = queries.filter(whole(size))
+    blocks = max(1, -(-n * max(1, size) * 8 // BLOCK_BYTES))
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        table = part.select("query_id", "vector").toArrow()
+        yield table.column("query_id").combine_chunks(), np.array(table.column("vector").to_pylist(), np.float64).reshape(table.num_rows, size)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
     """vectors (chunk_id, vector), queries (query_id, vector) -> the k largest inner products of each query with all
     vectors. Queries are a stated set: blocks of bounded size are broadcast, and every task keeps k candidates a query
     of each of its batches before they are ranked together. Vectors that are null, hold a null or have another length
     than the longest query are passed over, on both sides."""
     chunk_kind, query_kind = dict(vectors.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    whole = F.col("vector").isNotNull() & (F.size("vector") == (size.d or 0)) & ~F.exists("vector", lambda x: x.isNull())
-    vectors, queries = vectors.filter(whole), queries.filter(whole)
-    blocks = max(1, -(-size.n * (size.d or 1) * 8 // BLOCK_BYTES))
+    size = queries.agg(F.max(F.size("vector"))).first()[0] or 0
+    vectors = vectors.filter(whole(size))
     out = None
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        table = part.select("query_id", "vector").toArrow()
-        shared = queries.sparkSession.sparkContext.broadcast((table.column("query_id").combine_chunks(), np.array(table.column("vector").to_pylist(), np.float64).reshape(table.num_rows, size.d or 0)))
+    for ids, matrix in query_blocks(queries, size):
+        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches, shared=shared):
             ids, matrix = shared.value

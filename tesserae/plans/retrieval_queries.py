@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..functions import text as T
-from ..operators import bm25, chunks, dense, evaluation, ranking, symbols
+from ..operators import blocks, bm25, cells, chunks, dense, evaluation, ranking, symbols
 from .registry import query
 from .text_queries import NAMES_SQL, PRIORITY_SQL, WORD_SQL
 
@@ -80,6 +80,20 @@ def bm25_topk(read):
     return bm25_hits(read)
 
 
+@query(f"{HITS_SQL} SELECT query_id, chunk_id, score, rank FROM hits")
+def bm25_blockmax(read):
+    """The same hits by block maxima."""
+    return blocks.BlockIndex.of(index_of(read)).search(benchmark_queries(read), K)
+
+
+@query(f"WITH {_DENSE.strip()} SELECT query_id, chunk_id, score, rank FROM dense_hits")
+def dense_cells(read):
+    """The hits of dense_topk from the cells that may hold them."""
+    vectors = read("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    index = cells.CellIndex.build(vectors)
+    return index.search(vectors.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), K)[0]
+
+
 @query(f"WITH {_DENSE.strip()} SELECT query_id, chunk_id, score, rank FROM dense_hits")
 def dense_topk(read):
     return dense_hits(read)
