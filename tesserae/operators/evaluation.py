@@ -46,19 +46,15 @@ def symbol_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
 def per_query(queries: DataFrame, ranks: DataFrame, policy: str | Column = "any") -> DataFrame:
     """query_id, hit_at_5, hit_at_10, rank. any: the best rank of any item. all: the worst of the items' best ranks,
     null if an item has none. Without expected items: never a hit under any; under all a hit without a rank. policy may
-    be a column of queries."""
-    if not isinstance(policy, str):
-        told = queries.withColumn("_policy", policy)
-        part = lambda p: per_query(told.filter(F.col("_policy") == p), ranks, p)
-        return part("any").unionByName(part("all"))
+    be a column of queries; a null or unknown one is an error."""
+    told = queries.select("query_id", (F.lit(policy) if isinstance(policy, str) else policy).alias("policy"))
+    known = F.when(F.col("policy").isin("any", "all"), F.col("policy"))
+    told = told.withColumn("policy", F.coalesce(known, F.raise_error(F.concat(F.lit("unknown match policy: "), F.coalesce("policy", F.lit("null"))))))
     by = ranks.groupBy("query_id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"), F.count("*").alias("items"), F.count("rank").alias("found"))
-    row = queries.select("query_id").join(by, "query_id", "left")
-    if policy == "any":
-        rank = F.col("best")
-        hit = lambda n: F.coalesce(rank <= n, F.lit(False))
-    else:
-        rank = F.when(F.col("found") == F.col("items"), F.col("worst"))
-        hit = lambda n: F.coalesce(rank <= n, F.col("items").isNull())
+    row = told.join(by, "query_id", "left")
+    every = F.when(F.col("found") == F.col("items"), F.col("worst"))
+    rank = F.when(F.col("policy") == "any", F.col("best")).otherwise(every)
+    hit = lambda n: F.coalesce(rank <= n, (F.col("policy") == "all") & F.col("items").isNull())
     return row.select("query_id", hit(5).alias("hit_at_5"), hit(10).alias("hit_at_10"), rank.cast("int").alias("rank"))
 
 

@@ -43,9 +43,10 @@ _indexes: dict[tuple, bm25.Bm25Index] = {}
 
 
 def index_of(read) -> bm25.Bm25Index:
-    """The BM25 index of the documents, built once in a session for the same files."""
+    """The BM25 index of the documents, built once in a session for the same files as they are now."""
     docs = documents(read)
-    key = (docs.sparkSession.sparkContext.applicationId, tables.generation(), *sorted(docs.inputFiles()))
+    files = docs.sparkSession.read.format("binaryFile").load(docs.inputFiles()).select("path", "modificationTime", "length")
+    key = (docs.sparkSession.sparkContext.applicationId, tables.generation(), *sorted(map(tuple, files.collect())))
     if key not in _indexes:
         _indexes[key] = bm25.Bm25Index.build(docs)
     return _indexes[key]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import time
+import urllib.request
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +27,44 @@ def write_run(path: str, results: DataFrame, metrics: DataFrame, **metadata: str
     results.write.mode("errorifexists").json(f"{path}/per_query")
 
 
+def claim(spark: SparkSession, path: str, content: str) -> str:
+    """Creates a file unless there is one, and returns what it holds: content, or what another writer put there first.
+
+    Exactly one of several writers creates it: the file system refuses a second creation (local files by the machine
+    itself, others by create without overwriting, which HDFS and stores with conditional writes keep to)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    try:
+        if fs.getScheme() == "file":
+            with open(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as out:
+                out.write(content)
+        else:
+            out = fs.create(at, False)
+            out.write(bytearray(content.encode()))
+            out.close()
+        return content
+    except (FileExistsError, Py4JJavaError) as e:
+        if isinstance(e, Py4JJavaError) and "AlreadyExists" not in str(e.java_exception):
+            raise
+    for _ in range(100):  # the other writer has created it, and may be about to write it
+        stream = fs.open(at)
+        held = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        if held:
+            return held
+        time.sleep(0.05)
+    raise VersionConflict(f"{path} was created and never written; remove it if its writer is gone")
+
+
 def ingest(spark: SparkSession, archive: DataFrame, version: str, root: str, force: bool = False) -> tuple[str, bool]:
     """archive (path, content binary, as Spark's binaryFile source reads it) -> (short hash, whether it is new).
 
     The files' paths and hashes make the version's fingerprint, first in ranges of the hash (a row each of 4096), then
-    over the ranges. The same one again changes nothing; another under the same
-    version raises VersionConflict unless force. Files are written under version/hash, then the manifest."""
+    over the ranges. The same one again changes nothing; another under the same version raises VersionConflict unless
+    force. A writer claims the version before it writes anything, so of several with different archives one goes on;
+    with the same archive they write the same. Files are written under version/hash, then the manifest: a claim without
+    one is of a writer that failed or is at work, and the same archive can be ingested again."""
     prints = archive.select(F.sha2(F.concat_ws("\n", "path", F.sha2("content", 256)), 256).alias("h"))
     joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
     ranges = prints.groupBy(F.substring("h", 1, 3).alias("range")).agg(joined("h").alias("h"))
@@ -42,6 +78,9 @@ def ingest(spark: SparkSession, archive: DataFrame, version: str, root: str, for
         return short, False
     if known and not force:
         raise VersionConflict(f"{version} is already ingested as {', '.join(sorted(known))}")
+    first = claim(spark, f"{root}/claims/{version}", short)
+    if first != short and not force:
+        raise VersionConflict(f"{version} is being ingested as {first}")
     folder = f"{root}/{version}/{short}"
     archive.select("path", "content", F.sha2("content", 256).alias("source_hash")).write.mode("overwrite").parquet(f"{folder}/files")
     manifest = spark.range(1).select(F.lit(version).alias("docs_version"), F.lit(short).alias("sha_short"), F.lit(whole).alias("docs_archive_sha256"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ingest_timestamp"))
@@ -51,10 +90,6 @@ def ingest(spark: SparkSession, archive: DataFrame, version: str, root: str, for
 
 def download(url: str, to: str, retries: int = 3, timeout: float = 60.0) -> str:
     """Fetches an archive in blocks to a temporary name, then renames it; waits longer after each failure."""
-    import os
-    import time
-    import urllib.request
-
     for attempt in range(retries):
         try:
             with urllib.request.urlopen(url, timeout=timeout) as response, open(f"{to}.part", "wb") as out:

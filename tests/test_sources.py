@@ -100,3 +100,86 @@ def test_models_are_plugged_in(spark):
     assert got == {1: "a title [1]", 2: T.REFUSAL_MARKER}
     score = judging.pair_scorer(lambda a, b: a.str.len() + b.str.len())
     assert [r.s for r in df.select(score("prompt", "prompt").alias("s")).collect()] == [32.0, 0.0]
+
+
+def test_errors_name_file_and_line(spark, tmp_path):
+    good = '{"query": "q%d", "tier": "good"}'
+    first = [good % i for i in range(3000)]
+    second = [good % i for i in range(3000, 6000)]
+    second[1234] = '{"query": " ", "tier": "good"}'
+    second[2500] = '{"query": "x", "tier": "unheard of"}'
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.jsonl").write_text("\n\n" + "\n".join(first) + "\n")
+    (tmp_path / "t/b.jsonl").write_text("\n".join([*second[:100], "", "  ", *second[100:]]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")  # files are read in parts
+    tier = jsonl.TIERS[0]
+    for name in ("a", "b"):
+        path = tmp_path / f"t/{name}.jsonl"
+        path.write_text(path.read_text().replace('"good"', f'"{tier}"'))
+    try:
+        with pytest.raises(jsonl.SourceError, match=r"b\.jsonl, line 1237 .*query is filled"):
+            jsonl.human_scores(spark, str(tmp_path / "t"))
+        rows = jsonl.read_lines(spark, str(tmp_path / "t"), jsonl.HUMAN_SCORE)
+        assert rows.rdd.getNumPartitions() > 5
+        numbered = jsonl.line_numbers(spark, str(tmp_path / "t"), rows).filter("file LIKE '%a.jsonl'").select("query", "line").collect()
+        assert {r.query: r.line for r in numbered} == {f"q{i}": i + 3 for i in range(3000)}
+        (tmp_path / "c.jsonl").write_text("\n".join([good.replace("good", tier) % 1, "", "{not json", good % 2]))
+        with pytest.raises(jsonl.SourceError, match=r"c\.jsonl, line 3 .*valid JSON"):
+            jsonl.human_scores(spark, str(tmp_path / "c.jsonl"))
+        (tmp_path / "d.jsonl").write_text("\n".join(good.replace("good", tier) % i for i in (1, 2, 1)))
+        with pytest.raises(jsonl.SourceError, match=r"d\.jsonl, line 3 .*more than once"):
+            jsonl.human_scores(spark, str(tmp_path / "d.jsonl"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_one_of_several_writers_claims_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        held = list(pool.map(lambda i: runs.claim(spark, f"file://{tmp_path}/claims/v", f"writer {i}"), range(16)))
+    assert len(set(held)) == 1
+
+    def ingest(i):
+        try:
+            return runs.ingest(spark, spark.createDataFrame([("a", bytearray(b"%d" % i))], "path string, content binary"), "3.12", str(tmp_path / "root"))
+        except runs.VersionConflict:
+            return None
+
+    with ThreadPoolExecutor(3) as pool:
+        done = [x for x in pool.map(ingest, range(3)) if x]
+    assert len(done) == 1 and done[0][1]
+    kept = spark.read.json(f"{tmp_path}/root/manifest/*").collect()
+    assert [r.sha_short for r in kept] == [done[0][0]]
+
+
+def test_download_tries_again(tmp_path, monkeypatch):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            self.send_response(503 if len(asked) < 3 else 200)
+            self.end_headers()
+            if len(asked) >= 3:
+                self.wfile.write(b"x" * 3_000_000)
+
+        def log_message(self, *_):
+            pass
+
+    waits = []
+    monkeypatch.setattr(runs.time, "sleep", waits.append)
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/archive"
+    assert runs.download(url, str(tmp_path / "a")) == str(tmp_path / "a")
+    assert (tmp_path / "a").stat().st_size == 3_000_000 and waits == [1, 2] and not (tmp_path / "a.part").exists()
+    asked.clear()
+    with pytest.raises(OSError):
+        runs.download(url, str(tmp_path / "b"), retries=2)
+    assert not (tmp_path / "b").exists()
+    server.shutdown()
