@@ -134,16 +134,25 @@ def index_length(n: Column) -> Column:
     return F.floor(n / F.lit(2 * ABOVE + 1)).cast("int") + 1
 
 
-def possible(pairs: DataFrame, indexed: bool) -> DataFrame:
-    """pairs (a, b, na, nb), a row for each prefix shingle that two nodes share -> a, b where the sets can be similar.
-    indexed: the shingles of the short prefix of a, the smaller, and of b's long one (of one size: its short one); else
-    those of both long prefixes.
+def near_in_size(a: str, b: str) -> Column:
+    return BELOW * F.least(a, b) >= ABOVE * F.greatest(a, b)
+
+
+def enough_follows(na: str, nb: str, at_a: str, at_b: str) -> Column:
+    """Whether sets of na and nb shingles that share one at these places of their orders can be similar: they share those
+    before and at it, and no more than follow it in either."""
+    reach = F.least(at_a, at_b) + F.least(F.col(na) - F.col(at_a), F.col(nb) - F.col(at_b))
+    return (ABOVE + BELOW) * reach >= ABOVE * (F.col(na) + F.col(nb))
+
+
+def possible(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, na, nb), a row for each shingle that the short prefix of a, the smaller, and b's long one share (of one
+    size: its short one) -> a, b where the sets can be similar.
 
     What two sets share beyond the prefix that ends first in the order lies in the rest of that set."""
-    pairs = pairs.select("a", "b", "na", "nb").filter(BELOW * F.least("na", "nb") >= ABOVE * F.greatest("na", "nb"))
-    rest = lambda n: n - F.floor(n / F.lit(BELOW)) - 1
-    short = lambda n: n - index_length(n)
-    most = F.when(F.col("na") == F.col("nb"), short(F.col("na"))).otherwise(F.greatest(short(F.col("na")), rest(F.col("nb")))) if indexed else rest(F.greatest("na", "nb"))
+    rest = F.col("nb") - F.floor(F.col("nb") / F.lit(BELOW)) - 1
+    short = lambda n: F.col(n) - index_length(F.col(n))
+    most = F.when(F.col("na") == F.col("nb"), short("na")).otherwise(F.greatest(short("na"), rest))
     counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     return counted.filter((ABOVE + BELOW) * (F.col("c") + most) >= ABOVE * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -156,11 +165,8 @@ def meeting(members: DataFrame) -> DataFrame:
     near = kinds.withColumn("size", F.explode(F.transform(F.sequence(F.lit(-STEPS - 1), F.lit(0)), lambda d: F.col("size") + d)))  # sizes of smaller sets
     kind = lambda df, k: df.select("gram", "size", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"at_{k}"))
     same = F.col("na") == F.col("nb")
-    fits = (F.col("na") <= F.col("nb")) & (BELOW * F.col("na") >= ABOVE * F.col("nb")) & (F.col("of_a") != F.col("of_b")) & (~same | (F.col("of_a") < F.col("of_b")) & (F.col("at_b") < index_length(F.col("nb"))))
-    # shared: those before and at the shingle, and no more than follow it in either
-    reach = F.least("at_a", "at_b") + F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))
-    enough = (ABOVE + BELOW) * reach >= ABOVE * (F.col("na") + F.col("nb"))
-    apart = kind(kinds.filter(F.col("place") < index_length(F.col("n"))), "a").join(kind(near, "b"), ["gram", "size"]).filter(fits & enough)
+    fits = (F.col("na") <= F.col("nb")) & near_in_size("na", "nb") & (F.col("of_a") != F.col("of_b")) & (~same | (F.col("of_a") < F.col("of_b")) & (F.col("at_b") < index_length(F.col("nb"))))
+    apart = kind(kinds.filter(F.col("place") < index_length(F.col("n"))), "a").join(kind(near, "b"), ["gram", "size"]).filter(fits & enough_follows("na", "nb", "at_a", "at_b"))
     side = lambda k: members.select("gram", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"at_{k}"), F.col("node").alias(k))
     return apart.join(side("a"), ["gram", "of_a", "na", "at_a"]).join(side("b"), ["gram", "of_b", "nb", "at_b"]).select("a", "b", "na", "nb")
 
@@ -209,13 +215,15 @@ def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     held = nodes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
     shared = materialize(nodes.select("node", "n", F.posexplode("prefix").alias("place", "gram")).join(held.select("gram"), "gram"), "near-shared")
 
-    low = shared.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("low"))
-    star = shared.join(low, "gram").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"))
-    links = similar(possible(star.filter("a < b"), indexed=False).unionByName(simhash_pairs(nodes)).distinct(), nodes, docs)
+    # every node of a shingle and the smallest of them, checked as they are: what links a large group here is not paired below
+    low = shared.groupBy("gram").agg(F.min(F.struct("node", "n", "place")).alias("low"))
+    star = shared.join(low, "gram").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"), F.col("low.place").alias("at_a"), F.col("place").alias("at_b"))
+    star = star.filter((F.col("a") < F.col("b")) & near_in_size("na", "nb") & enough_follows("na", "nb", "at_a", "at_b")).select("a", "b")
+    links = similar(star.unionByName(simhash_pairs(nodes)).distinct(), nodes, docs)
     known = connected_components(links, "near-components")
     members = materialize(shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
     discard(shared, known)
-    further = similar(possible(meeting(members), indexed=True), nodes, docs)
+    further = similar(possible(meeting(members)), nodes, docs)
     discard(members)
     found = connected_components(links.unionByName(further), "near-components")
     discard(links, further, nodes)
