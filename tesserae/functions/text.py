@@ -28,13 +28,18 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
 
 
+def is_cut(word: Column) -> Column:
+    """Whether the analyzer cuts a word: a test without look-around, so that most words cost one pass."""
+    return word.rlike(r"[._]|[a-z][A-Z]|[A-Z0-9][A-Z][a-z]")
+
+
 def analyze_word(word: Column) -> Column:
     """Terms of one word, in order: cut at dots, then at case changes, then at underscores (whole forms first), lower
     case, without empty terms and terms of ASCII punctuation only. A word that nothing cuts is passed on at once."""
     camel = lambda x: F.when(x.rlike(CAMEL), F.concat(F.array(x), F.split(x, CAMEL))).otherwise(F.array(x))
     snake = lambda x: F.when(F.contains(x, F.lit("_")), F.concat(F.array(x), F.split(x, "_"))).otherwise(F.array(x))
     parts = F.flatten(F.transform(F.flatten(F.transform(F.split(word, r"\."), camel)), snake))
-    parts = F.when(word.rlike(rf"[._]|{CAMEL}"), parts).otherwise(F.array(word))
+    parts = F.when(is_cut(word), parts).otherwise(F.array(word))
     return F.filter(F.transform(parts, F.lower), lambda x: x.rlike(r"[^\p{Punct}]"))
 
 

@@ -158,3 +158,29 @@ def search_rows(hits: DataFrame, chunks: DataFrame, version: str, chars: int = 1
     ranks keep their gaps."""
     joined = hits.join(chunks.select("chunk_id", "title", "text", "canonical_url"), "chunk_id")
     return joined.select("query_id", "rank", "score", "chunk_id", "title", text.public_url(version, F.col("canonical_url")).alias("url"), text.truncate(F.col("text"), chars).alias("body"))
+
+
+#: The grouping sets of a report over runs: each alone, each in a run, and all together.
+REPORT_SETS = (("run",), ("run", "query_type"), ("run", "tier"), ("run", "query_type", "tier"), ("query_type",), ("tier",), ())
+
+
+def run_report(results: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """results (run, query_type, tier, hit_at_5, hit_at_10, rank, latency_seconds, answer) -> a row for each group of every
+    set of REPORT_SETS, each pass with one exchange: what it groups by (grouped: the columns' names), n, recall_at_5,
+    recall_at_10, mrr, latency quantiles and the number of different words of the answers.
+
+    Counts and means are exact. Latencies are kept as a sketch of quantiles and words as one of distinct values, which
+    tasks merge: neither grows with the data. An empty table gives no groups. (Quantiles are off by about 1 % in rank, numbers of words by 2 %.)"""
+    sets = ["run", "query_type", "tier"]
+    words = F.explode_outer(F.array_distinct(F.filter(F.split(F.lower("answer"), r"\W+"), lambda w: w != "")))
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    groups = [[F.col(c) for c in s] for s in REPORT_SETS]
+    grouped = F.array_join(F.filter(F.array(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in sets]), lambda x: x.isNotNull()), ",").alias("grouped")
+    exact = results.groupingSets(groups, *sets).agg(
+        grouped, F.count("*").alias("n"), mean(F.col("hit_at_5").cast("int")).alias("recall_at_5"), mean(F.col("hit_at_10").cast("int")).alias("recall_at_10"),
+        mean(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.percentile_approx(F.col("latency_seconds").cast("double"), list(quantiles), 1000).alias("latency"),
+    )
+    counted = results.select(*sets, words.alias("word")).groupingSets(groups, *sets).agg(grouped, F.approx_count_distinct("word", 0.02).alias("vocabulary"))
+    same = [exact[c].eqNullSafe(counted[c]) for c in ("grouped", *sets)]
+    columns = [exact[c] for c in ("grouped", *sets, "n", "recall_at_5", "recall_at_10", "mrr", "latency")]
+    return exact.join(counted, same).select(*columns, counted["vocabulary"])

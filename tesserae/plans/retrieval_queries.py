@@ -241,6 +241,22 @@ def tier_aggregate(read):
     return evaluation.tier_table(tiers(read)).withColumn("rate", F.round("rate", 6))
 
 
+@query(
+    f"""WITH {_TIERS}, r AS (SELECT lang AS run, source AS query_type, tier, quality = 1 AS h5, quality = 1 OR toxic = 0 AS h10, nullif(doc_id % 12, 0) AS rank FROM tiers)
+    SELECT concat_ws(',', CASE WHEN grouping(run) = 0 THEN 'run' END, CASE WHEN grouping(query_type) = 0 THEN 'query_type' END, CASE WHEN grouping(tier) = 0 THEN 'tier' END) AS grouped, run, query_type, tier, count(*) AS n,
+    round(avg(h5::INT), 6) AS recall_at_5, round(avg(h10::INT), 6) AS recall_at_10, round(avg(coalesce(1.0::DOUBLE / rank, 0.0::DOUBLE)), 6) AS mrr
+    FROM r GROUP BY GROUPING SETS ((run), (run, query_type), (run, tier), (run, query_type, tier), (query_type), (tier), ())"""
+)
+def run_report(read):
+    """The exact columns of a report over all groups of runs (languages), query types (sources) and tiers."""
+    rows = tiers(read).join(read("documents").select("doc_id", F.col("text").alias("answer")), "doc_id")
+    results = rows.select(
+        F.col("lang").alias("run"), F.col("source").alias("query_type"), "tier", (F.col("quality") == 1).alias("hit_at_5"), ((F.col("quality") == 1) | (F.col("toxic") == 0)).alias("hit_at_10"),
+        F.nullif(F.col("doc_id") % 12, F.lit(0)).alias("rank"), (F.col("doc_id") % 97).alias("latency_seconds"), "answer",
+    )
+    return evaluation.run_report(results).select("grouped", "run", "query_type", "tier", "n", *[F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_10", "mrr")])
+
+
 @query(f"WITH {_TIERS} SELECT source, " + ", ".join(f"count(*) FILTER (WHERE tier = '{t}') AS {t}" for t in T.TIERS) + ", count(*) AS n, round(count(*) FILTER (WHERE tier IN ('correct', 'partial'))::DOUBLE / count(*), 6) AS accuracy, round(count(*) FILTER (WHERE tier = 'hallucination')::DOUBLE / count(*), 6) AS hallucination_rate FROM tiers GROUP BY ALL")
 def tier_by_type(read):
     r = evaluation.tier_by_type(tiers(read), "source")
