@@ -30,12 +30,21 @@ def generation() -> int:
     return _cleaned
 
 
+#: Spark's own setting by which an execution's shuffle files go when it has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as a Parquet table in the shared folder and returns its scan. The table survives the loss of any
-    executor, and stays until clean_up."""
+    executor, and stays until clean_up or discard. What was shuffled to make it is removed as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, kept)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
