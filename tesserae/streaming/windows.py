@@ -28,7 +28,8 @@ def sessions(events: DataFrame, gap: str, watermark: str | None = None) -> DataF
 
 
 def refresh_postings(stream: DataFrame, path: str, checkpoint: str, key: str = "chunk_id"):
-    """Appends the postings of every new batch of chunks to a Parquet table; a batch that is repeated after a failure
+    """Appends the counts of every new batch of chunks, none of which changes later, to a Parquet table (upkeep.py keeps an
+    index that can be searched, changes and deletions included); a batch that is repeated after a failure
     overwrites its own folder, so no posting appears twice."""
     from ..operators import bm25
 
