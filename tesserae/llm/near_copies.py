@@ -11,8 +11,8 @@ the short prefix, and probe with the long one (sets of one size with the short o
 odd shingles than similar ones may have are indexed by odd ones alone, and never meet. Where a shared shingle stands
 far earlier in one set than in the other, too few can follow, and the pair is dropped as it meets.
 
-Equal sets are one node. Each prefix shingle first links its nodes to the smallest of them, so that a large group of
-near copies becomes one component with links in proportion to its members; then pairs of nodes of different components
+Equal sets are one node. Each prefix shingle first links its nodes to the one that it stands first in, so that a large
+group of near copies becomes one component with links in proportion to its members; then pairs of nodes of different components
 are taken as above. Pairs that share too few shingles of their prefixes are passed over (possible); every other is
 checked on the whole sets. Components come from star rounds (components.py). Tables between the steps are deleted once
 the next ones are written.
@@ -215,10 +215,11 @@ def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     held = nodes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
     shared = materialize(nodes.select("node", "n", F.posexplode("prefix").alias("place", "gram")).join(held.select("gram"), "gram"), "near-shared")
 
-    # every node of a shingle and the smallest of them, checked as they are: what links a large group here is not paired below
-    low = shared.groupBy("gram").agg(F.min(F.struct("node", "n", "place")).alias("low"))
+    # every node of a shingle and the one that it stands first in: that has the fewest odd shingles, and so is nearest to the
+    # others of a group; what links a large group here is not paired below
+    low = shared.groupBy("gram").agg(F.min(F.struct("place", "node", "n")).alias("low"))
     star = shared.join(low, "gram").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"), F.col("low.place").alias("at_a"), F.col("place").alias("at_b"))
-    star = star.filter((F.col("a") < F.col("b")) & near_in_size("na", "nb") & enough_follows("na", "nb", "at_a", "at_b")).select("a", "b")
+    star = star.filter((F.col("a") != F.col("b")) & near_in_size("na", "nb") & enough_follows("na", "nb", "at_a", "at_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = similar(star.unionByName(simhash_pairs(nodes)).distinct(), nodes, docs)
     known = connected_components(links, "near-components")
     members = materialize(shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
