@@ -13,7 +13,9 @@ far earlier in one set than in the other, too few can follow, and the pair is dr
 
 Equal sets are one node. Each prefix shingle first links its nodes to the one that it stands first in, so that a large
 group of near copies becomes one component with links in proportion to its members; then pairs of nodes of different components
-are taken as above. Pairs that share too few shingles of their prefixes are passed over (possible); every other is
+are taken as above. The sample misses small groups of a large table, and then odd shingles do not come first; so the
+shingles that no other of these nodes holds are counted in the whole sets before, and nodes or pairs of which these leave
+too few shingles to share do not meet. Pairs that share too few shingles of their prefixes are passed over (possible); every other is
 checked on the whole sets. Components come from star rounds (components.py). Tables between the steps are deleted once
 the next ones are written.
 """
@@ -145,6 +147,26 @@ def enough_follows(na: str, nb: str, at_a: str, at_b: str) -> Column:
     return (ABOVE + BELOW) * reach >= ABOVE * (F.col(na) + F.col(nb))
 
 
+def enough_open(na: str, nb: str, open_a: str, open_b: str) -> Column:
+    """Whether sets of na and nb shingles, of which so many are held by others too, can be similar."""
+    return (ABOVE + BELOW) * F.least(open_a, open_b) >= ABOVE * (F.col(na) + F.col(nb))
+
+
+def open_members(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """members (gram, place, n, component, node) -> with open (how many shingles of the node's whole set another of these
+    nodes holds too), for shingles of two components and nodes that can be similar to another by that count."""
+    apart = members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    members = materialize(members.join(apart.select("gram"), "gram"), "near-apart")
+    named = nodes.select("node", "doc_id").join(members.select("node").distinct(), "node").select("doc_id").distinct()
+    held = whole_sets(docs.join(named, "doc_id", "left_semi")).select("node", F.explode("grams").alias("gram")).repartition("gram")
+    odd = held.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    odd = materialize(odd.groupBy("node").agg(F.count("*").alias("odd")), "near-odd")
+    counted = members.join(odd, "node", "left").withColumn("open", F.col("n") - F.coalesce("odd", F.lit(0))).drop("odd")
+    counted = materialize(counted.filter(BELOW * F.col("open") >= ABOVE * F.col("n")), "near-open")
+    discard(members, odd)
+    return counted
+
+
 def possible(pairs: DataFrame) -> DataFrame:
     """pairs (a, b, na, nb), a row for each shingle that the short prefix of a, the smaller, and b's long one share (of one
     size: its short one) -> a, b where the sets can be similar.
@@ -158,17 +180,19 @@ def possible(pairs: DataFrame) -> DataFrame:
 
 
 def meeting(members: DataFrame) -> DataFrame:
-    """members (gram, place, n, component, node) -> the pairs of nodes of different components that meet under a shingle
+    """members (gram, place, n, component, node, open) -> the pairs of nodes of different components that meet under a shingle
     of a's short prefix, as (a, b, na, nb); a is the smaller set. Nodes of a component that agree in shingle, place and
-    size are paired as one."""
-    kinds = members.select("gram", "component", "n", "place", F.floor(F.log("n") * (STEPS / math.log(BELOW / ABOVE))).alias("size")).distinct()
+    size are paired as one, with the most that one of them can share."""
+    kinds = members.groupBy("gram", "component", "n", "place").agg(F.max("open").alias("open"))
+    kinds = kinds.withColumn("size", F.floor(F.log("n") * (STEPS / math.log(BELOW / ABOVE))))
     near = kinds.withColumn("size", F.explode(F.transform(F.sequence(F.lit(-STEPS - 1), F.lit(0)), lambda d: F.col("size") + d)))  # sizes of smaller sets
-    kind = lambda df, k: df.select("gram", "size", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"at_{k}"))
+    kind = lambda df, k: df.select("gram", "size", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"at_{k}"), F.col("open").alias(f"open_{k}"))
     same = F.col("na") == F.col("nb")
     fits = (F.col("na") <= F.col("nb")) & near_in_size("na", "nb") & (F.col("of_a") != F.col("of_b")) & (~same | (F.col("of_a") < F.col("of_b")) & (F.col("at_b") < index_length(F.col("nb"))))
-    apart = kind(kinds.filter(F.col("place") < index_length(F.col("n"))), "a").join(kind(near, "b"), ["gram", "size"]).filter(fits & enough_follows("na", "nb", "at_a", "at_b"))
-    side = lambda k: members.select("gram", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"at_{k}"), F.col("node").alias(k))
-    return apart.join(side("a"), ["gram", "of_a", "na", "at_a"]).join(side("b"), ["gram", "of_b", "nb", "at_b"]).select("a", "b", "na", "nb")
+    apart = kind(kinds.filter(F.col("place") < index_length(F.col("n"))), "a").join(kind(near, "b"), ["gram", "size"]).filter(fits & enough_follows("na", "nb", "at_a", "at_b") & enough_open("na", "nb", "open_a", "open_b")).drop("open_a", "open_b")
+    side = lambda k: members.select("gram", F.col("component").alias(f"of_{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"at_{k}"), F.col("node").alias(k), F.col("open").alias(f"open_{k}"))
+    pairs = apart.join(side("a"), ["gram", "of_a", "na", "at_a"]).join(side("b"), ["gram", "of_b", "nb", "at_b"])
+    return pairs.filter(enough_open("na", "nb", "open_a", "open_b")).select("a", "b", "na", "nb")
 
 
 def simhash_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -211,9 +235,13 @@ def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     repeated. Other columns are ignored; an empty table gives an empty result."""
     docs = documents.select("doc_id", "text").filter("doc_id is not null")
     sets = materialize(signed(docs, sample), "near-prefixes")
-    nodes = materialize(sets.groupBy("node").agg(F.min(F.struct("doc_id", "n", "fp", "prefix")).alias("m")).select("node", "m.*"), "near-nodes")
-    held = nodes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = materialize(nodes.select("node", "n", F.posexplode("prefix").alias("place", "gram")).join(held.select("gram"), "gram"), "near-shared")
+    owners = materialize(sets.select("doc_id", "node"), "near-owners")
+    whole = materialize(sets.groupBy("node").agg(F.min(F.struct("doc_id", "n", "fp", "prefix")).alias("m")).select("node", "m.*"), "near-nodes")
+    discard(sets)
+    held = whole.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = materialize(whole.select("node", "n", F.posexplode("prefix").alias("place", "gram")).join(held.select("gram"), "gram"), "near-shared")
+    nodes = materialize(whole.drop("prefix"), "near-nodes")
+    discard(whole)
 
     # every node of a shingle and the one that it stands first in: that has the fewest odd shingles, and so is nearest to the
     # others of a group; what links a large group here is not paired below
@@ -224,8 +252,9 @@ def near_copies(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     known = connected_components(links, "near-components")
     members = materialize(shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
     discard(shared, known)
+    members = open_members(members, nodes, docs)
     further = similar(possible(meeting(members)), nodes, docs)
     discard(members)
     found = connected_components(links.unionByName(further), "near-components")
     discard(links, further, nodes)
-    return sets.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    return owners.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))

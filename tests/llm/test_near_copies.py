@@ -91,3 +91,28 @@ def test_sizes_at_the_bounds_against_all_pairs(spark):
     rng.shuffle(rows)
     got = nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("component").agg({"doc_id": "min"}).collect()
     assert {r[1] for r in got} == kept(rows)
+
+
+def siblings(rng, n, size=80, edits=6):
+    """n texts of one base, each with its own words in a few places: too different to be near copies, and two that are."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(size)]
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for k in rng.sample(range(4, size - 4, 6), edits):
+            copy[k] = word()
+        texts.append(" ".join(copy))
+    return [*texts, texts[0] + " " + word(), texts[n // 2] + " " + word()]
+
+
+def test_siblings_that_the_sample_misses_are_not_all_paired(spark, monkeypatch):
+    rng = random.Random(10)
+    met = []
+    one = nc.meeting
+    monkeypatch.setattr(nc, "meeting", lambda members: (met.append(one(members).count()), one(members))[1])
+    for n in (30, 90):
+        rows = list(enumerate(siblings(rng, n)))
+        got = nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), sample=1).groupBy("component").agg({"doc_id": "min"}).collect()
+        assert {r[1] for r in got} == kept(rows) == set(range(n))
+    assert met[1] <= 90  # all pairs would be 4,005 and more
