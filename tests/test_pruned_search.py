@@ -64,3 +64,32 @@ def test_cells_of_the_embeddings_and_of_nothing(spark):
     assert rows(CellIndex.build(df, 50).search(asked, 10)[0]) == rows(dense.search(df, asked, 10))
     assert CellIndex.build(df.limit(0)).search(asked, 10)[0].count() == 0
     assert CellIndex.build(df).search(asked.limit(0), 10)[0].count() == 0
+
+
+def test_a_search_in_small_steps_against_all_products(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (3000, 4)).astype(np.float32)  # many ties
+    df = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, vector array<float>").repartition(3)
+    asked = df.filter("chunk_id like '%7'").withColumnRenamed("chunk_id", "query_id")
+    dot = x.astype(float) @ x.astype(float).T
+    want = {(f"{q:04d}", r + 1, f"{c:04d}") for q in range(7, 3000, 10) for r, c in enumerate(np.argsort(-dot[q], kind="stable")[:7])}
+    for cells in (900, 10**6):
+        assert {(r.query_id, r.rank, r.chunk_id) for r in dense.search(df, asked, 7, cells=cells).collect()} == want
+
+
+def test_a_task_of_a_search_holds_little(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    df = spark.range(2500).selectExpr("id AS chunk_id", "array(sin(id), cos(id)) AS vector")
+    runs, spread = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: (runs.append(run), spread(self, run, schema))[1])
+    dense.search(df, df.withColumnRenamed("chunk_id", "query_id"), 10)
+    x = np.random.default_rng(6).normal(size=20_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.ListArray.from_arrays(np.arange(0, 20_001, 2, dtype=np.int32), x)], ["chunk_id", "vector"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in runs[0](iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 25_000 and most < 150e6  # the products of the batch alone are 200 MB
