@@ -93,3 +93,16 @@ def test_a_task_of_a_search_holds_little(spark, monkeypatch):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 25_000 and most < 150e6  # the products of the batch alone are 200 MB
+
+
+def test_maxima_are_one_row_for_a_range_and_term_and_bound_every_score(spark, topics):
+    index = bm25.Bm25Index.build(topics)
+    blocks = BlockIndex.of(index, 16)
+    assert blocks.blocks.schema.names == ["range", "term", "most", "n"]  # no postings beside those of the chunks
+    ranged = blocks.index.chunks.select("chunk_id", "range")
+    assert ranged.groupBy("range").count().agg(F.max("count")).first()[0] <= 16
+    assert [r.chunk_id for r in ranged.orderBy("range", "chunk_id").collect()] == sorted(r.chunk_id for r in ranged.collect())
+    part = F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / index.stats.first().avgdl))
+    want = index.postings.join(ranged, "chunk_id").groupBy("range", "term").agg(F.max(part).alias("part"), F.count("*").alias("held"))
+    both = want.join(blocks.blocks.groupBy("range", "term").agg(F.max("most").alias("most"), F.sum("n").alias("n")), ["range", "term"], "full_outer")
+    assert both.filter("NOT coalesce(held = n AND most >= part AND most < part + 1e-5, false)").count() == 0
