@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +16,14 @@ from ..functions import text as T
 from ..tables import materialize
 
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>", "<sp>")
-#: Merges after which the words are written anew, and words that a task remembers while it encodes.
-WRITE_EVERY, MEMORY = 8, 200_000
+#: Words that a task remembers while it encodes.
+MEMORY = 200_000
+#: Over a table of words: words that the driver tries merges on (the most frequent, and as many of the others by hash), and
+#: words that a task merges at once. Neither bears on results.
+TRIED, AT_ONCE = 60_000, 100_000
 #: Most symbols of distinct words that the driver trains on itself: 85 bytes each were measured (5.3 million symbols,
 #: 3,000 merges), so 340 MB.
 MOST_HELD = 4_000_000
-#: Separates the symbols of a word in training; no word holds it.
-MARK = "\x01"
 
 
 def word_frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -101,6 +104,7 @@ class _Symbols:
         self.count: dict[tuple[int, int], int] = {}
         self.places: dict[tuple[int, int], list[np.ndarray]] = {}
         self.heap: list[tuple] = []
+        self.changes: Counter | None = None  # if set, gets the changes of the counts by names
         self._add(np.flatnonzero(self.after >= 0).astype(np.int32), 1)
 
     def _add(self, at: np.ndarray, sign: int) -> None:
@@ -114,6 +118,8 @@ class _Symbols:
         sums = np.add.reduceat(self.weight[at], first)
         for k, total, a, b in zip(key[first].tolist(), sums.tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
             pair = k >> 32, k & 0xFFFFFFFF
+            if self.changes is not None:
+                self.changes[self.names[pair[0]], self.names[pair[1]]] += sign * total
             self.count[pair] = n = self.count.get(pair, 0) + sign * total
             if sign > 0:
                 self.places.setdefault(pair, []).append(at[a:b])
@@ -121,7 +127,8 @@ class _Symbols:
                 heapq.heappush(self.heap, (-n, self.names[pair[0]], self.names[pair[1]], pair))
             else:
                 del self.count[pair]
-                self.places.pop(pair, None)
+                if n == 0:
+                    self.places.pop(pair, None)
 
     def best(self) -> tuple[int, int] | None:
         """The most frequent pair; of several the smallest."""
@@ -129,9 +136,25 @@ class _Symbols:
             heapq.heappop(self.heap)
         return self.heap[0][3] if self.heap else None
 
+    def id_of(self, name: str) -> int:
+        made = self.ids.setdefault(name, len(self.names))  # another pair may have made the same symbol
+        if made == len(self.names):
+            self.names.append(name)
+        return made
+
+    def merge_named(self, left: str, right: str) -> None:
+        """Merges a pair of symbols, of which there may be none."""
+        self.merge((self.id_of(left), self.id_of(right)))
+
+    def told(self, pairs: dict[tuple[str, str], int]) -> None:
+        """Sets the counts to those of a larger table of words; the words here then tell how they change."""
+        self.count = {(self.id_of(a), self.id_of(b)): n for (a, b), n in pairs.items()}
+        self.heap = [(-n, self.names[a], self.names[b], (a, b)) for (a, b), n in self.count.items()]
+        heapq.heapify(self.heap)
+
     def merge(self, pair: tuple[int, int]) -> tuple[str, str]:
         left, right = pair
-        at = np.unique(np.concatenate(self.places[pair]))
+        at = np.unique(np.concatenate(self.places.get(pair) or [np.zeros(0, np.int32)]))
         at = at[(self.symbol[at] == left) & (self.after[at] >= 0)]  # a symbol that was joined to the one before has none
         at = at[self.symbol[self.after[at]] == right]
         if left == right and len(at):  # in a run every second place begins a pair
@@ -144,10 +167,7 @@ class _Symbols:
         old = np.unique(near[self.after[near] >= 0])
         self._add(old, -1)
         names = self.names[left], self.names[right]
-        made = self.ids.setdefault(names[0] + names[1], len(self.names))  # another pair may have made the same symbol
-        if made == len(self.names):
-            self.names.append(names[0] + names[1])
-        self.symbol[at] = made
+        self.symbol[at] = self.id_of(names[0] + names[1])
         third = self.after[second]
         self.after[at] = third
         self.before[third[third >= 0]] = at[third >= 0]
@@ -179,35 +199,101 @@ def train(words: DataFrame, merges: int, most_held: int = MOST_HELD) -> list[tup
     return train_held(held.column("token").to_pylist(), held.column("n").to_numpy(), merges)
 
 
-def train_spread(words: DataFrame, merges: int) -> list[tuple[str, str]]:
+def _rows(df: DataFrame) -> Iterator[tuple]:
+    table = df.toArrow()
+    return zip(*(c.to_pylist() for c in table.columns), strict=True)
+
+
+def _tried(words: DataFrame, tried: int) -> _Symbols:
+    """The most frequent words, and as many of the others by hash, which stand for all of those."""
+    often = words.orderBy(F.desc("n"), "token").limit(tried)
+    least = often.agg(F.min("n")).first()[0] or 0
+    rest = words.filter(F.col("n") < least)
+    every = max(1, rest.count() // tried)
+    drawn = rest.filter(F.pmod(F.xxhash64("token"), F.lit(every)) == 0).withColumn("n", F.col("n") * every)
+    held = often.unionByName(drawn).toArrow()
+    return _Symbols(held.column("token").to_pylist(), held.column("n").to_numpy())
+
+
+def _guess(tried: _Symbols, pairs: Counter, most: int) -> list[tuple[str, str]]:
+    """Merges that may come next: by the exact counts as they are, and as the words that are held change them."""
+    made = copy.deepcopy(tried)
+    made.told(pairs)
+    out: list[tuple[str, str]] = []
+    while len(out) < most and (pair := made.best()) is not None:
+        out.append(made.merge(pair))
+        made.count.pop(pair, None)  # those of words that are not held here are merged too
+    return out
+
+
+def _changes(words: DataFrame, before: list[tuple[str, str]], guess: list[tuple[str, str]], at_once: int) -> list[Counter]:
+    """How each merge of a guess changes the counts of pairs over all words, after the merges before it."""
+
+    def run(batches):
+        total = [Counter() for _ in guess]
+        held: list[pa.RecordBatch] = []
+
+        def take():
+            table = pa.Table.from_batches(held)
+            made = _Symbols(table.column("token").to_pylist(), table.column("n").to_numpy())
+            for left, right in before:
+                made.merge_named(left, right)
+            for step, (left, right) in enumerate(guess):
+                made.changes = total[step]
+                made.merge_named(left, right)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= at_once:
+                take()
+                held = []
+        if held:
+            take()
+        rows = [(step, left, right, n) for step, c in enumerate(total) for (left, right), n in c.items() if n]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["step", "left", "right", "n"])
+
+    found = words.mapInArrow(run, "step bigint, left string, right string, n bigint")
+    out = [Counter() for _ in guess]
+    for step, left, right, n in _rows(found.groupBy("step", "left", "right").agg(F.sum("n").alias("n")).filter("n <> 0")):
+        out[step][left, right] = n
+    return out
+
+
+def _agreed(certain: list[tuple[str, str]], guess: list[tuple[str, str]]) -> int:
+    """How many of the merges that certainly come next are also the next of a guess, as a whole in any order: they share no
+    symbol, so words and counts after them are the same, unless one makes a symbol of another."""
+    for n in range(min(len(certain), len(guess)), 0, -1):
+        mine = certain[:n]
+        if mine == guess[:n] or set(mine) == set(guess[:n]) and not {a + b for a, b in mine} & {x for p in mine for x in p}:
+            return n
+    return 0
+
+
+def train_spread(words: DataFrame, merges: int, tried: int = TRIED, at_once: int = AT_ONCE) -> list[tuple[str, str]]:
     """The same over a distributed table of words.
 
-    The words stay a table on Spark, each a string of marked symbols. The driver holds the counts of distinct pairs,
-    which the vocabulary bounds and not the data; each step merges one pair or several that don't bear on each other,
-    and brings the changes of the counts from the words that hold them. Words are written anew every few steps."""
-    symbols = lambda c: F.filter(F.split(c, MARK), lambda x: x != "")
-    held = materialize(words.select(F.concat(F.lit(MARK), F.array_join(_letters(F.col("token")), MARK), F.lit(MARK)).alias("s"), "n"), "bpe-words")
-    counted = held.select("n", F.explode(_pairs(symbols(F.col("s")))).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
-    pairs = Counter({(r.left, r.right): r.n for r in counted.collect()})
+    The driver holds the counts of distinct pairs, which the vocabulary bounds and not the data, and some words, on which
+    it tries which merges may come next. One pass over all words then brings how each of these changes the counts, and
+    they are taken as far as the exact counts agree; the first is always right. What they don't agree with is tried anew
+    from there."""
+    words = words.select("token", "n")
+    counted = words.select("n", F.explode(_pairs(_letters(F.col("token")))).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
+    pairs = Counter({(left, right): n for left, right, n in _rows(counted)})
+    held = _tried(words, tried)
     out: list[tuple[str, str]] = []
-    since = 0
-    while len(out) < merges and (step := _next_merges(pairs, merges - len(out))):
-        after = F.col("s")
-        touched = F.lit(False)
-        for a, b in step:
-            touched = touched | F.contains("s", F.lit(f"{MARK}{a}{MARK}{b}{MARK}"))
-            after = F.regexp_replace(after, F.lit(f"(?<={MARK})\\Q{a}{MARK}{b}\\E(?={MARK})"), F.lit((a + b).replace("\\", "\\\\").replace("$", "\\$")))
-        changed = held.filter(touched).select("s", after.alias("t"), "n")
-        old = changed.select(F.explode(_pairs(symbols(F.col("s")))).alias("p"), (-F.col("n")).alias("n"))
-        new = changed.select(F.explode(_pairs(symbols(F.col("t")))).alias("p"), "n")
-        for r in old.unionByName(new).groupBy("p.left", "p.right").agg(F.sum("n").alias("n")).filter("n <> 0").collect():
-            pairs[r.left, r.right] += r.n
-        pairs = +pairs
-        out += step
-        since += len(step)
-        held = held.select(after.alias("s"), "n")
-        if since >= WRITE_EVERY:
-            held, since = materialize(held, "bpe-words"), 0
+    while len(out) < merges and pairs:
+        guess = _guess(held, pairs, merges - len(out))
+        changes, at = _changes(words, out, guess, at_once), 0
+        while at < len(guess) and (n := _agreed(certain := _next_merges(pairs, len(guess) - at), guess[at:])):
+            for change in changes[at : at + n]:
+                for pair, by in change.items():
+                    pairs[pair] += by
+            pairs = +pairs
+            out += certain[:n]
+            for left, right in certain[:n]:
+                held.merge_named(left, right)
+            at += n
     return out
 
 
